@@ -1,120 +1,112 @@
-"""Column helpers for text held in one row: trimming, line counts, match positions.
+"""SQL text for work on text held in one row: trimming, line counts, match positions.
 
-Everything here stays inside the row, so no helper causes a shuffle.
+Everything stays inside the row, so nothing here causes a shuffle. The helpers return SQL
+expressions as text, because one ``F.expr`` builds a large plan much faster than thousands of
+single column calls. Arguments are names of columns or lambda variables unless said otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+WHITESPACE = " \t\r\n\f\x0b"
+SCAN_BLOCK = 64
+MARK = "\x01"
+NO_INTS = "cast(array() as array<int>)"
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-WHITESPACE = " \t\r\n\f\x0b"
-SCAN_BLOCK = 512
+def literal(text: str | None) -> str:
+    """SQL string literal."""
+    if text is None:
+        return "null"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times in ``body``.
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate the expression ``value`` once and use it as ``name`` in ``body``.
 
     A plain projection would not do: the optimizer may inline it into a lambda,
     where it would be evaluated once per array element.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def strip(text: str) -> str:
+    return f"btrim({text}, {literal(WHITESPACE)})"
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
 
+def has_any(text: str, parts) -> str:
+    return "(" + " or ".join(f"contains({text}, {literal(p)})" for p in parts) + ")"
 
-def newline_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
+def newline_count(text: str) -> str:
+    return f"if(contains({text}, '\\n'), length({text}) - length(replace({text}, '\\n', '')), 0)"
 
-def split_lines(content: Column) -> Column:
+
+def split_lines(content: str) -> str:
     """Lines as array<struct<line_no, line>>, 1-based; a trailing empty line is kept."""
-    return F.transform(
-        F.split(content, "\n", -1),
-        lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")),
+    return (
+        f"transform(split({content}, '\\n', -1), "
+        "(text_line, i_line) -> named_struct('line_no', i_line + 1, 'line', text_line))"
     )
 
 
-def prefix_scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """Inclusive running fold of an int array (``combine`` is associative with identity 0).
+def _prefix_scan(values: str, combine: str) -> str:
+    """Inclusive running fold of an int array; ``combine`` is SQL in {a} and {b}, identity 0.
 
     Works in blocks, as appending to one growing array would copy it once per element.
     """
-    empty = F.array().cast("array<int>")
-
-    def running(block: Column) -> Column:
-        return F.aggregate(
-            block,
-            empty,
-            lambda done, x: F.concat(
-                done, F.array(combine(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)), x).cast("int"))
-            ),
-        )
-
-    def blocks(array: Column) -> Column:
-        starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(SCAN_BLOCK)))
-        return F.transform(
-            F.coalesce(starts, empty), lambda start: running(F.slice(array, start, F.lit(SCAN_BLOCK)))
-        )
-
-    def shift(local: Column) -> Column:
-        carries = running(F.transform(local, lambda block: F.element_at(block, -1)))
-        return let(
-            carries,
-            lambda carry: F.flatten(
-                F.transform(
-                    local,
-                    lambda block, b: let(
-                        F.coalesce(F.get(carry, b - 1), F.lit(0)),
-                        lambda before: F.transform(block, lambda x: combine(before, x).cast("int")),
-                    ),
-                )
-            ),
-        )
-
-    return let(values, lambda array: let(blocks(array), shift))
-
-
-def running_sum(values: Column) -> Column:
-    return prefix_scan(values, lambda a, b: a + b)
-
-
-def running_max(values: Column) -> Column:
-    return prefix_scan(values, lambda a, b: F.greatest(a, b))
-
-
-def match_spans(content: Column, pattern: str) -> Column:
-    """All matches as array<struct<text, first, last>>, with 0-based line offsets.
 
-    Spark has no match-offset function; splitting by the same pattern gives the gaps,
-    and running newline counts over gaps and matches give the lines.
+    def running(block: str) -> str:
+        step = combine.format(a="coalesce(get(done, size(done) - 1), 0)", b="next_value")
+        return f"aggregate({block}, {NO_INTS}, (done, next_value) -> concat(done, array({step})))"
+
+    starts = f"if(size(scanned) > 0, sequence(1, size(scanned), {SCAN_BLOCK}), {NO_INTS})"
+    local = f"transform({starts}, at -> {running(f'slice(scanned, at, {SCAN_BLOCK})')})"
+    carry = running("transform(blocks, block -> element_at(block, -1))")
+    shifted = let(
+        "coalesce(get(carry, i_block - 1), 0)", "before",
+        f"transform(block, x_block -> {combine.format(a='before', b='x_block')})",
+    )
+    joined = f"flatten(transform(blocks, (block, i_block) -> {shifted}))"
+    return let(values, "scanned", let(local, "blocks", let(carry, "carry", joined)))
+
+
+def running_sum(values: str) -> str:
+    return _prefix_scan(values, "{a} + {b}")
+
+
+def running_max(values: str) -> str:
+    return _prefix_scan(values, "greatest({a}, {b})")
+
+
+def _cut(content: str, pattern: str) -> str:
+    """Text between and in the matches, alternating: array<string> of gap, match, …, gap.
+
+    One regex pass marks the matches, and a one-character split is cheap. A text that
+    already has the mark is cut by two regex passes instead.
     """
+    regex, mark = literal(pattern), literal(MARK)
+    interleaved = let(
+        f"split({content}, {regex}, -1)", "gaps",
+        let(
+            f"regexp_extract_all({content}, {regex}, 0)", "found",
+            "concat(flatten(transform(found, (one, i_one) -> array(get(gaps, i_one), one))), "
+            "array(element_at(gaps, -1)))",
+        ),
+    )
+    marked = f"split(regexp_replace({content}, {regex}, {literal(f'{MARK}$0{MARK}')}), {mark}, -1)"
+    return f"if(contains({content}, {mark}), {interleaved}, {marked})"
 
-    def measured(gaps: Column) -> Column:
-        return F.transform(
-            F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
-            lambda text, i: F.struct(
-                text.alias("text"),
-                newline_count(text).alias("own"),
-                (newline_count(F.get(gaps, i)) + newline_count(text)).alias("step"),
-            ),
-        )
-
-    def positioned(matches: Column) -> Column:
-        return let(
-            running_sum(F.transform(matches, lambda m: m["step"])),
-            lambda ends: F.transform(
-                matches,
-                lambda m, i: F.struct(
-                    m["text"].alias("text"),
-                    (F.get(ends, i) - m["own"]).alias("first"),
-                    F.get(ends, i).alias("last"),
-                ),
-            ),
-        )
-
-    return let(F.split(content, pattern, -1), lambda gaps: let(measured(gaps), positioned))
+
+def match_spans(content: str, pattern: str) -> str:
+    """All matches as array<struct<text, first, last>>, with 0-based line offsets.
+
+    Spark has no match-offset function; running newline counts over the text between and
+    in the matches give the lines.
+    """
+    ends = running_sum(f"transform(parts, part -> {newline_count('part')})")
+    spans = (
+        "filter(transform(parts, (part, i_part) -> if(i_part % 2 = 1, "
+        "named_struct('text', part, 'first', get(ends, i_part - 1), 'last', get(ends, i_part)), null)), "
+        "span -> span is not null)"
+    )
+    return let(_cut(content, pattern), "parts", let(ends, "ends", spans))

@@ -1,94 +1,101 @@
-"""The finding record, and the compiler from rule lists to one array-of-findings column."""
+"""The finding record, and the compiler from rule tables to findings.
+
+A rule hit is a small struct. Severity, type and text are looked up by the rule's number
+once a hit is a row of its own, so unit rows without hits never build them.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDINAL_TYPE = "struct<stage:int,chunk_idx:int,pack:int,grp:int,major:int,minor:int,tie:string>"
-FINDING_TYPE = (
-    "struct<line:int,severity:string,type:string,description:string,context:string,"
-    f"confidence:double,source:string,rule_id:string,ordinal:{ORDINAL_TYPE}>"
-)
-FINDING_ARRAY = f"array<{FINDING_TYPE}>"
+from ..functions.text import has_any, literal
+
+HIT_TYPE = "struct<rule:int,line:int,major:int,minor:int,arg:string,context:string>"
+NO_HITS = f"cast(array() as array<{HIT_TYPE}>)"
 
 # Order of emission: chunk packs (model rules, then heuristics) before the file pack.
 CHUNK_STAGE, FILE_STAGE = 0, 1
-MODEL_ORDER, HEURISTIC_ORDER, PATTERN_ORDER = 0, 1, 2
-
-
-def no_findings() -> Column:
-    return F.array().cast(FINDING_ARRAY)
 
 
-def ordinal(
-    stage: int, chunk_idx: Column, pack: int, group: int, major: Column, minor: Column, tie: Column | None = None
-) -> Column:
-    """Place of a finding in its file; compared left to right, smaller is earlier."""
-    return F.struct(
-        F.lit(stage).alias("stage"),
-        chunk_idx.cast("int").alias("chunk_idx"),
-        F.lit(pack).alias("pack"),
-        F.lit(group).alias("grp"),
-        major.cast("int").alias("major"),
-        minor.cast("int").alias("minor"),
-        (F.lit("") if tie is None else tie).alias("tie"),
-    )
-
+@dataclass(frozen=True)
+class RuleText:
+    """Fixed properties of a rule; ``{}`` in the description stands for the hit's argument."""
 
-def finding(
-    line: Column, severity: str, kind: str, description: Column | str, context: Column | None,
-    source: str, rule_id: str, place: Column,
-) -> Column:
-    text = F.lit(description) if isinstance(description, str) else description
-    return F.struct(
-        line.cast("int").alias("line"),
-        F.lit(severity).alias("severity"),
-        F.lit(kind).alias("type"),
-        text.alias("description"),
-        (F.lit(None).cast("string") if context is None else context).alias("context"),
-        F.lit(1.0).alias("confidence"),
-        F.lit(source).alias("source"),
-        F.lit(rule_id).alias("rule_id"),
-        place.alias("ordinal"),
-    )
+    rule_id: str
+    severity: str
+    type: str
+    description: str
+    source: str = ""
+    stage: int = CHUNK_STAGE
+    pack: int = 0
+    group: int = 0
 
 
 @dataclass(frozen=True)
-class Rule:
-    """A rule over one unit row: ``when`` holds, then ``emit`` is the finding.
+class LineTest:
+    """A rule over one unit row: ``when`` is the condition in SQL.
 
-    ``needs`` are substrings of which the line must have one; the compiler tests them first.
+    ``needs`` are substrings of which the line must have one; they are tested first.
     """
 
     rule_id: str
-    when: Column
-    emit: Column
+    when: str
     needs: tuple[str, ...] = ()
+    line: str = "line_no"
+    minor: int = 0
+    arg: str = "null"
+    context: str = "null"
 
 
-def has_any(text: Column, parts: tuple[str, ...] | list[str]) -> Column:
-    test = text.contains(parts[0])
-    for part in parts[1:]:
-        test = test | text.contains(part)
-    return test
+def hit(number: int, line: str, major: str, minor: str | int, arg: str = "null", context: str = "null") -> str:
+    return (
+        f"named_struct('rule', {number}, 'line', {line}, 'major', {major}, 'minor', {minor}, "
+        f"'arg', cast({arg} as string), 'context', cast({context} as string))"
+    )
 
 
-def selected(rules: list[Rule], only: set[str] | None) -> list[Rule]:
-    return rules if only is None else [r for r in rules if r.rule_id in only]
+def concat_hits(parts: list[str]) -> str:
+    if not parts:
+        return NO_HITS
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def compile_rules(rules: list[Rule], text: Column) -> Column:
-    """All hits of a unit row as one array: rules sharing ``needs`` are skipped together."""
-    gates: dict[tuple[str, ...], list[Rule]] = {}
-    for rule in rules:
-        gates.setdefault(rule.needs, []).append(rule)
+def compile_tests(tests: list[LineTest], numbers: dict[str, int], text: str, major: str = "pos") -> str:
+    """All hits of a unit row as one array: tests sharing ``needs`` are skipped together."""
+    gates: dict[tuple[str, ...], list[str]] = {}
+    for test in tests:
+        emit = hit(numbers[test.rule_id], test.line, major, test.minor, test.arg, test.context)
+        gates.setdefault(test.needs, []).append(f"if({test.when}, {emit}, null)")
     parts = []
-    for needs, gated in gates.items():
-        hits = F.filter(F.array(*[F.when(r.when, r.emit) for r in gated]), lambda f: f.isNotNull())
-        parts.append(F.when(has_any(text, needs), hits).otherwise(no_findings()) if needs else hits)
-    if not parts:
-        return no_findings()
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    for needs, cases in gates.items():
+        hits = f"filter(array({', '.join(cases)}), one_hit -> one_hit is not null)"
+        parts.append(f"if({has_any(text, needs)}, {hits}, {NO_HITS})" if needs else hits)
+    return concat_hits(parts)
+
+
+def describe_hits(hits: DataFrame, rules: list[RuleText]) -> DataFrame:
+    """Rows with a ``hit`` struct to findings, by the fixed rule list."""
+    rows = ", ".join(
+        f"named_struct('rule_id', {literal(r.rule_id)}, 'severity', {literal(r.severity)}, "
+        f"'type', {literal(r.type)}, 'description', {literal(r.description)}, 'source', {literal(r.source)}, "
+        f"'stage', {r.stage}, 'pack', {r.pack}, 'grp', {r.group})"
+        for r in rules
+    )
+    kept = [c for c in hits.columns if c != "hit"]
+    found = hits.withColumn("rule", F.expr(f"get(array({rows}), hit.rule)"))
+    return found.selectExpr(
+        *kept,
+        "hit.line",
+        "rule.severity",
+        "rule.type",
+        "replace(rule.description, '{}', coalesce(hit.arg, '')) AS description",
+        "hit.context",
+        "1.0D AS confidence",
+        "rule.source",
+        "rule.rule_id",
+        "named_struct('stage', rule.stage, 'chunk_idx', coalesce(chunk_idx, 0), 'pack', rule.pack, "
+        "'grp', rule.grp, 'major', hit.major, 'minor', hit.minor, 'tie', coalesce(hit.arg, '')) AS ordinal",
+    )

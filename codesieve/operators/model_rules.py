@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ..functions.text import has_any, let, literal
+from .findings import CHUNK_STAGE, LineTest, RuleText
 
-from ..functions.text import let
-from .findings import CHUNK_STAGE, MODEL_ORDER, Rule, compile_rules, finding, has_any, ordinal, selected
-
-SOURCE = "llm"
+SOURCE, PACK = "llm", 0
 
 # Rule texts as (severity, type, description), in rule order.
 MODEL_RULES = {
@@ -18,7 +15,7 @@ MODEL_RULES = {
     "M4": ("HIGH", "Buffer Overflow", "sprintf() without bounds checking"),
     "M5": ("MEDIUM", "Format String Vulnerability", "User input in printf"),
     "M6": ("MEDIUM", "Memory Leak", "malloc/calloc without corresponding free"),
-    "M7": ("HIGH", "Use After Free", "Variable '%s' used after free"),
+    "M7": ("HIGH", "Use After Free", "Variable '{}' used after free"),
     "M8": ("LOW", "Integer Overflow", "Potential arithmetic overflow with signed integers"),
     "M9": ("MEDIUM", "Null Pointer Dereference", "Pointer used without null check"),
     "M10": ("HIGH", "Buffer Overflow", "Array access with unsafe input function"),
@@ -43,79 +40,52 @@ FREED_VARIABLE = r"free\s*\(\s*(\w+)"
 USE_REACH = 10
 OPEN_CHECK_REACH = 3
 
-
-def first_use_after_free(line: Column, ahead: Column) -> Column:
-    """struct(line_no, var) of the first following line that has the freed name, or null."""
-
-    def used(var: Column) -> Column:
-        uses = F.filter(
-            F.slice(ahead, 1, USE_REACH),
-            lambda x: x["line"].contains(var) & ~x["line"].contains("free("),
-        )
-        return let(
-            F.get(uses, F.lit(0)),
-            lambda use: F.when(
-                (var != "") & use.isNotNull(),
-                F.struct(use["line_no"].alias("line_no"), var.alias("var")),
-            ),
-        )
-
-    return let(F.regexp_extract(line, FREED_VARIABLE, 1), used)
-
-
-def model_rule_list(only: set[str] | None = None) -> list[Rule]:
-    line, ahead = F.col("line"), F.col("ahead")
-
-    def rule(rule_id: str, when: Column, needs: tuple[str, ...] = ("(",), emit_line=None, description=None) -> Rule:
-        severity, kind, text = MODEL_RULES[rule_id]
-        place = ordinal(
-            CHUNK_STAGE, F.col("chunk_idx"), MODEL_ORDER, 0, F.col("pos"),
-            F.lit(list(MODEL_RULES).index(rule_id) + 1),
-        )
-        return Rule(
-            rule_id, when,
-            finding(
-                F.col("line_no") if emit_line is None else emit_line,
-                severity, kind, text if description is None else description, None, SOURCE, rule_id, place,
-            ),
-            needs,
-        )
-
-    def unbounded(name: str, bounded: str) -> Column:
-        return line.contains(f"{name}(") & ~line.contains(f"{bounded}(")
-
-    use = first_use_after_free(line, ahead)
-    freed_soon = F.exists(ahead, lambda x: x["line"].contains("free("))
-    checked = (
-        has_any(line, OPEN_CHECKS)
-        | F.coalesce(has_any(F.col("before"), OPEN_CHECKS), F.lit(False))
-        | F.exists(F.slice(ahead, 1, OPEN_CHECK_REACH), lambda x: has_any(x["line"], OPEN_CHECKS))
-    )
-    pointer = ("*", "->")
-    rules = [
-        rule("M1", line.contains("gets(")),
-        rule("M2", unbounded("strcpy", "strncpy")),
-        rule("M3", unbounded("strcat", "strncat")),
-        rule("M4", unbounded("sprintf", "snprintf")),
-        rule("M5", line.contains("printf(") & line.contains("%") & has_any(line, USER_DATA_WORDS)),
-        rule("M6", has_any(line, ALLOCATIONS) & ~freed_soon),
-        rule(
-            "M7", line.contains("free(") & use.isNotNull(), emit_line=use["line_no"],
-            description=F.format_string(MODEL_RULES["M7"][2], use["var"]),
-        ),
-        rule("M8", has_any(line, SIGNED_TYPES) & ~line.contains("unsigned"), needs=ARITHMETIC),
-        rule("M9", ~F.col("has_null") & ~line.contains("if"), needs=pointer),
-        rule("M10", line.contains("]") & has_any(line, INPUT_FUNCTIONS), needs=("[",)),
-        rule("M11", line.contains("lock(") & ~line.contains("unlock")),
-        rule("M12", line.contains("rand()") & ~F.col("has_seed")),
-        rule("M13", line.contains("open(") & ~checked),
-        rule("M14", line.contains("system(")),
-        rule("M15", line.contains("exec(")),
-        rule("M16", line.contains("popen(")),
-    ]
-    return selected(rules, only)
-
-
-def model_findings(only: set[str] | None = None) -> Column:
-    """Findings of pack M on a chunk-line unit."""
-    return compile_rules(model_rule_list(only), F.col("line"))
+CALL, POINTER = ("(",), ("*", "->")
+
+# The first following line that has the freed name; regexp_extract gives '' for no name.
+FIRST_USE = let(
+    f"regexp_extract(line, {literal(FREED_VARIABLE)}, 1)", "var",
+    f"get(filter(slice(ahead, 1, {USE_REACH}), use -> var <> '' "
+    "and contains(use.line, var) and not contains(use.line, 'free(')), 0).line_no",
+)
+OPEN_CHECKED = (
+    f"({has_any('line', OPEN_CHECKS)} or coalesce({has_any('before', OPEN_CHECKS)}, false) "
+    f"or exists(slice(ahead, 1, {OPEN_CHECK_REACH}), near -> {has_any('near.line', OPEN_CHECKS)}))"
+)
+
+
+def _unbounded(name: str, bounded: str) -> str:
+    return f"contains(line, '{name}(') and not contains(line, '{bounded}(')"
+
+
+def rule_texts() -> list[RuleText]:
+    return [RuleText(i, *text, SOURCE, CHUNK_STAGE, PACK, 0) for i, text in MODEL_RULES.items()]
+
+
+def model_tests() -> list[LineTest]:
+    conditions = {
+        "M1": ("contains(line, 'gets(')", CALL),
+        "M2": (_unbounded("strcpy", "strncpy"), CALL),
+        "M3": (_unbounded("strcat", "strncat"), CALL),
+        "M4": (_unbounded("sprintf", "snprintf"), CALL),
+        "M5": (f"contains(line, 'printf(') and contains(line, '%') and {has_any('line', USER_DATA_WORDS)}", CALL),
+        "M6": (f"{has_any('line', ALLOCATIONS)} and not exists(ahead, next -> contains(next.line, 'free('))", CALL),
+        "M7": (f"contains(line, 'free(') and {FIRST_USE} is not null", CALL),
+        "M8": (f"{has_any('line', SIGNED_TYPES)} and not contains(line, 'unsigned')", ARITHMETIC),
+        "M9": ("not has_null and not contains(line, 'if')", POINTER),
+        "M10": (f"contains(line, ']') and {has_any('line', INPUT_FUNCTIONS)}", ("[",)),
+        "M11": ("contains(line, 'lock(') and not contains(line, 'unlock')", CALL),
+        "M12": ("contains(line, 'rand()') and not has_seed", CALL),
+        "M13": (f"contains(line, 'open(') and not {OPEN_CHECKED}", CALL),
+        "M14": ("contains(line, 'system(')", CALL),
+        "M15": ("contains(line, 'exec(')", CALL),
+        "M16": ("contains(line, 'popen(')", CALL),
+    }
+    tests = []
+    for minor, (rule_id, (when, needs)) in enumerate(conditions.items(), 1):
+        if rule_id == "M7":
+            var = f"regexp_extract(line, {literal(FREED_VARIABLE)}, 1)"
+            tests.append(LineTest(rule_id, when, needs, FIRST_USE, minor, var))
+        else:
+            tests.append(LineTest(rule_id, when, needs, minor=minor))
+    return tests

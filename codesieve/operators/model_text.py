@@ -8,7 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import WHITESPACE
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITESPACE))
+
 
 # The prompt around an optional file name and the code.
 PROMPT_OPENING = """You are a security expert analyzing C/C++ code for vulnerabilities.
@@ -148,10 +152,8 @@ def type_of(description: Column) -> Column:
 
 def _matches(pattern: str, **groups: int) -> Column:
     """All matches in ``text`` as array of structs with the named groups."""
-    found = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in groups.values()]
-    return F.transform(
-        F.arrays_zip(*[f.alias(name) for f, name in zip(found, groups)]),
-        lambda m: F.struct(*[m[str(i)].alias(name) for i, name in enumerate(groups)]),
+    return F.arrays_zip(
+        *[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(name) for name, g in groups.items()]
     )
 
 

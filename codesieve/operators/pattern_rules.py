@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ..functions.text import has_any, let, literal, strip
+from .findings import FILE_STAGE, NO_HITS, LineTest, RuleText, hit
 
-from ..functions.text import let, strip
-from .findings import (
-    FILE_STAGE, PATTERN_ORDER, Rule, compile_rules, finding, has_any, no_findings, ordinal, selected,
-)
-
-SOURCE = "pattern"
+SOURCE, PACK = "pattern", 2
+(
+    CRYPTO_GROUP, INPUT_GROUP, HANDLE_GROUP, MEMORY_GROUP, SHARED_GROUP, NO_SYNC_GROUP, RACE_GROUP,
+) = range(7)
 
 # Crypto patterns on the lower-case line, rules X1 to X4 in order.
 CRYPTO_PATTERNS = {
@@ -40,150 +38,116 @@ FILE_OPERATIONS = ("fopen", "open", "access", "stat", "chdir")
 BALANCES = {
     "X8": (
         r"(\w+)\s*=\s*fopen\s*\(", r"fclose\s*\(\s*(\w+)",
-        "Resource Leak", 'File handle "%s" may not be properly closed',
+        "Resource Leak", 'File handle "{}" may not be properly closed',
     ),
     "X9": (
         r"(\w+)\s*=\s*(?:malloc|calloc|realloc)\s*\(", r"free\s*\(\s*(\w+)",
-        "Memory Leak", 'Allocated memory "%s" may not be freed',
+        "Memory Leak", 'Allocated memory "{}" may not be freed',
     ),
 }
-OPENERS = {"X8": ("fopen",), "X9": ("alloc",)}
 # Race idioms in any case, rules X12 to X14 in order.
 RACE_PATTERNS = {
     "X12": (r"sleep\s*\(\s*\d+\s*\)", "Sleep-based synchronization (unreliable)"),
     "X13": (r"volatile\s+(?!sig_atomic_t)", "Volatile without proper synchronization"),
     "X14": (r"signal\s*\(", "Signal handler without async-signal-safe functions"),
 }
+# Pattern and texts of the thread rules X10 and X11.
+RACE_TYPE = "Race Condition"
 SHARED_STATE = r"(global|static)\s+\w+"
 SHARED_STATE_TEXT = "Global/static variable access in multi-threaded context"
 NO_SYNC_TEXT = "Multi-threading detected without synchronization primitives"
-RACE_TYPE = "Race Condition"
 
-(
-    CRYPTO_GROUP, INPUT_GROUP, HANDLE_GROUP, MEMORY_GROUP, SHARED_GROUP, NO_SYNC_GROUP, RACE_GROUP,
-) = range(7)
 # Substrings (lower case) of which a line must have one before a pattern is tried.
 STEMS = {
     "X1": ("rand",), "X2": ("password", "key", "token"), "X3": ("md5(", "sha1("), "X4": ("tp://", "telnet"),
     "X5": ("scanf", "atoi", "strtol"), "X6": ("+",), "X7": ("..",),
     "X12": ("sleep",), "X13": ("volatile",), "X14": ("signal",),
 }
+BALANCE_STEMS = {"X8": ("fopen", "fclose"), "X9": ("alloc", "free")}
 PATTERN_LINE_RULES = {*CRYPTO_PATTERNS, *INPUT_PATTERNS, *RACE_PATTERNS}
 
 
-def _place(group: int, major: Column, minor: int = 0, tie: Column | None = None) -> Column:
-    return ordinal(FILE_STAGE, F.lit(0), PATTERN_ORDER, group, major, F.lit(minor), tie)
-
-
-def _gated(rule_id: str, low: Column, test: Column) -> Column:
-    return has_any(low, STEMS[rule_id]) & test
-
-
-def pattern_line_rule_list(low: Column, only: set[str] | None = None) -> list[Rule]:
-    """Rules on a file-line unit; ``low`` is its lower-case line."""
-    line, line_no = F.col("line"), F.col("line_no")
-
-    def rule(rule_id, group, minor, when, severity, kind, description):
-        emit = finding(
-            line_no, severity, kind, description, strip(line), SOURCE, rule_id, _place(group, line_no, minor)
-        )
-        return Rule(rule_id, when, emit)
-
-    rules, minor = [], 0
-    for rule_id, (kind, patterns) in CRYPTO_PATTERNS.items():
+def rule_texts() -> list[RuleText]:
+    def text(rule_id: str, severity: str, kind: str, description: str, group: int) -> RuleText:
+        return RuleText(rule_id, severity, kind, description, SOURCE, FILE_STAGE, PACK, group)
+
+    return [
+        *[
+            text(i, "MEDIUM", kind, f"Potential {kind.lower()} detected", CRYPTO_GROUP)
+            for i, (kind, _) in CRYPTO_PATTERNS.items()
+        ],
+        *[
+            text(i, severity, kind, f"{kind} vulnerability detected", INPUT_GROUP)
+            for i, (kind, severity, _) in INPUT_PATTERNS.items()
+        ],
+        text("X8", "MEDIUM", *BALANCES["X8"][2:], HANDLE_GROUP),
+        text("X9", "MEDIUM", *BALANCES["X9"][2:], MEMORY_GROUP),
+        text("X10", "MEDIUM", RACE_TYPE, SHARED_STATE_TEXT, SHARED_GROUP),
+        text("X11", "HIGH", RACE_TYPE, NO_SYNC_TEXT, NO_SYNC_GROUP),
+        *[text(i, "MEDIUM", RACE_TYPE, words, RACE_GROUP) for i, (_, words) in RACE_PATTERNS.items()],
+    ]
+
+
+def pattern_tests() -> list[LineTest]:
+    """Tests on a file-line unit; ``low`` is its lower-case line."""
+    context = strip("line")
+    tests: list[LineTest] = []
+
+    def add(rule_id: str, minor: int, when: str) -> None:
+        if rule_id in STEMS:
+            when = f"{has_any('low', STEMS[rule_id])} and {when}"
+        tests.append(LineTest(rule_id, when, minor=minor, context=context))
+
+    minor = 0
+    for rule_id, (_, patterns) in CRYPTO_PATTERNS.items():
         for pattern in patterns:
-            test = _gated(rule_id, low, low.rlike(pattern))
-            text = f"Potential {kind.lower()} detected"
-            rules.append(rule(rule_id, CRYPTO_GROUP, minor, test, "MEDIUM", kind, text))
+            add(rule_id, minor, f"low rlike {literal(pattern)}")
             minor += 1
-    for rule_id, (kind, severity, patterns) in INPUT_PATTERNS.items():
+    for rule_id, (_, _, patterns) in INPUT_PATTERNS.items():
         for pattern in patterns:
-            test = _gated(rule_id, low, line.rlike("(?id)" + pattern))
+            test = f"line rlike {literal('(?id)' + pattern)}"
             if rule_id == "X7":
-                test = test & has_any(line, FILE_OPERATIONS)
-            text = f"{kind} vulnerability detected"
-            rules.append(rule(rule_id, INPUT_GROUP, minor, test, severity, kind, text))
+                test += f" and {has_any('line', FILE_OPERATIONS)}"
+            add(rule_id, minor, test)
             minor += 1
-    rules.append(
-        rule(
-            "X10", SHARED_GROUP, 0,
-            (line_no >= F.col("first_thread")) & line.rlike("(?i)" + SHARED_STATE),
-            "MEDIUM", RACE_TYPE, SHARED_STATE_TEXT,
-        )
-    )
-    for minor, (rule_id, (pattern, text)) in enumerate(RACE_PATTERNS.items()):
-        test = _gated(rule_id, low, line.rlike("(?id)" + pattern))
-        rules.append(rule(rule_id, RACE_GROUP, minor, test, "MEDIUM", RACE_TYPE, text))
-    return selected(rules, only)
-
+    add("X10", 0, f"line_no >= first_thread and line rlike {literal('(?i)' + SHARED_STATE)}")
+    for minor, (rule_id, (pattern, _)) in enumerate(RACE_PATTERNS.items()):
+        add(rule_id, minor, f"line rlike {literal('(?id)' + pattern)}")
+    return tests
 
-def pattern_line_findings(only: set[str] | None = None) -> Column:
-    """Findings of the line rules of pack X on a file-line unit."""
-    line = F.col("line")
-    return let(F.lower(line), lambda low: compile_rules(pattern_line_rule_list(low, only), line))
 
-
-def open_variables(rule_id: str, body: Column) -> Column:
-    """Names whose last opening lies after their last closing, in name order.
+def balance_hits(rule_id: str, numbers: dict[str, int]) -> str:
+    """One hit at line 0 per name whose last opening lies after its last closing.
 
     The first match of a line counts, and an opening comes before a closing of the same line.
     """
     opening, closing, _, _ = BALANCES[rule_id]
+    open_stem, close_stem = BALANCE_STEMS[rule_id]
 
-    def last_lines(pattern: str, stem: str) -> Column:
-        hits = F.transform(
-            F.filter(body, lambda x: x["line"].contains(stem)),
-            lambda x: F.struct(
-                F.regexp_extract(x["line"], pattern, 1).alias("var"), x["line_no"].alias("line_no")
-            ),
+    def events(pattern: str, stem: str) -> str:
+        found = (
+            f"transform(filter(body, x -> contains(x.line, '{stem}')), x -> named_struct("
+            f"'var', regexp_extract(x.line, {literal(pattern)}, 1), 'line_no', x.line_no))"
         )
-        return F.filter(hits, lambda h: h["var"] != "")
-
-    def unbalanced(opened: Column, closed: Column) -> Column:
-        def last(events: Column, var: Column) -> Column:
-            lines = F.transform(F.filter(events, lambda e: e["var"] == var), lambda e: e["line_no"])
-            return F.coalesce(F.array_max(lines), F.lit(0))
-
-        names = F.array_sort(F.array_distinct(F.transform(opened, lambda e: e["var"])))
-        return F.filter(names, lambda var: last(opened, var) > last(closed, var))
-
-    close_stem = "fclose" if rule_id == "X8" else "free"
-    return let(
-        last_lines(opening, OPENERS[rule_id][0]),
-        lambda opened: let(last_lines(closing, close_stem), lambda closed: unbalanced(opened, closed)),
-    )
+        return f"filter({found}, x -> x.var <> '')"
 
+    def last(which: str) -> str:
+        return f"coalesce(array_max(filter({which}, event -> event.var = name).line_no), 0)"
 
-def balance_findings(rule_id: str) -> Column:
-    """One finding at line 0 per handle or allocation still open at the end of the file."""
-    _, _, kind, text = BALANCES[rule_id]
-    group = HANDLE_GROUP if rule_id == "X8" else MEMORY_GROUP
-    return F.when(
-        F.col("line").contains(OPENERS[rule_id][0]),
-        F.transform(
-            open_variables(rule_id, F.col("body")),
-            lambda var: finding(
-                F.lit(0), "MEDIUM", kind, F.format_string(text, var), None, SOURCE, rule_id,
-                _place(group, F.lit(0), 0, var),
-            ),
-        ),
-    ).otherwise(no_findings())
-
-
-def unsynchronised_threads() -> Column:
-    """One finding at the first thread line of a file that never synchronises."""
-    emit = finding(
-        F.col("first_thread"), "HIGH", RACE_TYPE, NO_SYNC_TEXT, None, SOURCE, "X11",
-        _place(NO_SYNC_GROUP, F.lit(0)),
-    )
-    return F.when(F.col("first_thread").isNotNull() & ~F.col("has_sync"), F.array(emit)).otherwise(
-        no_findings()
+    names = f"filter(array_sort(array_distinct(opened.var)), name -> {last('opened')} > {last('closed')})"
+    report = hit(numbers[rule_id], "0", "0", 0, "name")
+    found = let(
+        events(opening, open_stem), "opened",
+        let(events(closing, close_stem), "closed", f"transform({names}, name -> {report})"),
     )
+    return f"if(contains(line, '{open_stem}'), {found}, {NO_HITS})"
 
 
-def pattern_file_findings(only: set[str] | None = None) -> Column:
-    """Findings of the whole-file rules of pack X on a file unit."""
-    parts = [balance_findings(r) for r in BALANCES if only is None or r in only]
-    if only is None or "X11" in only:
-        parts.append(unsynchronised_threads())
-    return F.concat(*parts) if parts else no_findings()
+def pattern_file_hits(numbers: dict[str, int]) -> dict[str, str]:
+    """SQL of the hits of each whole-file rule on a file unit."""
+    no_sync = hit(numbers["X11"], "first_thread", "0", 0)
+    return {
+        "X8": balance_hits("X8", numbers),
+        "X9": balance_hits("X9", numbers),
+        "X11": f"if(first_thread is not null and not has_sync, array({no_sync}), {NO_HITS})",
+    }

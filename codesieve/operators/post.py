@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import SEVERITY_WEIGHTS, ScanOptions
-from .findings import has_any
 
 # Contexts in which a low integer overflow is no finding.
 SAFE_CONTEXTS = ("for (", "while (", "if (", "printf(", "sizeof(")
@@ -41,6 +42,10 @@ GENERAL_FIX = "Review code for security best practices"
 FILE_SOURCE = "pattern"
 
 
+def has_any(text: Column, parts) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
 def first_match(text: Column, values: dict[str, str]) -> Column:
     """Value of the first key that is a substring of ``text``, else null."""
     return F.coalesce(*[F.when(text.contains(key), value) for key, value in values.items()])

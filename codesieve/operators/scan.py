@@ -2,93 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..options import HEURISTIC_PACK, MODEL_PACK, PATTERN_PACK, ScanOptions
-from .findings import finding, no_findings, ordinal
-from .heuristic_rules import HEURISTIC_LINE_RULES, heuristic_chunk_findings, heuristic_line_findings
-from .model_rules import MODEL_LINE_RULES, model_findings
-from .pattern_rules import PATTERN_LINE_RULES, pattern_file_findings, pattern_line_findings
+from ..functions.text import let, literal
+from ..options import ALL_PACKS, ScanOptions
+from . import heuristic_rules, model_rules, pattern_rules
+from .findings import NO_HITS, RuleText, compile_tests, concat_hits, describe_hits, hit
+from .heuristic_rules import HEURISTIC_LINE_RULES
+from .model_rules import MODEL_LINE_RULES
+from .pattern_rules import PATTERN_LINE_RULES
+from .segment import with_chunks
 from .units import (
-    CHUNK_LINE_SCOPE, CHUNK_SCOPE, FILE_LINE_SCOPE, FILE_SCOPE, line_units, scan_units,
+    CHUNK_LINE_SCOPE, CHUNK_SCOPE, FILE_LINE_SCOPE, FILE_SCOPE, Cutter, line_units, scan_units,
 )
 
-FINDING_FIELDS = (
-    "chunk_idx", "function_name", "line", "severity", "type", "description", "context", "confidence",
-    "source", "rule_id", "ordinal",
-)
-
-
+LINE_RULES = MODEL_LINE_RULES | HEURISTIC_LINE_RULES | PATTERN_LINE_RULES
 # A record of this rule stands for the file itself; its line is the file's chunk count.
 FILE_RECORD = "FILE"
 
 
-def _file_record() -> Column:
-    place = ordinal(1, F.lit(0), 0, 0, F.lit(0), F.lit(0))
-    return F.array(finding(F.col("pos"), "", "", "", None, "", FILE_RECORD, place))
+def rule_list() -> list[RuleText]:
+    """All rules in a fixed order; a hit names its rule by the place in this list."""
+    return [
+        *model_rules.rule_texts(), *heuristic_rules.rule_texts(), *pattern_rules.rule_texts(),
+        RuleText(FILE_RECORD, "", "", ""),
+    ]
 
 
-def _picked(only: set[str] | None, pack: str) -> set[str] | None:
-    return None if only is None else {r for r in only if r.startswith(pack)}
+def hit_sql(packs: frozenset[str], only: set[str] | None = None, file_records: bool = False) -> str:
+    """SQL of the array of hits of a unit row, by its scope."""
+    numbers = {rule.rule_id: n for n, rule in enumerate(rule_list())}
+
+    def wanted(rule_id: str) -> bool:
+        return rule_id[0] in packs and (only is None or rule_id in only)
+
+    def tests(all_tests) -> list:
+        return [t for t in all_tests if wanted(t.rule_id)]
+
+    chunk_line = tests([*model_rules.model_tests(), *heuristic_rules.heuristic_tests()])
+    file_line = tests(pattern_rules.pattern_tests())
+    chunk = [sql for i, sql in heuristic_rules.heuristic_chunk_hits(numbers).items() if wanted(i)]
+    file = [sql for i, sql in pattern_rules.pattern_file_hits(numbers).items() if wanted(i)]
+    if file_records:
+        file.append(f"array({hit(numbers[FILE_RECORD], 'pos', '0', 0)})")
+
+    by_scope = {}
+    if chunk_line:
+        by_scope[CHUNK_LINE_SCOPE] = compile_tests(chunk_line, numbers, "line")
+    if file_line:
+        by_scope[FILE_LINE_SCOPE] = let("lower(line)", "low", compile_tests(file_line, numbers, "line"))
+    if chunk:
+        by_scope[CHUNK_SCOPE] = concat_hits(chunk)
+    if file:
+        by_scope[FILE_SCOPE] = concat_hits(file)
+    cases = " ".join(f"when {literal(scope)} then {sql}" for scope, sql in by_scope.items())
+    return f"case scope {cases} else {NO_HITS} end" if cases else NO_HITS
 
 
 def unit_findings(
     units: DataFrame, packs: frozenset[str], only: set[str] | None = None, file_records: bool = False
 ) -> DataFrame:
     """All hits of the packs (or of the rules in ``only``) on unit rows, one row each."""
-    by_scope: dict[str, list] = {}
-    if file_records:
-        by_scope[FILE_SCOPE] = [_file_record()]
-
-    def wants(pack: str) -> bool:
-        return pack in packs and (only is None or bool(_picked(only, pack)))
-
-    if wants(MODEL_PACK):
-        by_scope.setdefault(CHUNK_LINE_SCOPE, []).append(model_findings(_picked(only, MODEL_PACK)))
-    if wants(HEURISTIC_PACK):
-        picked = _picked(only, HEURISTIC_PACK)
-        if picked is None or picked & HEURISTIC_LINE_RULES:
-            by_scope.setdefault(CHUNK_LINE_SCOPE, []).append(heuristic_line_findings(picked))
-        if picked is None or picked - HEURISTIC_LINE_RULES:
-            by_scope.setdefault(CHUNK_SCOPE, []).append(heuristic_chunk_findings(picked))
-    if wants(PATTERN_PACK):
-        picked = _picked(only, PATTERN_PACK)
-        if picked is None or picked & {*PATTERN_LINE_RULES, "X10"}:
-            by_scope.setdefault(FILE_LINE_SCOPE, []).append(pattern_line_findings(picked))
-        if picked is None or picked - {*PATTERN_LINE_RULES, "X10"}:
-            by_scope.setdefault(FILE_SCOPE, []).append(pattern_file_findings(picked))
-
-    hits = no_findings()
-    for scope, parts in by_scope.items():
-        both = F.concat(*parts) if len(parts) > 1 else parts[0]
-        hits = F.when(F.col("scope") == scope, both).otherwise(hits)
-    return units.select("file_id", "chunk_idx", "function_name", "around", F.explode(hits).alias("f")).select(
-        "file_id", "chunk_idx", "function_name",
-        *[F.col(f"f.{name}") for name in FINDING_FIELDS if name not in ("chunk_idx", "function_name")],
-        F.col("around").alias("context_lines"),
+    hits = units.select(
+        "file_id", "chunk_idx", "function_name", F.col("around").alias("context_lines"),
+        F.expr(f"explode({hit_sql(packs, only, file_records)})").alias("hit"),
     )
+    return describe_hits(hits, rule_list())
 
 
 def raw_findings(
-    files: DataFrame, options: ScanOptions = ScanOptions(), only: set[str] | None = None, chunks=None
+    files: DataFrame, options: ScanOptions = ScanOptions(), only: set[str] | None = None,
+    cutter: Cutter = with_chunks,
 ) -> DataFrame:
     """Findings of all packs over files(file_id, content), before any filter; a narrow plan."""
-    return unit_findings(scan_units(files, options, chunks), options.packs, only)
+    return unit_findings(scan_units(files, options, cutter), options.packs, only)
 
 
-def scan_records(files: DataFrame, options: ScanOptions = ScanOptions(), chunks=None) -> DataFrame:
+def scan_records(files: DataFrame, options: ScanOptions = ScanOptions(), cutter: Cutter = with_chunks) -> DataFrame:
     """Raw findings and one record per file, from a single pass over the text."""
-    return unit_findings(scan_units(files, options, chunks), options.packs, file_records=True)
+    return unit_findings(scan_units(files, options, cutter), options.packs, file_records=True)
 
 
 def line_findings(lines: DataFrame, only: set[str]) -> DataFrame:
     """Findings of line-only rules over lines(file_id, line_no, line), batch or streaming."""
-    local = MODEL_LINE_RULES | HEURISTIC_LINE_RULES | PATTERN_LINE_RULES
-    unknown = only - local
+    unknown = only - LINE_RULES
     if unknown:
         raise ValueError(f"not line-only rules: {sorted(unknown)}")
-    # One pass: each line becomes a unit of the scopes its rules ask for.
     scopes = []
     if only & (MODEL_LINE_RULES | HEURISTIC_LINE_RULES):
         scopes.append(CHUNK_LINE_SCOPE)
@@ -96,6 +96,6 @@ def line_findings(lines: DataFrame, only: set[str]) -> DataFrame:
         scopes.append(FILE_LINE_SCOPE)
     units = line_units(lines, scopes[0])
     if len(scopes) == 2:
+        # One pass: each line becomes a unit of both scopes.
         units = units.withColumn("scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
-    packs = frozenset({MODEL_PACK, HEURISTIC_PACK, PATTERN_PACK})
-    return unit_findings(units, packs, only)
+    return unit_findings(units, ALL_PACKS, only)

@@ -6,10 +6,12 @@ needs no shuffle. Lines keep their true number in the file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITESPACE, let, match_spans, running_max, running_sum, split_lines
+from ..functions.text import (
+    WHITESPACE, let, literal, match_spans, newline_count, running_max, running_sum, split_lines,
+)
 from ..options import ScanOptions
 
 # Chunk types, and what counts as a directive.
@@ -20,250 +22,209 @@ CONTROL_NAMES = ("if", "for", "while", "switch")
 
 # At most 16 words before the name and 4000 characters of parameters: an open-ended
 # repetition of a group recurses in java.util.regex and overflows the stack on prose.
+# The text to match has a newline put in front, so every header follows one.
 FUNCTION_HEADER = (
-    r"(?:^|\n)[ \t]*(?:\w+\s+){0,16}\*?\s*(\w+)\s*\([^)]{0,4000}\)\s*\{"
+    r"\n[ \t]*+(?:\w++\s++){0,16}\*?\s*+(\w++)\s*+\([^)]{0,4000}+\)\s*+\{"
 )
 STRING_LITERAL = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 CHAR_LITERAL = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*"
-TOKEN = "(?d)" + "|".join([STRING_LITERAL, CHAR_LITERAL, COMMENT, FUNCTION_HEADER, "[{}]"])
+# The look-ahead rejects most positions by a single test.
+TOKEN = (
+    r"""(?d)(?=["'/{}\n])(?:"""
+    + "|".join(["[{}]", FUNCTION_HEADER, STRING_LITERAL, CHAR_LITERAL, COMMENT])
+    + ")"
+)
 
 CHUNK_LINES = "array<struct<line_no:int,line:string>>"
 CHUNK_ARRAY = f"array<struct<chunk_type:string,function_name:string,lines:{CHUNK_LINES}>>"
+NO_CHUNKS = f"cast(array() as {CHUNK_ARRAY})"
 
 
-def _is_header(text: Column) -> Column:
-    return F.length(text) > 1
-
-
-def block_array(content: Column) -> Column:
-    """Every opening brace with its partner, as an array of structs.
-
-    ``name`` is set for function headers; ``close_line`` is null for a block left open.
-    Literals and comments are tokens of their own, so braces in them do not count.
-    """
+def _brace_tokens() -> str:
+    """Headers and braces of ``content`` with their lines; literals and comments left out."""
+    spans = let("concat('\\n', content)", "padded", match_spans("padded", TOKEN))
+    return (
+        f"if(contains(content, '{{'), filter({spans}, "
+        """brace -> substr(brace.text, 1, 1) not in ('"', "'", '/')), """
+        "cast(array() as array<struct<text:string,first:int,last:int>>))"
+    )
 
-    def levelled(tokens: Column) -> Column:
-        depth = running_sum(F.transform(tokens, lambda t: F.when(t["text"] == "}", -1).otherwise(1)))
-        return let(
-            depth,
-            lambda depths: F.array_sort(
-                F.transform(
-                    tokens,
-                    lambda t, i: F.struct(
-                        (F.get(depths, i) - F.when(t["text"] == "}", 0).otherwise(1)).alias("level"),
-                        i.alias("seq"),
-                        t["text"].alias("text"),
-                        t["first"].alias("first"),
-                        t["last"].alias("last"),
-                    ),
-                )
-            ),
-        )
 
-    def paired(tokens: Column) -> Column:
-        def block(token: Column, i: Column) -> Column:
-            after = F.get(tokens, i + 1)
-            closes = (after["level"] == token["level"]) & (after["text"] == "}")
-            header = _is_header(token["text"])
-            start = token["first"] + F.when(F.startswith(token["text"], F.lit("\n")), 2).otherwise(1)
-            return F.struct(
-                token["seq"].alias("seq"),
-                token["level"].alias("level"),
-                F.when(header, start).otherwise(token["last"] + 1).alias("start_line"),
-                (token["last"] + 1).alias("open_line"),
-                F.when(closes, after["last"] + 1).alias("close_line"),
-                F.when(header, F.regexp_extract(token["text"], "(?d)" + FUNCTION_HEADER, 1)).alias("name"),
-                token["text"].alias("text"),
-            )
-
-        return F.filter(F.transform(tokens, block), lambda b: b["text"] != "}")
-
-    braces = F.filter(
-        match_spans(content, TOKEN),
-        lambda t: ~F.substring(t["text"], 1, 1).isin('"', "'", "/"),
-    )
-    nothing = F.array().cast(
-        "array<struct<seq:int,level:int,start_line:int,open_line:int,close_line:int,name:string,text:string>>"
+def _levelled_tokens() -> str:
+    """``tokens`` sorted by nesting level: a block's partner is then the next brace of its level."""
+    depths = running_sum("transform(tokens, token -> if(token.text = '}', -1, 1))")
+    levelled = (
+        "array_sort(transform(bound, (token, i_token) -> named_struct("
+        "'level', get(depths, i_token) - if(token.text = '}', 0, 1), 'seq', i_token, "
+        "'text', token.text, 'first', token.first, 'last', token.last)))"
     )
-    return F.when(
-        content.contains("{"), let(braces, lambda tokens: let(levelled(tokens), paired))
-    ).otherwise(nothing)
+    return let("tokens", "bound", let(depths, "depths", levelled))
 
 
-def function_ranges(content: Column, options: ScanOptions) -> Column:
-    """Closed function blocks as array<struct<start_line, end_line, name>> in text order."""
+def _blocks() -> str:
+    """Every opening brace of ``levelled`` with its partner's line, null for a block left open."""
+    header = "length(brace.text) > 1"
+    margin = let(r"regexp_extract(brace.text, '^\\s*', 0)", "space", newline_count("space"))
+    block = f"""named_struct(
+        'seq', brace.seq, 'level', brace.level,
+        'start_line', if({header}, brace.first + {margin}, brace.last),
+        'open_line', brace.last,
+        'close_line', {let("get(sorted, i_brace + 1)", "after", "if(after.level = brace.level and after.text = '}', after.last, null)")},
+        'name', if({header}, regexp_extract(brace.text, {literal("(?d)" + FUNCTION_HEADER)}, 1), null),
+        'text', brace.text)"""
+    blocks = f"filter(transform(sorted, (brace, i_brace) -> {block}), block -> block.text <> '}}')"
+    return let("levelled", "sorted", blocks)
 
-    def closed(block: Column) -> Column:
-        keep = block["name"].isNotNull() & block["close_line"].isNotNull()
-        if not options.include_control_blocks:
-            keep = keep & ~block["name"].isin(*CONTROL_NAMES)
-        return keep
 
-    return F.array_sort(
-        F.transform(
-            F.filter(block_array(content), closed),
-            lambda b: F.struct(
-                b["start_line"].alias("start_line"),
-                b["close_line"].alias("end_line"),
-                b["name"].alias("name"),
-            ),
-        )
+def with_blocks(files: DataFrame) -> DataFrame:
+    """Adds ``blocks``: the brace pairs of ``content``; ``name`` is set for function headers.
+
+    Literals and comments are tokens of their own, so braces in them do not count. The steps
+    are columns of their own only to keep each expression small; the plan stays one narrow pass.
+    """
+    rest = files.columns
+    tokens = files.select(*rest, F.expr(_brace_tokens()).alias("tokens"))
+    levelled = tokens.select(*rest, F.expr(_levelled_tokens()).alias("levelled"))
+    return levelled.select(*rest, F.expr(_blocks()).alias("blocks"))
+
+
+def function_ranges(options: ScanOptions) -> str:
+    """Closed function ``blocks`` as array<struct<start_line, end_line, name>> in text order."""
+    keep = "block.name is not null and block.close_line is not null"
+    if not options.include_control_blocks:
+        keep += f" and block.name not in ({', '.join(map(literal, CONTROL_NAMES))})"
+    return (
+        f"array_sort(transform(filter(blocks, block -> {keep}), block -> named_struct("
+        "'start_line', block.start_line, 'end_line', block.close_line, 'name', block.name)))"
     )
 
 
-def _is_directive(line: Column) -> Column:
-    return line.contains("#") & (line.rlike(INCLUDE_LINE) | line.rlike(DEFINE_LINE))
+def _chunk(kind: str, name: str, lines: str) -> str:
+    return f"named_struct('chunk_type', {literal(kind)}, 'function_name', {name}, 'lines', {lines})"
 
 
-def _chunk(kind: str, name: Column, lines: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("chunk_type"), name.alias("function_name"), lines.alias("lines")
-    )
+def _single(kind: str, lines: str) -> str:
+    return let(lines, "kept", f"""if(size(kept) > 0, array({_chunk(kind, "''", "kept")}), {NO_CHUNKS})""")
 
 
-def _single(kind: str, lines: Column) -> Column:
-    return let(
-        lines,
-        lambda kept: F.when(F.size(kept) > 0, F.array(_chunk(kind, F.lit(""), kept))).otherwise(
-            F.array().cast(CHUNK_ARRAY)
-        ),
-    )
+def _is(pattern: str, line: str) -> str:
+    return f"(contains({line}, '#') and {line} rlike {literal(pattern)})"
 
 
-def include_chunk(content: Column, lines: Column) -> Column:
+def include_chunk(content: str, lines: str) -> str:
     """The include directives, then the define lines; no chunk if there are none."""
-    includes = F.transform(
-        F.filter(lines, lambda x: x["line"].contains("#") & x["line"].rlike(INCLUDE_LINE)),
-        lambda x: F.struct(
-            x["line_no"].alias("line_no"), F.regexp_extract(x["line"], INCLUDE_LINE, 0).alias("line")
-        ),
-    )
-    defines = F.filter(lines, lambda x: x["line"].contains("#") & x["line"].rlike(DEFINE_LINE))
-    return F.when(content.contains("#"), _single(INCLUDES, F.concat(includes, defines))).otherwise(
-        F.array().cast(CHUNK_ARRAY)
+    includes = (
+        f"transform(filter({lines}, x -> {_is(INCLUDE_LINE, 'x.line')}), x -> named_struct("
+        f"'line_no', x.line_no, 'line', regexp_extract(x.line, {literal(INCLUDE_LINE)}, 0)))"
     )
+    defines = f"filter({lines}, x -> {_is(DEFINE_LINE, 'x.line')})"
+    return f"if(contains({content}, '#'), {_single(INCLUDES, f'concat({includes}, {defines})')}, {NO_CHUNKS})"
 
 
-def function_chunk_array(lines: Column, ranges: Column) -> Column:
+def function_chunk_array(lines: str, ranges: str) -> str:
     """One chunk of whole lines per range, without outer white space."""
-
-    def body(r: Column) -> Column:
-        count = r["end_line"] - r["start_line"] + 1
-
-        def trimmed(x: Column, i: Column) -> Column:
-            head = F.when(i == 0, F.ltrim(x["line"], F.lit(WHITESPACE))).otherwise(x["line"])
-            line = F.when(i == count - 1, F.rtrim(head, F.lit(WHITESPACE))).otherwise(head)
-            return F.struct(x["line_no"].alias("line_no"), line.alias("line"))
-
-        return F.transform(F.slice(lines, r["start_line"], count), trimmed)
-
-    return F.transform(ranges, lambda r: _chunk(FUNCTION, r["name"], body(r)))
+    space = literal(WHITESPACE)
+    head = f"if(i_x = 0, ltrim({space}, x.line), x.line)"
+    line = f"if(i_x = r.end_line - r.start_line, rtrim({space}, {head}), {head})"
+    body = (
+        f"transform(slice({lines}, r.start_line, r.end_line - r.start_line + 1), "
+        f"(x, i_x) -> named_struct('line_no', x.line_no, 'line', {line}))"
+    )
+    return f"transform({ranges}, r -> {_chunk(FUNCTION, 'r.name', body)})"
 
 
-def global_chunk(lines: Column, ranges: Column) -> Column:
+def global_chunk(lines: str, ranges: str) -> str:
     """Lines outside every function and not a directive, blank lines left out."""
 
-    def gaps(ends: Column) -> Column:
-        def before(k: Column, start: Column) -> Column:
-            covered = F.coalesce(F.get(ends, k - 1), F.lit(0))
-            return F.struct((covered + 1).alias("at"), (start - covered - 1).alias("count"))
-
-        between = F.transform(ranges, lambda r, k: before(k, r["start_line"]))
-        tail = before(F.size(ranges), F.size(lines) + 1)
-        return F.filter(F.concat(between, F.array(tail)), lambda g: g["count"] > 0)
+    def before(k: str, start: str) -> str:
+        return let(
+            f"coalesce(get(covered, {k} - 1), 0)", "past",
+            f"named_struct('at', past + 1, 'count', {start} - past - 1)",
+        )
 
-    ends = running_max(F.transform(ranges, lambda r: r["end_line"]))
-    outside = F.flatten(
-        F.transform(let(ends, gaps), lambda g: F.slice(lines, g["at"], g["count"]))
+    gaps = (
+        f"filter(concat(transform({ranges}, (r, i_r) -> {before('i_r', 'r.start_line')}), "
+        f"array({before(f'size({ranges})', f'size({lines}) + 1')})), gap -> gap.count > 0)"
     )
-    return _single(
-        GLOBAL, F.filter(outside, lambda x: x["line"].rlike(r"\S") & ~_is_directive(x["line"]))
+    ends = running_max(f"transform({ranges}, r -> r.end_line)")
+    outside = let(ends, "covered", f"flatten(transform({gaps}, gap -> slice({lines}, gap.at, gap.count)))")
+    kept = (
+        f"filter({outside}, x -> x.line rlike '\\\\S' "
+        f"and not ({_is(INCLUDE_LINE, 'x.line')} or {_is(DEFINE_LINE, 'x.line')}))"
     )
+    return _single(GLOBAL, kept)
 
 
-def split_oversized(chunk: Column, limit: int | None) -> Column:
+def split_oversized(chunk: str, limit: int | None) -> str:
     """A chunk as array of chunks: itself, or greedy line packs of at most ``limit`` characters.
 
     Each line counts one more for its newline; a single longer line stays whole.
     """
     if limit is None:
-        return F.array(chunk)
-
-    def starts(sizes: Column) -> Column:
-        def pack(state: Column, x: Column) -> Column:
-            full = (state["used"] + x["size"] > limit) & (state["used"] > 0)
-            return F.when(
-                full,
-                F.struct(x["size"].alias("used"), F.concat(state["at"], F.array(x["i"])).alias("at")),
-            ).otherwise(F.struct((state["used"] + x["size"]).alias("used"), state["at"].alias("at")))
-
-        first = F.struct(F.lit(0).alias("used"), F.array(F.lit(0)).alias("at"))
-        return F.aggregate(sizes, first, pack, lambda state: state["at"])
-
-    def pieces(at: Column) -> Column:
-        def piece(start: Column, k: Column) -> Column:
-            stop = F.coalesce(F.get(at, k + 1), F.size(chunk["lines"]))
-            return _chunk(MIXED, chunk["function_name"], F.slice(chunk["lines"], start + 1, stop - start))
-
-        return F.transform(at, piece)
-
-    def fit(sizes: Column) -> Column:
-        total = F.aggregate(sizes, F.lit(0), lambda n, x: n + x["size"]) - 1
-        return F.when(total <= limit, F.array(chunk)).otherwise(let(starts(sizes), pieces))
-
+        return f"array({chunk})"
+    pack = (
+        f"if(pack.used + w.size > {limit} and pack.used > 0, "
+        "named_struct('used', w.size, 'at', concat(pack.at, array(w.i))), "
+        "named_struct('used', pack.used + w.size, 'at', pack.at))"
+    )
+    starts = f"aggregate(widths, named_struct('used', 0, 'at', array(0)), (pack, w) -> {pack}, pack -> pack.at)"
+    piece = (
+        f"slice({chunk}.lines, start + 1, coalesce(get(starts, i_start + 1), size({chunk}.lines)) - start)"
+    )
+    pieces = f"transform(starts, (start, i_start) -> {_chunk(MIXED, f'{chunk}.function_name', piece)})"
+    total = "aggregate(widths, 0, (total, w) -> total + w.size) - 1"
     return let(
-        F.transform(
-            chunk["lines"], lambda x, i: F.struct(i.alias("i"), (F.length(x["line"]) + 1).alias("size"))
-        ),
-        fit,
+        f"transform({chunk}.lines, (x, i_x) -> named_struct('i', i_x, 'size', length(x.line) + 1))", "widths",
+        f"if({total} <= {limit}, array({chunk}), {let(starts, 'starts', pieces)})",
     )
 
 
-def chunk_array(content: Column, options: ScanOptions) -> Column:
-    """All chunks of a file in order: includes, functions, global; oversized ones split in place."""
-
-    def assemble(lines: Column, ranges: Column) -> Column:
-        return F.concat(
-            include_chunk(content, lines), function_chunk_array(lines, ranges), global_chunk(lines, ranges)
-        )
+def with_chunks(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Adds ``chunks``, all chunks of a file in order: includes, functions, global.
 
-    whole = let(
-        split_lines(content),
-        lambda lines: let(function_ranges(content, options), lambda ranges: assemble(lines, ranges)),
+    Oversized ones are split in place.
+    """
+    rest = files.columns
+    parts = (
+        f"concat({include_chunk('content', 'all_lines')}, {function_chunk_array('all_lines', 'bound')}, "
+        f"{global_chunk('all_lines', 'bound')})"
     )
-    return F.flatten(F.transform(whole, lambda c: split_oversized(c, options.max_chunk_size)))
+    whole = let(split_lines("content"), "all_lines", let("ranges", "bound", parts))
+    split = f"flatten(transform(whole_chunks, whole_chunk -> {split_oversized('whole_chunk', options.max_chunk_size)}))"
+    ranges = with_blocks(files).select(*rest, F.expr(function_ranges(options)).alias("ranges"))
+    return ranges.select(*rest, F.expr(whole).alias("whole_chunks")).select(*rest, F.expr(split).alias("chunks"))
 
 
-def whole_text_array(content: Column, options: ScanOptions) -> Column:
-    """The text as one chunk (split if oversized), for corpora that are not C sources."""
-    one = _chunk(MIXED, F.lit(""), split_lines(content))
-    return let(one, lambda c: split_oversized(c, options.max_chunk_size))
+def with_whole_text(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Adds ``chunks`` with the text as one chunk (split if oversized), for texts that are no sources."""
+    one = _chunk(MIXED, "''", split_lines("content"))
+    split = let(one, "whole_chunk", split_oversized("whole_chunk", options.max_chunk_size))
+    return files.select("*", F.expr(split).alias("chunks"))
 
 
-def _explode_chunks(files: DataFrame, chunks: Column) -> DataFrame:
-    rows = files.select("file_id", F.posexplode(chunks).alias("chunk_idx", "chunk"))
-    numbers = F.transform("chunk.lines", lambda x: x["line_no"])
+def _explode_chunks(chunked: DataFrame) -> DataFrame:
+    rows = chunked.select("file_id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
     return rows.select(
         "file_id",
         "chunk_idx",
         "chunk.chunk_type",
         "chunk.function_name",
-        F.array_min(numbers).alias("start_line"),
-        F.array_max(numbers).alias("end_line"),
-        F.array_join(F.transform("chunk.lines", lambda x: x["line"]), "\n").alias("content"),
+        F.array_min("chunk.lines.line_no").alias("start_line"),
+        F.array_max("chunk.lines.line_no").alias("end_line"),
+        F.array_join("chunk.lines.line", "\n").alias("content"),
         F.col("chunk.lines").alias("lines"),
     )
 
 
 def chunk_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """files(file_id, content) to chunks(file_id, chunk_idx, chunk_type, function_name, …)."""
-    return _explode_chunks(files, chunk_array(F.col("content"), options))
+    return _explode_chunks(with_chunks(files, options))
 
 
 def chunk_texts(texts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Like ``chunk_files``, but cutting only by size."""
-    return _explode_chunks(texts, whole_text_array(F.col("content"), options))
+    return _explode_chunks(with_whole_text(texts, options))
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
@@ -278,14 +239,14 @@ def chunk_lines(chunks: DataFrame) -> DataFrame:
 
 def function_headers(files: DataFrame) -> DataFrame:
     """Every header found outside comments and literals, closed or not."""
-    return files.select("file_id", F.explode(block_array(F.col("content"))).alias("b")).where(
+    return with_blocks(files).select("file_id", F.explode("blocks").alias("b")).where(
         "b.name is not null"
     ).select("file_id", F.col("b.start_line").alias("line"), F.col("b.name").alias("function_name"))
 
 
 def brace_pairs(files: DataFrame) -> DataFrame:
     """Every opening brace with the line of its partner (null if left open)."""
-    return files.select("file_id", F.explode(block_array(F.col("content"))).alias("b")).select(
+    return with_blocks(files).select("file_id", F.explode("blocks").alias("b")).select(
         "file_id", F.col("b.seq").alias("seq"), F.col("b.level").alias("level"),
         F.col("b.open_line").alias("open_line"), F.col("b.close_line").alias("close_line"),
     )

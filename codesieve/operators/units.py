@@ -7,19 +7,21 @@ and no second pass over the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, newline_count, split_lines
+from ..functions.text import has_any, let, literal, newline_count, split_lines
 from ..options import HEURISTIC_PACK, MODEL_PACK, PATTERN_PACK, ScanOptions
-from .findings import has_any
-from .segment import CHUNK_LINES, chunk_array
+from .segment import CHUNK_LINES, with_chunks
+
+Cutter = Callable[[DataFrame, ScanOptions], DataFrame]
 
 CHUNK_SCOPE, CHUNK_LINE_SCOPE, FILE_SCOPE, FILE_LINE_SCOPE = "chunk", "chunk_line", "file", "file_line"
 
-# How far the look-ahead rules read.
+# How far the look-ahead rules read, and the lines which start one.
 LOOK_AHEAD = 20
-# Lines which start a look-ahead rule.
 LOOKS_AHEAD = ("alloc(", "free(", "open(")
 
 # What marks threads and synchronisation (lower case).
@@ -44,132 +46,87 @@ UNIT_FIELDS = {
 }
 
 
-def _unit(**given: Column) -> Column:
+def _unit(**given: str) -> str:
     """Unit struct with null for every field not given."""
-    return F.struct(
-        *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in UNIT_FIELDS.items()]
-    )
+    fields = [f"'{name}', cast({given.get(name, 'null')} as {kind})" for name, kind in UNIT_FIELDS.items()]
+    return f"named_struct({', '.join(fields)})"
 
 
-def _around(file_lines: Column, line_no: Column, reach: int) -> Column:
-    first = F.greatest(line_no - reach, F.lit(1))
-    return F.transform(
-        F.slice(file_lines, first, line_no + reach + 1 - first), lambda x: x["line"]
-    )
+def _around(file_lines: str, line_no: str, reach: int) -> str:
+    first = f"greatest({line_no} - {reach}, 1)"
+    return f"slice({file_lines}, {first}, {line_no} + {reach + 1} - {first}).line"
 
 
-def chunk_units(chunks: Column, file_lines: Column, reach: int = 0) -> Column:
+def chunk_units(chunks: str, file_lines: str, reach: int = 0) -> str:
     """One unit per chunk and one per chunk line, as a flat array."""
+    whole = _unit(
+        scope=literal(CHUNK_SCOPE), chunk_idx="i_unit_chunk", function_name="unit_chunk.function_name",
+        line="chunk_text", body="unit_chunk.lines",
+    )
+    looks = has_any("u.line", LOOKS_AHEAD)
+    of_line = {
+        "scope": literal(CHUNK_LINE_SCOPE), "chunk_idx": "i_unit_chunk",
+        "function_name": "unit_chunk.function_name", "pos": "i_u + 1", "line_no": "u.line_no", "line": "u.line",
+        "ahead": f"if({looks}, slice(unit_chunk.lines, i_u + 2, {LOOK_AHEAD}), null)",
+        "before": f"if({looks}, get(unit_chunk.lines, i_u - 1).line, null)",
+        "has_null": "flags.has_null", "has_seed": "flags.has_seed",
+    }
+    if reach:
+        of_line["around"] = _around(file_lines, "u.line_no", reach)
+    flags = "named_struct('has_null', contains(upper(chunk_text), 'NULL'), 'has_seed', contains(chunk_text, 'srand('))"
+    lines = let(flags, "flags", f"transform(unit_chunk.lines, (u, i_u) -> {_unit(**of_line)})")
+    units = let("array_join(unit_chunk.lines.line, '\\n')", "chunk_text", f"concat(array({whole}), {lines})")
+    return f"flatten(transform({chunks}, (unit_chunk, i_unit_chunk) -> {units}))"
 
-    def of_chunk(chunk: Column, idx: Column) -> Column:
-        lines = chunk["lines"]
-
-        def with_flags(content: Column) -> Column:
-            flags = F.struct(
-                F.upper(content).contains("NULL").alias("has_null"),
-                content.contains("srand(").alias("has_seed"),
-            )
-            whole = _unit(
-                scope=F.lit(CHUNK_SCOPE), chunk_idx=idx, function_name=chunk["function_name"],
-                line=content, body=lines,
-            )
-
-            def of_line(x: Column, i: Column, flag: Column) -> Column:
-                looks = has_any(x["line"], LOOKS_AHEAD)
-                unit = {
-                    "scope": F.lit(CHUNK_LINE_SCOPE),
-                    "chunk_idx": idx,
-                    "function_name": chunk["function_name"],
-                    "pos": i + 1,
-                    "line_no": x["line_no"],
-                    "line": x["line"],
-                    "ahead": F.when(looks, F.slice(lines, i + 2, F.lit(LOOK_AHEAD))),
-                    "before": F.when(looks, F.get(lines, i - 1)["line"]),
-                    "has_null": flag["has_null"],
-                    "has_seed": flag["has_seed"],
-                }
-                if reach:
-                    unit["around"] = _around(file_lines, x["line_no"], reach)
-                return _unit(**unit)
-
-            return F.concat(
-                F.array(whole),
-                let(flags, lambda flag: F.transform(lines, lambda x, i: of_line(x, i, flag))),
-            )
-
-        return let(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), with_flags)
-
-    return F.flatten(F.transform(chunks, of_chunk))
-
-
-def first_thread_line(lowered: Column) -> Column:
+
+def first_thread_line(lowered: str) -> str:
     """Number of the first line that starts a thread, null if none does."""
-    lines = [
-        F.when(
-            lowered.contains(mark),
-            newline_count(F.substring_index(lowered, mark, 1)) + 1,
-        )
+    at = [
+        f"if(contains({lowered}, {literal(mark)}), "
+        + let(f"substring_index({lowered}, {literal(mark)}, 1)", "head", f"{newline_count('head')} + 1")
+        + ", null)"
         for mark in THREAD_MARKS
     ]
-    return F.least(*lines)
+    return f"least({', '.join(at)})"
 
 
-def file_units(
-    content: Column, file_lines: Column, chunk_count: Column, with_lines: bool = True, reach: int = 0
-) -> Column:
+def file_units(content: str, file_lines: str, chunk_count: str, with_lines: bool = True, reach: int = 0) -> str:
     """One unit for the file (``pos`` is its chunk count) and one per file line, as a flat array."""
-
-    def with_threads(thread: Column) -> Column:
-        def of_line(x: Column) -> Column:
-            unit = {
-                "scope": F.lit(FILE_LINE_SCOPE), "pos": x["line_no"], "line_no": x["line_no"],
-                "line": x["line"], "first_thread": thread["first"],
-            }
-            if reach:
-                unit["around"] = _around(file_lines, x["line_no"], reach)
-            return _unit(**unit)
-
-        whole = _unit(
-            scope=F.lit(FILE_SCOPE), pos=chunk_count, line=content, body=file_lines,
-            first_thread=thread["first"], has_sync=thread["sync"],
-        )
-        if not with_lines:
-            return F.array(whole)
-        return F.concat(F.array(whole), F.transform(file_lines, of_line))
-
-    threads = let(
-        F.lower(content),
-        lambda low: F.struct(
-            first_thread_line(low).alias("first"), has_any(low, SYNC_MARKS).alias("sync")
-        ),
+    of_line = {
+        "scope": literal(FILE_LINE_SCOPE), "pos": "u.line_no", "line_no": "u.line_no", "line": "u.line",
+        "first_thread": "thread.first",
+    }
+    if reach:
+        of_line["around"] = _around(file_lines, "u.line_no", reach)
+    whole = _unit(
+        scope=literal(FILE_SCOPE), pos=chunk_count, line=content, body=file_lines,
+        first_thread="thread.first", has_sync="thread.sync",
     )
-    return let(threads, with_threads)
+    units = f"array({whole})"
+    if with_lines:
+        units = f"concat({units}, transform({file_lines}, u -> {_unit(**of_line)}))"
+    threads = f"named_struct('first', {first_thread_line('low')}, 'sync', {has_any('low', SYNC_MARKS)})"
+    return let(f"lower({content})", "low", let(threads, "thread", units))
 
 
-def scan_units(files: DataFrame, options: ScanOptions, chunks: Column | None = None) -> DataFrame:
+def scan_units(files: DataFrame, options: ScanOptions, cutter: Cutter = with_chunks) -> DataFrame:
     """files(file_id, content) to unit rows; a narrow plan that reads the text once.
 
-    ``chunks`` replaces the segmentation of C sources, e.g. for texts that are no sources.
+    ``cutter`` adds the chunks; by default it segments C sources.
     """
-    content = F.col("content")
-    cut = chunk_array(content, options) if chunks is None else chunks
     reach = options.max_context_lines
     with_lines = PATTERN_PACK in options.packs
-
-    def of_file(lines: Column) -> Column:
-        if not options.packs & {MODEL_PACK, HEURISTIC_PACK}:
-            return file_units(content, lines, F.lit(None), with_lines, reach)
-        return let(
-            cut,
-            lambda chunks: F.concat(
-                chunk_units(chunks, lines, reach),
-                file_units(content, lines, F.size(chunks), with_lines, reach),
-            ),
+    texts = files.select("file_id", "content")
+    if options.packs & {MODEL_PACK, HEURISTIC_PACK}:
+        texts = cutter(texts, options)
+        of_file = file_units("content", "unit_lines", "size(unit_chunks)", with_lines, reach)
+        units = let(
+            "chunks", "unit_chunks", f"concat({chunk_units('unit_chunks', 'unit_lines', reach)}, {of_file})"
         )
-
-    return files.select("file_id", F.explode(let(split_lines(content), of_file)).alias("u")).select(
-        "file_id", *[F.col(f"u.{name}") for name in UNIT_FIELDS]
-    )
+    else:
+        units = file_units("content", "unit_lines", "null", with_lines, reach)
+    rows = let(split_lines("content"), "unit_lines", units)
+    return texts.select("file_id", F.expr(f"explode({rows})").alias("u")).select("file_id", "u.*")
 
 
 def line_units(lines: DataFrame, scope: str) -> DataFrame:
@@ -177,11 +134,7 @@ def line_units(lines: DataFrame, scope: str) -> DataFrame:
 
     Works on batch and streaming DataFrames; there is no chunk, so all lines are in chunk 0.
     """
-    given = {
-        "scope": F.lit(scope), "chunk_idx": F.lit(0), "function_name": F.lit(""),
-        "pos": F.col("line_no"), "line_no": F.col("line_no"), "line": F.col("line"),
-    }
-    return lines.select(
-        "file_id",
-        *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in UNIT_FIELDS.items()],
+    unit = _unit(
+        scope=literal(scope), chunk_idx="0", function_name="''", pos="line_no", line_no="line_no", line="line"
     )
+    return lines.select("file_id", F.expr(unit).alias("u")).select("file_id", "u.*")

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.post import finish_findings
 from ..operators.report import nested_reports
 from ..operators.scan import FILE_RECORD, scan_records
+from ..operators.segment import with_chunks
 from ..operators.stats import file_statistics, with_verdict
+from ..operators.units import Cutter
 from ..options import ScanOptions
 from ..session import ensure_checkpoint_dir
 
@@ -43,7 +45,7 @@ def _scannable(files: DataFrame, options: ScanOptions) -> DataFrame:
 
 def scan_corpus(
     files: DataFrame, options: ScanOptions = ScanOptions(), work_table: str | None = None,
-    chunks: Column | None = None, keep: bool = True,
+    cutter: Cutter = with_chunks, keep: bool = True,
 ) -> CorpusScan:
     """Scan files(file_id, path, content).
 
@@ -52,7 +54,7 @@ def scan_corpus(
     survive the loss of executors. ``keep=False`` leaves the plan lazy for a single output.
     """
     spark = files.sparkSession
-    records = scan_records(_scannable(files, options), options, chunks)
+    records = scan_records(_scannable(files, options), options, cutter)
     rest = [c for c in records.columns if c != "file_id"]
     records = records.select("file_id.*", *rest)
     if work_table is not None:

@@ -11,16 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.heuristic_rules import HEURISTIC_LINE_RULES
-from ..operators.model_rules import MODEL_LINE_RULES
-from ..operators.pattern_rules import PATTERN_LINE_RULES
-from ..operators.scan import line_findings, raw_findings
+from ..operators.post import finish_findings
+from ..operators.scan import LINE_RULES, line_findings, raw_findings
 from ..options import ScanOptions
 from ..sources.tables import to_lines
 
-LINE_RULES = MODEL_LINE_RULES | HEURISTIC_LINE_RULES | PATTERN_LINE_RULES
-
-
 def stream_line_findings(files: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Findings of line-only rules on a stream of files(file_id, content)."""
     return line_findings(to_lines(files), LINE_RULES if only is None else only)
@@ -38,8 +33,6 @@ def scan_each_batch(
 
     Deduplication is per file, and a row is a whole file, so no state crosses batches.
     """
-    from ..operators.post import finish_findings
-
     def run(batch: DataFrame, batch_id: int) -> None:
         sink(finish_findings(raw_findings(batch, options), options), batch_id)
 
