@@ -423,20 +423,45 @@ def chunk_type_sql(kind: str) -> str:
     )
 
 
+# Chunk lines numbered within their chunk, for rules that take a chunk for a file.
+NUMBERED = """numbered AS (
+  SELECT c.file_id, c.chunk_idx, c.function_name, ch.line_no AS true_line, ch.line,
+         row_number() OVER (PARTITION BY c.file_id, c.chunk_idx ORDER BY ch.line_no) AS pos
+  FROM ch JOIN chunks c ON c.file_id = ch.file_id AND c.k = ch.k AND c.s = ch.s)"""
+AS_FILES = "cl AS (SELECT file_id * 100 + chunk_idx AS file_id, pos AS line_no, line FROM numbered)"
+
+
 def annotate_sql() -> str:
     """Pack M on the chunks: the chunk takes the place of the file in the rules."""
     parts = "\n UNION ALL ".join(M_SQL.values())
     return f"""{CHUNKS},
-numbered AS (
-  SELECT c.file_id, c.chunk_idx, ch.line_no AS true_line, ch.line,
-         row_number() OVER (PARTITION BY c.file_id, c.chunk_idx ORDER BY ch.line_no) AS pos
-  FROM ch JOIN chunks c ON c.file_id = ch.file_id AND c.k = ch.k AND c.s = ch.s),
-hits AS (
-  WITH cl AS (SELECT file_id * 100 + chunk_idx AS file_id, pos AS line_no, line FROM numbered) {parts})
+{NUMBERED},
+hits AS (WITH {AS_FILES} {parts})
 SELECT n.file_id, CAST(n.chunk_idx AS INTEGER) AS chunk_idx, n.true_line AS line, severity, type, description, h.source
 FROM hits h JOIN numbered n ON h.file_id = n.file_id * 100 + n.chunk_idx AND h.line = n.pos"""
 
 
+def scan_sql() -> str:
+    """Everything on the code corpus: packs M and H by chunk, X by file, then post-processing."""
+    by_chunk = "\n UNION ALL ".join([*M_SQL.values(), *H_SQL.values()])
+    by_file = "\n UNION ALL ".join(sql for parts in X_SQL.values() for sql in parts)
+    return f"""{CHUNKS},
+{NUMBERED},
+chunk_hits AS (WITH {AS_FILES}, {AREA_SQL} {by_chunk}),
+file_hits AS (WITH cl AS (SELECT file_id, line_no, line FROM sl) {by_file}),
+hits AS (
+  SELECT n.file_id, CAST(n.true_line AS INTEGER) AS line, severity, type, description, context, source, rule_id,
+         o1, CAST(n.chunk_idx AS INTEGER) AS chunk_idx, n.function_name, o2, o3, o4, o5, o6
+  FROM chunk_hits h JOIN numbered n ON h.file_id = n.file_id * 100 + n.chunk_idx AND h.line = n.pos
+  UNION ALL
+  SELECT file_id, line, severity, type, description, context, source, rule_id,
+         o1, NULL, NULL, o2, o3, o4, o5, o6 FROM file_hits),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id, line, type
+    ORDER BY o1, coalesce(chunk_idx, 0), o2, o3, o4, o5, o6) AS nth FROM hits)
+SELECT {RESULT}, chunk_idx, function_name, {CWE} AS cwe, {FIX} AS suggested_fix FROM ordered WHERE nth = 1"""
+
+
 def text_report_sql() -> str:
     block = (
         "'Line ' || line || ': [' || severity || '] ' || type || ' - ' || description || chr(10) "
@@ -615,6 +640,7 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT u.severity, d.source, d.lang FROM u JOIN documents d ON d.doc_id = u.file_id)
             SELECT source, lang, CAST(grouping(source, lang) AS INTEGER) AS level, {COUNTS}, {RISK} AS risk_score
             FROM k GROUP BY ROLLUP (source, lang) HAVING count(*) > 0""",
+        "scan_code": scan_sql(),
         "secret_risk_by_source": f"""{SECRET_DOCS}, u AS (SELECT DISTINCT file_id, line FROM ds WHERE rule_id = 'H27')
             SELECT d.source AS origin, count(*) AS high_count, CAST(7 * count(*) AS BIGINT) AS risk_score
             FROM u JOIN documents d ON d.doc_id = u.file_id GROUP BY d.source""",
