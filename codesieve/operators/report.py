@@ -15,6 +15,7 @@ CONTEXT_CUT = 100
 # Terminal colours of the severities.
 COLOURS = {"CRITICAL": "\x1b[91m", "HIGH": "\x1b[93m", "MEDIUM": "\x1b[94m", "LOW": "\x1b[92m"}
 COLOUR_END = "\x1b[0m"
+LINES_PER_PART = 10_000
 
 STATISTICS = (
     "total_vulnerabilities", "critical_count", "high_count", "medium_count", "low_count",
@@ -22,24 +23,35 @@ STATISTICS = (
 )
 
 
-def nested_reports(files: DataFrame, findings: DataFrame, include_fixes: bool = False) -> DataFrame:
+def nested_reports(
+    files: DataFrame, findings: DataFrame, include_fixes: bool = False, lines_per_part: int = LINES_PER_PART
+) -> DataFrame:
     """One row per file: statistics struct and its findings in report order.
 
-    ``files`` has file_id, path, chunks_analyzed and the statistics columns. A report is one
-    document per file, so this gathers a file's findings; flat findings need no gathering.
+    ``files`` has file_id, path, chunks_analyzed and the statistics columns. A file of more
+    than ``lines_per_part`` lines gets one row per range of lines, numbered by ``part``, so
+    no task ever holds more findings than a part can have. ``is_last`` marks the final part.
     """
     shown = ["line", "severity", "type", "description", "context", "source", "cwe"]
     if include_fixes:
         shown.append("suggested_fix")
+    part = F.floor(F.col("line") / lines_per_part).cast("int")
     entry = F.struct(
         F.col("line").alias("by_line"), severity_rank(F.col("severity")).alias("by_rank"), "ordinal",
         F.struct(*shown).alias("entry"),
     )
-    listed = findings.groupBy("file_id").agg(F.array_sort(F.collect_list(entry)).alias("listed"))
-    empty = F.array().cast(listed.select(F.transform("listed", lambda x: x["entry"])).schema[0].dataType)
-    return files.join(listed, "file_id", "left").select(
-        "file_id", "path", "chunks_analyzed", F.struct(*STATISTICS).alias("statistics"),
-        F.coalesce(F.transform("listed", lambda x: x["entry"]), empty).alias("vulnerabilities"),
+    listed = findings.groupBy("file_id", part.alias("part")).agg(
+        F.array_sort(F.collect_list(entry)).alias("listed")
+    ).select("file_id", "part", F.col("listed.entry").alias("entries"))
+    last_part = F.floor(F.col("last_line") / lines_per_part).cast("int")
+    # Every file has part 0, as its heading; later parts exist only where findings do.
+    heads = files.select("file_id", F.lit(0).alias("part"))
+    parts = heads.join(listed, ["file_id", "part"], "full")
+    empty = F.array().cast(listed.schema["entries"].dataType)
+    return files.join(parts, "file_id").select(
+        "file_id", "part", (F.col("part") == last_part).alias("is_last"), "path", "chunks_analyzed",
+        F.struct(*STATISTICS).alias("statistics"),
+        F.coalesce("entries", empty).alias("vulnerabilities"),
     )
 
 
@@ -51,7 +63,7 @@ def json_reports(nested: DataFrame, generated_at: Column | None = None) -> DataF
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
     )
     document = F.struct(metadata.alias("metadata"), "statistics", "vulnerabilities")
-    return nested.select("file_id", F.to_json(document, {"pretty": "true"}).alias("report"))
+    return nested.select("file_id", "part", F.to_json(document, {"pretty": "true"}).alias("report"))
 
 
 def _finding_block(entry: Column, include_fixes: bool, colours: bool) -> Column:
@@ -76,7 +88,10 @@ def _finding_block(entry: Column, include_fixes: bool, colours: bool) -> Column:
 def text_reports(
     nested: DataFrame, include_fixes: bool = False, colours: bool = False, generated_at: Column | None = None
 ) -> DataFrame:
-    """Nested reports as plain text: header, summary, one block per finding, footer."""
+    """Nested reports as plain text: header, summary, one block per finding, footer.
+
+    The parts of a file, in order, make up its report.
+    """
     stamp = F.current_timestamp() if generated_at is None else generated_at
     stats = {name: F.col(f"statistics.{name}") for name in STATISTICS}
 
@@ -86,11 +101,7 @@ def text_reports(
     blocks = F.concat_ws(
         "\n", F.transform("vulnerabilities", lambda v: _finding_block(v, include_fixes, colours))
     )
-    found = F.when(
-        F.size("vulnerabilities") > 0,
-        F.concat_ws("\n", F.lit("## Vulnerabilities Found"), F.lit(NARROW_RULE), blocks),
-    ).otherwise(F.concat_ws("\n", F.lit(NO_FINDINGS), F.lit("")))
-    text = F.concat_ws(
+    heading = F.concat_ws(
         "\n",
         F.lit(WIDE_RULE),
         F.lit(TITLE),
@@ -108,8 +119,20 @@ def text_reports(
         row("Risk Score: ", stats["risk_score"]),
         F.when(stats["most_common_type"] != "", row("Most Common Type: ", stats["most_common_type"])),
         F.lit(""),
-        found,
+        F.when(
+            stats["total_vulnerabilities"] > 0,
+            F.concat_ws("\n", F.lit("## Vulnerabilities Found"), F.lit(NARROW_RULE)),
+        ).otherwise(F.concat_ws("\n", F.lit(NO_FINDINGS), F.lit(""))),
+    )
+    footer = F.concat_ws(
+        "\n",
         F.lit(FOOTER_RULE),
         row("Report generated at: ", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
     )
-    return nested.select("file_id", text.alias("report"))
+    text = F.concat_ws(
+        "\n",
+        F.when(F.col("part") == 0, heading),
+        F.when(F.size("vulnerabilities") > 0, blocks),
+        F.when(F.col("is_last"), footer),
+    )
+    return nested.select("file_id", "part", text.alias("report"))

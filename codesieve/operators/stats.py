@@ -39,11 +39,13 @@ def type_counts(findings: DataFrame) -> DataFrame:
     """Findings per file and type, with the place where the type is first met in report order."""
     met = F.struct("line", severity_rank(F.col("severity")).alias("rank"), "ordinal")
     kind = F.coalesce("type", F.lit("Unknown")).alias("type")
-    return findings.groupBy("file_id", kind).agg(*_counts(), F.min(met).alias("first_met"))
+    return findings.groupBy("file_id", kind).agg(
+        *_counts(), F.min(met).alias("first_met"), F.max("line").alias("last_line")
+    )
 
 
 def file_statistics(findings: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Counts, type histogram, most common type and risk score per file with findings.
+    """Counts, type histogram, most common type, risk score and last line per file with findings.
 
     Built from per-type partial counts, so the second step holds one row per file and type.
     """
@@ -54,6 +56,7 @@ def file_statistics(findings: DataFrame, options: ScanOptions = ScanOptions()) -
         *[F.sum(c).alias(c) for c in names],
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", total)))).alias("vulnerability_types"),
         F.min_by("type", F.struct((-total).alias("n"), "first_met")).alias("most_common_type"),
+        F.max("last_line").alias("last_line"),
     )
     return per_file.withColumn("risk_score", weighted_risk(options.severity_weights))
 
@@ -78,6 +81,7 @@ def with_verdict(files: DataFrame, statistics: DataFrame, failed: Column | None
             **{c: F.coalesce(c, F.lit(0).cast("long")) for c in zero},
             "vulnerability_types": F.coalesce("vulnerability_types", F.expr("cast(map() as map<string,bigint>)")),
             "most_common_type": F.coalesce("most_common_type", F.lit("")),
+            "last_line": F.coalesce("last_line", F.lit(0)),
         }
     )
 

@@ -7,6 +7,7 @@ only these are shuffled, by (file_id, line, type) with partial aggregation and b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,19 +51,18 @@ def scan_corpus(
     """Scan files(file_id, path, content).
 
     The records of the pass are kept, so that several outputs share it: in the parquet folder
-    ``work_table`` if given, else in a checkpoint in the shared folder of the session. Both
-    survive the loss of executors. ``keep=False`` leaves the plan lazy for a single output.
+    ``work_table`` if given, else in a new folder below the session's shared checkpoint folder.
+    They survive the loss of executors, and outputs read only the columns they need.
+    ``keep=False`` leaves the plan lazy for a single output.
     """
     spark = files.sparkSession
     records = scan_records(_scannable(files, options), options, cutter)
     rest = [c for c in records.columns if c != "file_id"]
     records = records.select("file_id.*", *rest)
-    if work_table is not None:
-        records.write.mode("errorifexists").parquet(work_table)
-        records = spark.read.parquet(work_table)
-    elif keep:
-        ensure_checkpoint_dir(spark)
-        records = records.checkpoint()
+    if keep:
+        folder = work_table or f"{ensure_checkpoint_dir(spark)}/records-{uuid4().hex}"
+        records.write.mode("errorifexists").parquet(folder)
+        records = spark.read.schema(records.schema).parquet(folder)
     is_file = F.col("rule_id") == FILE_RECORD
     raw = records.where(~is_file).drop("path", "failed")
     findings = finish_findings(raw, options)

@@ -16,5 +16,8 @@ def write_json_reports(nested: DataFrame, path: str) -> None:
 
 
 def write_text_reports(reports: DataFrame, path: str) -> None:
-    """Text of reports(file_id, report), one after the other."""
-    reports.select("report").write.mode("errorifexists").text(path)
+    """Text of reports(file_id, part, report), file by file and part by part.
+
+    The sort is by range, so the parts of one large file may lie in several output files.
+    """
+    reports.orderBy("file_id", "part").select("report").write.mode("errorifexists").text(path)

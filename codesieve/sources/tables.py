@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Extensions of C and C++ sources, any case.
 SOURCE_EXTENSIONS = ("c", "cpp", "cc", "cxx", "h", "hpp")
+FULL_SPLIT = 128 * 1024 * 1024
 REPLACEMENT = "�"
 
 
@@ -44,6 +45,20 @@ def text_corpus(table: DataFrame, id_column: str, text_column: str, path: Column
     )
 
 
+def spread_small(texts: DataFrame) -> DataFrame:
+    """Small corpora spread evenly over the cores, as scanning costs far more than reading.
+
+    A small table often sits in a single row group, hence in a single task. A corpus large
+    enough to give every core a full split is left as it is, so its text is never shuffled.
+    """
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * FULL_SPLIT:
+        return texts
+    return texts.repartition(cores * 2, "file_id")
+
+
 def source_rows(files: DataFrame) -> DataFrame:
     """Only the rows whose path names a C or C++ source."""
     return files.where(is_source_path(F.col("path")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.sources.tables import spread_small, text_corpus
+
 LINES_PER_FILE = 40
 
 # One of these per event; {v} is a variable name by user.
@@ -95,7 +97,7 @@ def skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _joined(lines: DataFrame) -> DataFrame:
     """Files of 40 lines each; event ids are unique and dense, so no file is larger."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("file_id").agg(ordered.alias("x")).select(
+    return spread_small(lines).groupBy("file_id").agg(ordered.alias("x")).select(
         "file_id",
         F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".c")).alias("path"),
         F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("content"),
@@ -139,10 +141,15 @@ def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files(file_id, path, content)."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("file_id"), F.col("doc_id").cast("string").alias("path"),
-        F.col("text").alias("content"),
+    return spread_small(text_corpus(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def keyed_documents(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Like ``documents``, with further columns kept in the key."""
+    keyed = table(spark, sf_dir, "documents").select(
+        F.struct("doc_id", *keys).alias("file_id"), F.col("text").alias("content")
     )
+    return spread_small(keyed)
 
 
 def _sql_list(values: list[str]) -> str:

@@ -78,9 +78,9 @@ def line_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _line_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_corpus(
-        corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text, keep=False
-    ).reports(include_fixes=True)
+    return scan_corpus(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text).reports(
+        include_fixes=True
+    )
 
 
 def _fixed_time():
@@ -106,7 +106,7 @@ def json_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
-    return report.text_reports(_line_reports(spark, sf), True, False, _fixed_time())
+    return report.text_reports(_line_reports(spark, sf), True, False, _fixed_time()).drop("part")
 
 
 def scan_options(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,7 +303,7 @@ def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 def code_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict of every file of the line corpus, from one pass over the text."""
-    scan = scan_corpus(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text, keep=False)
+    scan = scan_corpus(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text)
     return scan.files.select("file_id", "chunks_analyzed", "total_vulnerabilities", "risk_score", "verdict")
 
 
@@ -314,10 +314,7 @@ def chunk_count(spark: SparkSession, sf: str) -> DataFrame:
 def corpus_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of the documents by source and language, with subtotals."""
     options = ScanOptions(max_chunk_size=None, packs=frozenset({"H", "X"}))
-    table = corpora.table(spark, sf, "documents")
-    keyed = table.select(
-        F.struct("doc_id", "source", "lang").alias("file_id"), F.col("text").alias("content")
-    )
+    keyed = corpora.keyed_documents(spark, sf, "source", "lang")
     rules = {*(f"H{n}" for n in range(24, 29)), "X2"}
     final = post.deduplicate(raw_findings(keyed, options, rules, with_whole_text))
     return stats.corpus_rollup(
@@ -328,8 +325,7 @@ def corpus_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def secret_risk_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Token assignments in the documents, weighed and summed by source."""
     options = ScanOptions(max_chunk_size=None, packs=frozenset({"H"}))
-    table = corpora.table(spark, sf, "documents")
-    keyed = table.select(F.struct("doc_id", "source").alias("file_id"), F.col("text").alias("content"))
+    keyed = corpora.keyed_documents(spark, sf, "source")
     found = post.deduplicate(raw_findings(keyed, options, {"H27"}, with_whole_text))
     counts = stats.severity_counts(found.select("severity", F.col("file_id.source").alias("origin")), "origin")
     return counts.select("origin", "high_count", stats.weighted_risk(options.severity_weights).alias("risk_score"))
@@ -352,8 +348,7 @@ def scan_code(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All packs over the documents as if they were sources, summed by source."""
-    table = corpora.table(spark, sf, "documents")
-    keyed = table.select(F.struct("doc_id", "source").alias("file_id"), F.col("text").alias("content"))
+    keyed = corpora.keyed_documents(spark, sf, "source")
     final = post.deduplicate(post.drop_false_positives(raw_findings(keyed)))
     return final.groupBy(F.col("file_id.source").alias("origin"), "rule_id", "severity").agg(
         F.count("*").alias("n")
