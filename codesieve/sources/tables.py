@@ -24,8 +24,8 @@ def clean_text(raw: Column) -> Column:
 def read_source_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Source files below ``path``; other files are filtered out by their extension.
 
-    For repeated scans of many small files write the result to parquet once and use
-    ``text_corpus`` on that table.
+    Spark makes no split for a file without bytes, so empty files give no row. For repeated
+    scans of many small files write the result to parquet once and use ``text_corpus`` on it.
     """
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
