@@ -7,9 +7,10 @@ one answer in a format a model might use. Both engines build them from the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.functions.text import literal
 from codesieve.sources.tables import spread_small, text_corpus
 
 LINES_PER_FILE = 40
@@ -63,35 +64,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(choices: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(c) for c in choices]), index.cast("int"))
+def _pick(choices: list[str], index: str) -> str:
+    return f"get(array({', '.join(map(literal, choices))}), cast({index} as int))"
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines(file_id, line_no, line); a narrow projection of events."""
-    event, user = F.col("event_id"), F.col("user_id")
-    file_id = F.expr(f"event_id div {LINES_PER_FILE}").alias("file_id")
-    k = (event * 31 + user * 17) % len(CODE_TEMPLATES)
-    rows = table(spark, sf_dir, "events").select(
-        file_id,
-        (event % LINES_PER_FILE + 1).cast("int").alias("line_no"),
-        k.alias("k"),
-        F.concat(F.lit("v"), (user % 5).cast("string")).alias("v"),
+    rows = table(spark, sf_dir, "events").selectExpr(
+        f"event_id div {LINES_PER_FILE} AS file_id",
+        f"cast(event_id % {LINES_PER_FILE} + 1 as int) AS line_no",
+        f"(event_id * 31 + user_id * 17) % {len(CODE_TEMPLATES)} AS k",
+        "concat('v', user_id % 5) AS v",
     )
-    template = _pick(CODE_TEMPLATES, F.col("k"))
-    for rare, (modulus, residue) in RARE_TEMPLATES.items():
-        absent = (F.col("k") == rare) & (F.col("file_id") % modulus != residue)
-        template = F.when(absent, RARE_FALLBACK).otherwise(template)
-    return rows.select("file_id", "line_no", F.replace(template, F.lit("{v}"), F.col("v")).alias("line"))
+    absent = " or ".join(f"(k = {k} and file_id % {m} <> {r})" for k, (m, r) in RARE_TEMPLATES.items())
+    template = f"if({absent}, {literal(RARE_FALLBACK)}, {_pick(CODE_TEMPLATES, 'k')})"
+    return rows.selectExpr("file_id", "line_no", f"replace({template}, '{{v}}', v) AS line")
 
 
 def skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("line")
-    for at, text in SKELETON.items():
-        line = F.when(F.col("line_no") == at, text).otherwise(line)
-    for at, text in NESTED_SKELETON.items():
-        line = F.when((F.col("line_no") == at) & (F.col("file_id") % 3 == 0), text).otherwise(line)
-    return code_lines(spark, sf_dir).withColumn("line", line)
+    fixed = " ".join(f"when line_no = {n} then {literal(t)}" for n, t in SKELETON.items())
+    nested = " ".join(
+        f"when line_no = {n} and file_id % 3 = 0 then {literal(t)}" for n, t in NESTED_SKELETON.items()
+    )
+    line = f"case {fixed} {nested} else line end AS line"
+    return code_lines(spark, sf_dir).selectExpr("file_id", "line_no", line)
 
 
 def _joined(lines: DataFrame) -> DataFrame:
@@ -116,26 +112,22 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """responses(file_id, start_line, text)."""
-    event, user = F.col("event_id"), F.col("user_id")
-    number = (event % 8 + 1 + user % 50).cast("string")
-    severity = _pick(SEVERITY_CHOICES, (event * 5 + user) % len(SEVERITY_CHOICES))
-    kind = _pick(TYPE_CHOICES, (event + user) % len(TYPE_CHOICES))
-    description = _pick(DESCRIPTIONS, (event * 7 + user) % len(DESCRIPTIONS))
-    form = F.col("file_id") % 5
-    line = (
-        F.when(form == 0, F.concat(F.lit("Line "), number, F.lit(": ["), severity, F.lit("] "), kind, F.lit(" - "), description))
-        .when(form == 1, F.concat(number, F.lit(": "), severity, F.lit(" : "), description))
-        .when(form == 2, F.concat(F.lit("Line "), number, F.lit(": "), description))
-        .when(form == 3, SENTINEL)
-        .otherwise("")
-    )
+    number = "(event_id % 8 + 1 + user_id % 50)"
+    severity = _pick(SEVERITY_CHOICES, f"(event_id * 5 + user_id) % {len(SEVERITY_CHOICES)}")
+    kind = _pick(TYPE_CHOICES, f"(event_id + user_id) % {len(TYPE_CHOICES)}")
+    description = _pick(DESCRIPTIONS, f"(event_id * 7 + user_id) % {len(DESCRIPTIONS)}")
+    line = f"""case file_id % 5
+        when 0 then concat('Line ', {number}, ': [', {severity}, '] ', {kind}, ' - ', {description})
+        when 1 then concat({number}, ': ', {severity}, ' : ', {description})
+        when 2 then concat('Line ', {number}, ': ', {description})
+        when 3 then {literal(SENTINEL)} else '' end"""
     rows = table(spark, sf_dir, "events").withColumn("file_id", F.expr(f"event_id div {EVENTS_PER_ANSWER}"))
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", line.alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", F.expr(line).alias("line"))))
     joined = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
     return rows.groupBy("file_id").agg(ordered.alias("x")).select(
         "file_id",
         (F.col("file_id") % 100).cast("int").alias("start_line"),
-        F.when(form == 4, "").otherwise(joined).alias("text"),
+        F.when(F.col("file_id") % 5 == 4, "").otherwise(joined).alias("text"),
     )
 
 
