@@ -120,7 +120,11 @@ def apply_options(findings: DataFrame, options: ScanOptions) -> DataFrame:
     return kept
 
 
+def kept_findings(raw: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Raw findings without false positives and as the options ask; row by row."""
+    return apply_options(drop_false_positives(raw), options)
+
+
 def finish_findings(raw: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Raw findings to the final list: filtered, enriched, deduplicated, with fixes."""
-    kept = apply_options(drop_false_positives(raw), options)
-    return with_fixes(with_cwe(deduplicate(kept)))
+    """Raw findings to the final list: filtered, deduplicated, enriched, with fixes."""
+    return with_fixes(with_cwe(deduplicate(kept_findings(raw, options))))

@@ -40,18 +40,17 @@ def nested_reports(
         F.col("line").alias("by_line"), severity_rank(F.col("severity")).alias("by_rank"), "ordinal",
         F.struct(*shown).alias("entry"),
     )
-    listed = findings.groupBy("file_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(entry)).alias("listed")
-    ).select("file_id", "part", F.col("listed.entry").alias("entries"))
-    last_part = F.floor(F.col("last_line") / lines_per_part).cast("int")
     # Every file has part 0, as its heading; later parts exist only where findings do.
-    heads = files.select("file_id", F.lit(0).alias("part"))
-    parts = heads.join(listed, ["file_id", "part"], "full")
-    empty = F.array().cast(listed.schema["entries"].dataType)
+    rows = findings.select("file_id", part.alias("part"), entry.alias("entry"))
+    heads = files.select("file_id", F.lit(0).alias("part"), F.lit(None).cast(rows.schema["entry"].dataType).alias("entry"))
+    parts = rows.unionByName(heads).groupBy("file_id", "part").agg(
+        F.array_sort(F.collect_list("entry")).alias("listed")
+    )
+    last_part = F.floor(F.col("last_line") / lines_per_part).cast("int")
     return files.join(parts, "file_id").select(
         "file_id", "part", (F.col("part") == last_part).alias("is_last"), "path", "chunks_analyzed",
         F.struct(*STATISTICS).alias("statistics"),
-        F.coalesce("entries", empty).alias("vulnerabilities"),
+        F.col("listed.entry").alias("vulnerabilities"),
     )
 
 

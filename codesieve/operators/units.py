@@ -28,6 +28,11 @@ LOOKS_AHEAD = ("alloc(", "free(", "open(")
 THREAD_MARKS = ("pthread_create", "std::thread", "createthread")
 SYNC_MARKS = ("mutex", "lock", "semaphore", "critical_section", "atomic")
 
+# A line without any of these can meet no rule of its scope, so it needs no unit.
+CHUNK_LINE_MARKS = ("(", "*", "+", "<<", "->", "[")
+FILE_LINE_MARKS = ("(", "=", "+", "://")
+FILE_LINE_WORDS = ("telnet", "static", "global", "volatile")
+
 UNIT_FIELDS = {
     "scope": "string",
     "chunk_idx": "int",
@@ -57,8 +62,12 @@ def _around(file_lines: str, line_no: str, reach: int) -> str:
     return f"slice({file_lines}, {first}, {line_no} + {reach + 1} - {first}).line"
 
 
+def _marked(lines: str, condition: str, unit: str) -> str:
+    return f"filter(transform({lines}, (u, i_u) -> if({condition}, {unit}, null)), u -> u is not null)"
+
+
 def chunk_units(chunks: str, file_lines: str, reach: int = 0) -> str:
-    """One unit per chunk and one per chunk line, as a flat array."""
+    """One unit per chunk and one per chunk line that may meet a rule, as a flat array."""
     whole = _unit(
         scope=literal(CHUNK_SCOPE), chunk_idx="i_unit_chunk", function_name="unit_chunk.function_name",
         line="chunk_text", body="unit_chunk.lines",
@@ -74,7 +83,9 @@ def chunk_units(chunks: str, file_lines: str, reach: int = 0) -> str:
     if reach:
         of_line["around"] = _around(file_lines, "u.line_no", reach)
     flags = "named_struct('has_null', contains(upper(chunk_text), 'NULL'), 'has_seed', contains(chunk_text, 'srand('))"
-    lines = let(flags, "flags", f"transform(unit_chunk.lines, (u, i_u) -> {_unit(**of_line)})")
+    lines = let(
+        flags, "flags", _marked("unit_chunk.lines", has_any("u.line", CHUNK_LINE_MARKS), _unit(**of_line))
+    )
     units = let("array_join(unit_chunk.lines.line, '\\n')", "chunk_text", f"concat(array({whole}), {lines})")
     return f"flatten(transform({chunks}, (unit_chunk, i_unit_chunk) -> {units}))"
 
@@ -104,7 +115,8 @@ def file_units(content: str, file_lines: str, chunk_count: str, with_lines: bool
     )
     units = f"array({whole})"
     if with_lines:
-        units = f"concat({units}, transform({file_lines}, u -> {_unit(**of_line)}))"
+        condition = f"{has_any('u.line', FILE_LINE_MARKS)} or {has_any('lower(u.line)', FILE_LINE_WORDS)}"
+        units = f"concat({units}, {_marked(file_lines, condition, _unit(**of_line))})"
     threads = f"named_struct('first', {first_thread_line('low')}, 'sync', {has_any('low', SYNC_MARKS)})"
     return let(f"lower({content})", "low", let(threads, "thread", units))
 

@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.post import finish_findings
+from ..operators.post import deduplicate, finish_findings, kept_findings
 from ..operators.report import nested_reports
 from ..operators.scan import FILE_RECORD, scan_records
 from ..operators.segment import with_chunks
@@ -21,6 +21,8 @@ from ..operators.units import Cutter
 from ..options import ScanOptions
 from ..session import ensure_checkpoint_dir
 
+COUNTED = ("file_id", "line", "severity", "type", "ordinal")
+
 
 @dataclass(frozen=True)
 class CorpusScan:
@@ -66,8 +68,10 @@ def scan_corpus(
     is_file = F.col("rule_id") == FILE_RECORD
     raw = records.where(~is_file).drop("path", "failed")
     findings = finish_findings(raw, options)
+    # Statistics need few columns, so they deduplicate a narrow copy of the records.
+    counted = deduplicate(kept_findings(raw, options).select(*COUNTED))
     listed = records.where(is_file).select(
         "file_id", "path", "failed",
         F.when(F.col("failed"), 0).otherwise(F.col("line")).cast("long").alias("chunks_analyzed"),
     )
-    return CorpusScan(findings, with_verdict(listed, file_statistics(findings, options), F.col("failed")))
+    return CorpusScan(findings, with_verdict(listed, file_statistics(counted, options), F.col("failed")))

@@ -5,8 +5,11 @@ import re
 
 import pytest
 
+from codesieve.operators.heuristic_rules import heuristic_tests
+from codesieve.operators.model_rules import model_tests
 from codesieve.operators.scan import line_findings, raw_findings, rule_list
 from codesieve.operators.segment import with_whole_text
+from codesieve.operators.units import CHUNK_LINE_MARKS
 from codesieve.options import ScanOptions
 
 SOURCE = """#include <stdlib.h>
@@ -63,6 +66,19 @@ def test_rule_ids_are_unique_and_complete():
     assert len(ids) == len(set(ids)) == 16 + 29 + 14 + 1
 
 
+def test_line_tests_need_a_mark_of_their_units():
+    for test in [*model_tests(), *heuristic_tests()]:
+        assert test.needs and set(test.needs) <= set(CHUNK_LINE_MARKS), test.rule_id
+
+
+@pytest.mark.parametrize(
+    "line, rule",
+    [("x = TELNET;", "X4"), ("ftp://h", "X4"), ("VOLATILE int a;", "X13"), ("Key='a'", "X2"), ("a Query + input", "X6")],
+)
+def test_marks_keep_short_file_lines(files, line, rule):
+    assert (rule, 1) in found(files, line, options=ScanOptions(packs=frozenset("X")))
+
+
 def test_open_variables_follow_the_last_event(files):
     text = "a = fopen(p);\nfclose(a);\nb = fopen(p); fclose(b);\nfclose(c); c = fopen(p);\nd = fopen(p);\nd = fopen(q);"
     frame = raw_findings(files(text), ScanOptions(packs=frozenset("X")), {"X8"})
