@@ -51,7 +51,7 @@ def hit_sql(packs: frozenset[str], only: set[str] | None = None, file_records: b
     if chunk_line:
         by_scope[CHUNK_LINE_SCOPE] = compile_tests(chunk_line, numbers, "line")
     if file_line:
-        by_scope[FILE_LINE_SCOPE] = let("lower(line)", "low", compile_tests(file_line, numbers, "line"))
+        by_scope[FILE_LINE_SCOPE] = let("lower(line)", "low", compile_tests(file_line, numbers, "low"))
     if chunk:
         by_scope[CHUNK_SCOPE] = concat_hits(chunk)
     if file:
