@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, warc
+from . import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of line runs of 25 words or more."""
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page to an archive and back."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, 3 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, ledger bits and verdict of every document."""
     return quality_rules.judged(table(spark, sf_dir, "documents"))
@@ -38,13 +48,31 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by the square root of their source's size, in shuffled order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).withColumnsRenamed({"__copy": "copy", "__rate": "rate", "__mix_key": "mix_key"})
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark spans of ten words in every document."""
+    return decontamination.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_warc": op4_warc,
+    "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
+    "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.DEDUPLICATED_SQL,
     "op4_warc": warc.ROUND_TRIP_SQL,
     "op7_quality_rules": quality_rules.JUDGED_SQL,
     "op8_chat_format": chat_format.DIGEST_SQL,
+    "op9_mixing": mixing.MIXED_SQL,
+    "op10_decontamination": decontamination.MATCHED_SQL,
 }
