@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash, warc
+from . import chat_format, decontamination, line_dedup, mixing, quality_rules, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of all documents, counts at most one apart, equal texts together."""
+    placed = sharding.assigned(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, ledger bits and verdict of every document."""
     return quality_rules.judged(table(spark, sf_dir, "documents"))
@@ -63,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op9_mixing": op9_mixing,
