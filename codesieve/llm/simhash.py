@@ -9,7 +9,7 @@ links, never all pairs; the forests are joined by connected components.
 
 Null and empty texts, and texts of blanks, have no words: fingerprint zero, linked like any other.
 Repeated rows are linked like copies. A null id never is a component's id unless all ids in it are
-null. Extra columns are ignored; an empty table gives no rows.
+null; ids may be structs, which are ordered field by field, nulls first. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import ROW, with_row_key, write_table
 from .components import components
 
 SEED = 42
@@ -256,3 +256,11 @@ def near_duplicates(
     return prints.join(class_of, "fp").select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
+    """One row of each component, all columns: the smallest doc_id, of repeated rows the one stored first."""
+    keyed = with_row_key(docs)
+    named = keyed.select(F.struct("doc_id", ROW).alias("__id"), "text")
+    best = near_duplicates(named, "__id", "text", shingle, budget).where("id = component_id")
+    return keyed.join(best.select(F.col(f"id.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
