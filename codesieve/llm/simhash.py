@@ -175,14 +175,15 @@ def _links(one: np.ndarray, two: np.ndarray | None, depth: int, budget: int, blo
         if not len(a):
             continue
         (a0, a1), (b0, b1) = left.below(at), right.below(at)
-        for x, y, more in ((a0, b0, 0), (a1, b1, 0), (a0, b1, 1), (a1, b0, 1)):
-            na, nb, ne = x[a], y[b], err + more
-            fits = (na >= 0) & (nb >= 0) & (ne <= budget)
-            if two is None:
-                fits &= na <= nb
-            na, nb, ne = na[fits], nb[fits], ne[fits]
-            for k in range(0, len(na), block):
-                stack.append((at + 1, na[k : k + block], nb[k : k + block], ne[k : k + block]))
+        na = np.concatenate((a0[a], a1[a], a0[a], a1[a]))
+        nb = np.concatenate((b0[b], b1[b], b1[b], b0[b]))
+        ne = np.concatenate((err, err, err + 1, err + 1))
+        fits = (na >= 0) & (nb >= 0) & (ne <= budget)
+        if two is None:
+            fits &= na <= nb
+        na, nb, ne = na[fits], nb[fits], ne[fits]
+        for k in range(0, len(na), block):
+            stack.append((at + 1, na[k : k + block], nb[k : k + block], ne[k : k + block]))
 
 
 def _expanded(alow, na, blow, nb) -> tuple[np.ndarray, np.ndarray]:
