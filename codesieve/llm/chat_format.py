@@ -67,12 +67,12 @@ def _literal(control: str) -> str:
 
 
 def _run_machine(turns: Column, template: Template) -> Column:
-    """struct(state, bad_turn) after the roles of all turns; the state is null once a turn fails."""
+    """struct(state, bad_turn) after the roles of all turns; the state is empty once a turn fails."""
     table = F.create_map(*[F.lit(x) for s, r, t in template.transitions for x in (f"{s}\n{r}", t)])
 
     def step(at: Column, turn: Column) -> Column:
-        after = F.try_element_at(table, F.concat(at["state"], F.lit("\n"), turn["role"]))
-        bad = F.when(at["bad_turn"] >= 0, at["bad_turn"]).when(after.isNull(), at["seen"]).otherwise(F.lit(-1))
+        after = F.coalesce(F.try_element_at(table, F.concat(at["state"], F.lit("\n"), turn["role"])), F.lit(""))
+        bad = F.when(at["bad_turn"] >= 0, at["bad_turn"]).when(after == "", at["seen"]).otherwise(F.lit(-1))
         return F.struct(after.alias("state"), bad.alias("bad_turn"), (at["seen"] + 1).alias("seen"))
 
     first = F.struct(F.lit(START).alias("state"), F.lit(-1).alias("bad_turn"), F.lit(0).alias("seen"))
@@ -98,7 +98,7 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
         "conv_id", _run_machine(F.col("turns"), template).alias("at"),
         F.flatten(F.transform("turns", pieces)).alias("segments"),
     )
-    ended = F.coalesce(F.col("at.state").isin(*template.ends), F.lit(False))
+    ended = F.col("at.state").isin(*template.ends)
     return built.select(
         "conv_id", "segments", F.array_join("segments.text", "").alias("formatted"), ended.alias("valid"),
         F.when(~ended, F.when(F.col("at.bad_turn") >= 0, F.col("at.bad_turn")).otherwise(F.col("at.seen"))).alias("bad_turn"),

@@ -85,10 +85,16 @@ def _block(data: np.ndarray, bounds: np.ndarray, lo: int, hi: int, table: np.nda
     return start + lo, end + lo, mixed(raw)
 
 
+def _offsets(texts: pa.Array) -> np.ndarray:
+    if not len(texts):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+
+
 def words_of(texts: pa.Array, table: np.ndarray = ALNUM) -> Words:
     """Words of string or binary texts; nulls have none. Hashes are of the mapped bytes."""
     texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    offsets = _offsets(texts)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     data = data[offsets[0] : offsets[-1]]
@@ -125,7 +131,7 @@ def _between_words(data: np.ndarray, bounds: np.ndarray, lo: int, hi: int, table
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of text, one row at least."""
     texts = batch.column(column).cast(pa.large_binary())
-    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    ends = _offsets(texts)
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
