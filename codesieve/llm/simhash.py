@@ -27,7 +27,8 @@ from .components import components
 
 SEED = 42
 BITS_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-LEAST_LEAF, MOST_LEAF, LEAVES = 1 << 12, 1 << 18, 64
+LEAST_LEAF, MOST_LEAF, LEAVES = 1 << 8, 1 << 18, 64
+DEALT = 100_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -240,7 +241,8 @@ def near_links(prints: DataFrame, budget: int = 3) -> DataFrame:
     total = prints.count()
     leaves = trie_leaves(prints, min(MOST_LEAF, max(LEAST_LEAF, total // LEAVES)))
     tasks = min(4096, max(16, 4 * len(leaves)))
-    dealt = prints.select("fp").mapInArrow(_dealer(leaves, budget), "pair long, fp long, second boolean")
+    spread = prints.select("fp").repartition(max(8, total // DEALT))
+    dealt = spread.mapInArrow(_dealer(leaves, budget), "pair long, fp long, second boolean")
     return dealt.repartition(tasks, "pair").groupBy("pair").applyInArrow(_joiner(leaves, budget), "u long, v long")
 
 
