@@ -63,17 +63,29 @@ def concat_hits(parts: list[str]) -> str:
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def compile_tests(tests: list[LineTest], numbers: dict[str, int], text: str, major: str = "pos") -> str:
-    """All hits of a unit row as one array: tests sharing ``needs`` are skipped together."""
+def compile_mask(tests: list[LineTest], text: str) -> str:
+    """One bit for each test that a unit row meets, as a plain expression for code generation.
+
+    Tests sharing ``needs`` are skipped together.
+    """
     gates: dict[tuple[str, ...], list[str]] = {}
-    for test in tests:
-        emit = hit(numbers[test.rule_id], test.line, major, test.minor, test.arg, test.context)
-        gates.setdefault(test.needs, []).append(f"if({test.when}, {emit}, null)")
+    for bit, test in enumerate(tests):
+        gates.setdefault(test.needs, []).append(f"if({test.when}, {1 << bit}L, 0L)")
     parts = []
     for needs, cases in gates.items():
-        hits = f"filter(array({', '.join(cases)}), one_hit -> one_hit is not null)"
-        parts.append(f"if({has_any(text, needs)}, {hits}, {NO_HITS})" if needs else hits)
-    return concat_hits(parts)
+        bits = " | ".join(cases)
+        parts.append(f"if({has_any(text, needs)}, {bits}, 0L)" if needs else f"({bits})")
+    return " | ".join(parts)
+
+
+def compile_hits(tests: list[LineTest], numbers: dict[str, int], mask: str = "mask", major: str = "pos") -> str:
+    """The hits of a unit row as one array, from the bits of its mask."""
+    cases = [
+        f"if(({mask} & {1 << bit}L) <> 0, "
+        f"{hit(numbers[test.rule_id], test.line, major, test.minor, test.arg, test.context)}, null)"
+        for bit, test in enumerate(tests)
+    ]
+    return f"filter(array({', '.join(cases)}), one_hit -> one_hit is not null)"
 
 
 def describe_hits(hits: DataFrame, rules: list[RuleText]) -> DataFrame:

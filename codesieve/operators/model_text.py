@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
+from ..options import ScanOptions
+from .scan import FILE_RECORD
+from .segment import explode_chunks
+from .units import Cutter
+
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
@@ -100,9 +105,10 @@ def annotate(prompts: DataFrame, predict: Predictor) -> DataFrame:
     """Text of a user-supplied model for each prompt, in Arrow batches.
 
     ``predict`` maps a batch of prompts to texts. A batch that fails is retried row by row,
-    and a row that fails gives no text, hence no findings.
+    and a row that fails gives a null text: no findings, but told apart from an empty answer.
     """
-    keys = prompts.select("file_id", "chunk_idx", "start_line", "prompt")
+    keep = [c for c in ("file_id", "chunk_idx", "function_name", "start_line") if c in prompts.columns]
+    keys = prompts.select(*keep, "prompt")
     schema = keys.drop("prompt").schema.add("text", "string")
 
     def one(prompt: str) -> str | None:
@@ -151,14 +157,18 @@ def type_of(description: Column) -> Column:
 
 
 def _matches(pattern: str, **groups: int) -> Column:
-    """All matches in ``text`` as array of structs with the named groups."""
-    return F.arrays_zip(
-        *[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(name) for name, g in groups.items()]
+    """All matches in ``text`` as array of structs with the named groups.
+
+    The text is searched once; the groups come from the short matches.
+    """
+    return F.transform(
+        F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
+        lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(name) for name, g in groups.items()]),
     )
 
 
-def parse_model_text(responses: DataFrame) -> DataFrame:
-    """responses(file_id, start_line, text) to findings.
+def _hits() -> Column:
+    """Findings in ``text`` as an array of structs.
 
     The main format counts; the two fallback formats are tried only if it does not occur.
     """
@@ -184,10 +194,47 @@ def parse_model_text(responses: DataFrame) -> DataFrame:
         _matches(PLAIN_FORMAT, line=1, description=2),
         lambda m: record(m, F.lit(DEFAULT_SEVERITY), type_of(m["description"]), FALLBACK_SOURCE),
     )
-    answered = responses.where((F.col("text") != "") & ~F.col("text").contains(NOTHING_FOUND))
-    parsed = answered.withColumn("main", main)
-    hits = F.when(F.size("main") > 0, F.col("main")).otherwise(F.concat(rated, plain))
+    said = (F.col("text") != "") & ~F.col("text").contains(NOTHING_FOUND)
+    return F.when(said, F.when(F.size(main) > 0, main).otherwise(F.concat(rated, plain)))
+
+
+def parse_model_text(responses: DataFrame) -> DataFrame:
+    """responses(file_id, start_line, text) to findings in the shape of all others.
+
+    They have no context and no rule; their place among others is that of the model's pack.
+    """
     kept = [c for c in responses.columns if c not in ("text", "start_line")]
-    return parsed.select(*kept, F.posexplode(hits).alias("seq", "m")).select(
-        *kept, "seq", *[F.col(f"m.{c}") for c in ("line", "severity", "type", "description", "source")]
+    rows = responses.select(*kept, F.posexplode(_hits()).alias("seq", "m"))
+    return _as_findings(rows, kept)
+
+
+def _as_findings(rows: DataFrame, kept: list[str]) -> DataFrame:
+    chunk = "coalesce(cast(chunk_idx as int), 0)" if "chunk_idx" in kept else "0"
+    added = {
+        "chunk_idx": "cast(null as int)", "function_name": "cast(null as string)",
+        "context_lines": "cast(null as array<string>)",
+    }
+    return rows.selectExpr(
+        *kept, *[f"{sql} AS {name}" for name, sql in added.items() if name not in kept], "seq",
+        "m.line", "m.severity", "m.type", "m.description", "m.source",
+        "cast(null as string) AS context", "1.0D AS confidence", "cast(null as string) AS rule_id",
+        f"named_struct('stage', 0, 'chunk_idx', {chunk}, 'pack', 0, 'grp', 0, 'major', seq, 'minor', 0, 'tie', '') AS ordinal",
+    )
+
+
+def model_records(files: DataFrame, options: ScanOptions, cutter: Cutter, predict: Predictor) -> DataFrame:
+    """What the model says about each chunk of files(file_id, content), as records of a scan.
+
+    A chunk it failed on gives a file record with ``unanswered`` 1. The model sees each chunk once.
+    """
+    chunks = explode_chunks(cutter(files.select("file_id", "content"), options))
+    answers = annotate(with_prompt(chunks), predict)
+    kept = ["file_id", "chunk_idx", "function_name"]
+    nothing = "named_struct('line', cast(null as int), 'severity', '', 'type', '', 'description', '', 'source', '')"
+    said = answers.select(*kept, _hits().alias("hits"), F.col("text").isNull().alias("unanswered"))
+    rows = said.select(
+        *kept, F.col("unanswered").cast("int").alias("unanswered"),
+        F.posexplode(F.when(F.col("unanswered"), F.expr(f"array({nothing})")).otherwise(F.col("hits"))).alias("seq", "m"),
     )
+    found = _as_findings(rows, [*kept, "unanswered"]).drop("seq")
+    return found.withColumn("rule_id", F.when(F.col("unanswered") == 1, F.lit(FILE_RECORD)))

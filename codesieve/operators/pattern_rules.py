@@ -23,10 +23,8 @@ INPUT_PATTERNS = {
         "Missing Input Validation", "MEDIUM",
         (r"scanf\s*\([^,]*,\s*[^)]+\)", r"atoi\s*\(", r"strtol\s*\("),
     ),
-    "X6": (
-        "SQL Injection Risk", "HIGH",
-        (r"sql.*\+.*user", r"query.*\+.*input", r"execute.*\+.*param"),
-    ),
+    # First word, a plus, and last word, in this order on the line.
+    "X6": ("SQL Injection Risk", "HIGH", (("sql", "user"), ("query", "input"), ("execute", "param"))),
     "X7": (
         "Path Traversal", "MEDIUM",
         (r"fopen\s*\([^,)]*\.\.[^)]*\)", r"open\s*\([^,)]*\.\.[^)]*\)", r"access\s*\([^,)]*\.\.[^)]*\)"),
@@ -88,6 +86,16 @@ def rule_texts() -> list[RuleText]:
     ]
 
 
+def _joined_words(first: str, last: str) -> str:
+    """Whether ``low`` has ``first``, then a plus, then ``last``, in time linear in the line.
+
+    Any match is one between the first ``first`` and the last ``last`` after it.
+    """
+    rest = f"substr(low, locate('{first}', low) + {len(first)})"
+    inside = f"left({rest}, length({rest}) - length(substring_index({rest}, '{last}', -1)) - {len(last)})"
+    return f"contains(low, '{first}') and contains({rest}, '{last}') and contains({inside}, '+')"
+
+
 def pattern_tests() -> list[LineTest]:
     """Tests on a file-line unit; ``low`` is its lower-case line, which must have a rule's stem."""
     context = strip("line")
@@ -103,6 +111,10 @@ def pattern_tests() -> list[LineTest]:
             minor += 1
     for rule_id, (_, _, patterns) in INPUT_PATTERNS.items():
         for pattern in patterns:
+            if rule_id == "X6":
+                add(rule_id, minor, _joined_words(*pattern))
+                minor += 1
+                continue
             test = f"line rlike {literal('(?id)' + pattern)}"
             if rule_id == "X7":
                 test += f" and {has_any('line', FILE_OPERATIONS)}"
@@ -122,22 +134,21 @@ def balance_hits(rule_id: str, numbers: dict[str, int]) -> str:
     opening, closing, _, _ = BALANCES[rule_id]
     open_stem, close_stem = BALANCE_STEMS[rule_id]
 
-    def events(pattern: str, stem: str) -> str:
+    def events(pattern: str, stem: str, kind: int) -> str:
         found = (
             f"transform(filter(body, x -> contains(x.line, '{stem}')), x -> named_struct("
-            f"'var', regexp_extract(x.line, {literal(pattern)}, 1), 'line_no', x.line_no))"
+            f"'var', regexp_extract(x.line, {literal(pattern)}, 1), 'line_no', x.line_no, 'kind', {kind}))"
         )
         return f"filter({found}, x -> x.var <> '')"
 
-    def last(which: str) -> str:
-        return f"coalesce(array_max(filter({which}, event -> event.var = name).line_no), 0)"
-
-    names = f"filter(array_sort(array_distinct(opened.var)), name -> {last('opened')} > {last('closed')})"
-    report = hit(numbers[rule_id], "0", "0", 0, "name")
-    found = let(
-        events(opening, open_stem), "opened",
-        let(events(closing, close_stem), "closed", f"transform({names}, name -> {report})"),
+    # Sorted by name and line, the last event of each name tells whether it stays open.
+    both = f"array_sort(concat({events(opening, open_stem, 0)}, {events(closing, close_stem, 1)}))"
+    left_open = (
+        "filter(events, (event, i_event) -> event.kind = 0 "
+        "and coalesce(get(events, i_event + 1).var <> event.var, true))"
     )
+    report = hit(numbers[rule_id], "0", "0", 0, "event.var")
+    found = let(both, "events", f"transform({left_open}, event -> {report})")
     return f"if(contains(line, '{open_stem}'), {found}, {NO_HITS})"
 
 

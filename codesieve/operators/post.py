@@ -88,18 +88,26 @@ def with_fixes(findings: DataFrame) -> DataFrame:
     )
 
 
+def first_of_place(entries: Column) -> Column:
+    """Of entries sorted by line, type and emission order, the first of each line and type."""
+
+    def is_first(entry: Column, at: Column) -> Column:
+        before = F.get(entries, at - 1)
+        return (at == 0) | ~(entry["line"].eqNullSafe(before["line"]) & entry["type"].eqNullSafe(before["type"]))
+
+    return F.filter(entries, is_first)
+
+
 def deduplicate(findings: DataFrame) -> DataFrame:
     """The first finding in emission order per file, line and type.
 
-    Partial aggregation keeps one row per key on the map side, so a hot file or line
-    sends at most one row per task and key into the shuffle.
+    The findings of a file, which fit a row as its text does, are sorted once in that row.
     """
-    keys = ("file_id", "line", "type")
-    rest = [c for c in findings.columns if c not in (*keys, "ordinal")]
-    first = F.min(F.struct("ordinal", *rest)).alias("first")
-    return findings.groupBy(*keys).agg(first).select(*[
-        F.col(c) if c in keys else F.col(f"first.{c}") for c in findings.columns
-    ])
+    keys = ["line", "type", "ordinal"]
+    entry = F.struct(*keys, *[c for c in findings.columns if c not in ("file_id", *keys)])
+    files = findings.groupBy("file_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    kept = files.select("file_id", F.explode(first_of_place(F.col("entries"))).alias("x"))
+    return kept.select(*["file_id" if c == "file_id" else f"x.{c}" for c in findings.columns])
 
 
 def ranked(findings: DataFrame) -> DataFrame:

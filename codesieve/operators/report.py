@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .post import severity_rank
-
 # Widths, headings and texts of the plain report.
 WIDE_RULE, NARROW_RULE, FOOTER_RULE = "=" * 70, "-" * 40, "-" * 70
 TITLE = "# C/C++ Vulnerability Analysis Report"
@@ -15,7 +13,6 @@ CONTEXT_CUT = 100
 # Terminal colours of the severities.
 COLOURS = {"CRITICAL": "\x1b[91m", "HIGH": "\x1b[93m", "MEDIUM": "\x1b[94m", "LOW": "\x1b[92m"}
 COLOUR_END = "\x1b[0m"
-LINES_PER_PART = 10_000
 
 STATISTICS = (
     "total_vulnerabilities", "critical_count", "high_count", "medium_count", "low_count",
@@ -23,34 +20,18 @@ STATISTICS = (
 )
 
 
-def nested_reports(
-    files: DataFrame, findings: DataFrame, include_fixes: bool = False, lines_per_part: int = LINES_PER_PART
-) -> DataFrame:
+def nested_reports(results: DataFrame, include_fixes: bool = False) -> DataFrame:
     """One row per file: statistics struct and its findings in report order.
 
-    ``files`` has file_id, path, chunks_analyzed and the statistics columns. A file of more
-    than ``lines_per_part`` lines gets one row per range of lines, numbered by ``part``, so
-    no task ever holds more findings than a part can have. ``is_last`` marks the final part.
+    ``results`` has file_id, path, chunks_analyzed, the statistics columns and ``listed``.
     """
     shown = ["line", "severity", "type", "description", "context", "source", "cwe"]
     if include_fixes:
         shown.append("suggested_fix")
-    part = F.floor(F.col("line") / lines_per_part).cast("int")
-    entry = F.struct(
-        F.col("line").alias("by_line"), severity_rank(F.col("severity")).alias("by_rank"), "ordinal",
-        F.struct(*shown).alias("entry"),
-    )
-    # Every file has part 0, as its heading; later parts exist only where findings do.
-    rows = findings.select("file_id", part.alias("part"), entry.alias("entry"))
-    heads = files.select("file_id", F.lit(0).alias("part"), F.lit(None).cast(rows.schema["entry"].dataType).alias("entry"))
-    parts = rows.unionByName(heads).groupBy("file_id", "part").agg(
-        F.array_sort(F.collect_list("entry")).alias("listed")
-    )
-    last_part = F.floor(F.col("last_line") / lines_per_part).cast("int")
-    return files.join(parts, "file_id").select(
-        "file_id", "part", (F.col("part") == last_part).alias("is_last"), "path", "chunks_analyzed",
-        F.struct(*STATISTICS).alias("statistics"),
-        F.col("listed.entry").alias("vulnerabilities"),
+    entry = lambda x: F.struct(*[x[c].alias(c) for c in shown])
+    return results.select(
+        "file_id", "path", "chunks_analyzed", F.struct(*STATISTICS).alias("statistics"),
+        F.transform("listed", entry).alias("vulnerabilities"),
     )
 
 
@@ -62,7 +43,7 @@ def json_reports(nested: DataFrame, generated_at: Column | None = None) -> DataF
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
     )
     document = F.struct(metadata.alias("metadata"), "statistics", "vulnerabilities")
-    return nested.select("file_id", "part", F.to_json(document, {"pretty": "true"}).alias("report"))
+    return nested.select("file_id", F.to_json(document, {"pretty": "true"}).alias("report"))
 
 
 def _finding_block(entry: Column, include_fixes: bool, colours: bool) -> Column:
@@ -87,10 +68,7 @@ def _finding_block(entry: Column, include_fixes: bool, colours: bool) -> Column:
 def text_reports(
     nested: DataFrame, include_fixes: bool = False, colours: bool = False, generated_at: Column | None = None
 ) -> DataFrame:
-    """Nested reports as plain text: header, summary, one block per finding, footer.
-
-    The parts of a file, in order, make up its report.
-    """
+    """Nested reports as plain text: header, summary, one block per finding, footer."""
     stamp = F.current_timestamp() if generated_at is None else generated_at
     stats = {name: F.col(f"statistics.{name}") for name in STATISTICS}
 
@@ -128,10 +106,5 @@ def text_reports(
         F.lit(FOOTER_RULE),
         row("Report generated at: ", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
     )
-    text = F.concat_ws(
-        "\n",
-        F.when(F.col("part") == 0, heading),
-        F.when(F.size("vulnerabilities") > 0, blocks),
-        F.when(F.col("is_last"), footer),
-    )
-    return nested.select("file_id", "part", text.alias("report"))
+    text = F.concat_ws("\n", heading, F.when(F.size("vulnerabilities") > 0, blocks), footer)
+    return nested.select("file_id", text.alias("report"))

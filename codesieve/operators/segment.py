@@ -20,15 +20,17 @@ INCLUDE_LINE = r"""^\s*#\s*include\s*[<"][^>"]*[>"]"""
 DEFINE_LINE = r"^\s*#\s*define\s+\w+"
 CONTROL_NAMES = ("if", "for", "while", "switch")
 
-# At most 16 words before the name and 4000 characters of parameters: an open-ended
-# repetition of a group recurses in java.util.regex and overflows the stack on prose.
-# The text to match has a newline put in front, so every header follows one.
+# All repetitions are possessive, as others recurse in java.util.regex and overflow the stack on
+# prose. A run of words that turns out to be no header is consumed, too, so words are read once;
+# such tokens have no brace at their end. The text to match has a newline put in front, so every
+# header follows one.
 FUNCTION_HEADER = (
-    r"\n[ \t]*+(?:\w++\s++){0,16}\*?\s*+(\w++)\s*+\([^)]{0,4000}+\)\s*+\{"
+    r"\n[ \t]*+(?:\w++\s++(?=[\w*]))*+(?:\*?\s*+(\w++)\s*+\([^)]*+\)\s*+\{)?"
 )
 STRING_LITERAL = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 CHAR_LITERAL = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*"
+# An open comment runs to the end of the text.
+COMMENT = r"/\*(?:[\s\S]*?\*/|[\s\S]*+)|//[^\n]*+"
 # The look-ahead rejects most positions by a single test.
 TOKEN = (
     r"""(?d)(?=["'/{}\n])(?:"""
@@ -46,7 +48,7 @@ def _brace_tokens() -> str:
     spans = let("concat('\\n', content)", "padded", match_spans("padded", TOKEN))
     return (
         f"if(contains(content, '{{'), filter({spans}, "
-        """brace -> substr(brace.text, 1, 1) not in ('"', "'", '/')), """
+        """brace -> right(brace.text, 1) in ('{', '}') and substr(brace.text, 1, 1) not in ('"', "'", '/')), """
         "cast(array() as array<struct<text:string,first:int,last:int>>))"
     )
 
@@ -203,7 +205,8 @@ def with_whole_text(files: DataFrame, options: ScanOptions = ScanOptions()) -> D
     return files.select("*", F.expr(split).alias("chunks"))
 
 
-def _explode_chunks(chunked: DataFrame) -> DataFrame:
+def explode_chunks(chunked: DataFrame) -> DataFrame:
+    """Rows with ``chunks`` to one row per chunk."""
     rows = chunked.select("file_id", F.posexplode("chunks").alias("chunk_idx", "chunk"))
     return rows.select(
         "file_id",
@@ -219,12 +222,12 @@ def _explode_chunks(chunked: DataFrame) -> DataFrame:
 
 def chunk_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """files(file_id, content) to chunks(file_id, chunk_idx, chunk_type, function_name, …)."""
-    return _explode_chunks(with_chunks(files, options))
+    return explode_chunks(with_chunks(files, options))
 
 
 def chunk_texts(texts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Like ``chunk_files``, but cutting only by size."""
-    return _explode_chunks(with_whole_text(texts, options))
+    return explode_chunks(with_whole_text(texts, options))
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:

@@ -40,12 +40,45 @@ def type_counts(findings: DataFrame) -> DataFrame:
     met = F.struct("line", severity_rank(F.col("severity")).alias("rank"), "ordinal")
     kind = F.coalesce("type", F.lit("Unknown")).alias("type")
     return findings.groupBy("file_id", kind).agg(
-        *_counts(), F.min(met).alias("first_met"), F.max("line").alias("last_line")
+        *_counts(), F.min(met).alias("first_met")
+    )
+
+
+def listed_statistics(listed: Column, weights: dict[str, int]) -> dict[str, Column]:
+    """The same statistics from an array of one file's findings in report order, inside the row."""
+    severity = lambda x: F.coalesce(x["severity"], F.lit("LOW"))
+    of = lambda test: F.size(F.filter(listed, test)).cast("long")
+    is_level = lambda name: lambda x: severity(x) == name
+    counts = {f"{name.lower()}_count": of(is_level(name)) for name in list(SEVERITY_WEIGHTS)[:3]}
+    counts["low_count"] = of(lambda x: ~severity(x).isin(*list(SEVERITY_WEIGHTS)[:3]))
+    types = F.transform(listed, lambda x: F.coalesce(x["type"], F.lit("Unknown")))
+    kinds = F.array_sort(F.array_distinct(types))
+    number = lambda kind: F.size(F.filter(types, lambda t: t == kind)).cast("long")
+    # The commonest type; of equally common ones the one met first.
+    place = F.transform(
+        kinds, lambda k: F.struct((-number(k)).alias("n"), F.array_position(types, k).alias("at"), k.alias("type"))
+    )
+    risk = F.lit(0).cast("long")
+    for name, weight in weights.items():
+        risk = risk + counts.get(f"{name.lower()}_count", F.lit(0)) * F.lit(weight)
+    return {
+        "total_vulnerabilities": F.size(listed).cast("long"), **counts,
+        "vulnerability_types": F.map_from_entries(F.transform(kinds, lambda k: F.struct(k.alias("type"), number(k).alias("n")))),
+        "most_common_type": F.coalesce(F.array_min(place)["type"], F.lit("")),
+        "risk_score": risk.cast("long"),
+    }
+
+
+def verdict(failed: Column) -> Column:
+    """Verdict from the counts; ``failed`` marks files that could not be scanned."""
+    return (
+        F.when(failed, FAILED).when(F.col("critical_count") > 0, CRITICAL).when(F.col("high_count") > 0, HIGH)
+        .when(F.col("total_vulnerabilities") > 0, OTHER).otherwise(CLEAN)
     )
 
 
 def file_statistics(findings: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Counts, type histogram, most common type, risk score and last line per file with findings.
+    """Counts, type histogram, most common type and risk score per file with findings.
 
     Built from per-type partial counts, so the second step holds one row per file and type.
     """
@@ -56,7 +89,6 @@ def file_statistics(findings: DataFrame, options: ScanOptions = ScanOptions()) -
         *[F.sum(c).alias(c) for c in names],
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", total)))).alias("vulnerability_types"),
         F.min_by("type", F.struct((-total).alias("n"), "first_met")).alias("most_common_type"),
-        F.max("last_line").alias("last_line"),
     )
     return per_file.withColumn("risk_score", weighted_risk(options.severity_weights))
 
@@ -66,22 +98,15 @@ def with_verdict(files: DataFrame, statistics: DataFrame, failed: Column | None
 
     ``failed`` marks files that could not be scanned.
     """
-    total = F.coalesce("total_vulnerabilities", F.lit(0))
-    verdict = (
-        F.when(F.lit(False) if failed is None else failed, FAILED)
-        .when(F.col("critical_count") > 0, CRITICAL)
-        .when(F.col("high_count") > 0, HIGH)
-        .when(total > 0, OTHER)
-        .otherwise(CLEAN)
+    joined = files.join(statistics, "file_id", "left").withColumn(
+        "verdict", verdict(F.lit(False) if failed is None else failed)
     )
-    joined = files.join(statistics, "file_id", "left").withColumn("verdict", verdict)
     zero = [c for c in statistics.columns if c.endswith(("_count", "_vulnerabilities", "_score"))]
     return joined.withColumns(
         {
             **{c: F.coalesce(c, F.lit(0).cast("long")) for c in zero},
             "vulnerability_types": F.coalesce("vulnerability_types", F.expr("cast(map() as map<string,bigint>)")),
             "most_common_type": F.coalesce("most_common_type", F.lit("")),
-            "last_line": F.coalesce("last_line", F.lit(0)),
         }
     )
 

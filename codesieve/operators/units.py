@@ -48,6 +48,7 @@ UNIT_FIELDS = {
     "has_sync": "boolean",
     "body": CHUNK_LINES,
     "around": "array<string>",
+    "file_body": CHUNK_LINES,
 }
 
 
@@ -57,7 +58,7 @@ def _unit(**given: str) -> str:
     return f"named_struct({', '.join(fields)})"
 
 
-def _around(file_lines: str, line_no: str, reach: int) -> str:
+def around(file_lines: str, line_no: str, reach: int) -> str:
     first = f"greatest({line_no} - {reach}, 1)"
     return f"slice({file_lines}, {first}, {line_no} + {reach + 1} - {first}).line"
 
@@ -70,7 +71,7 @@ def chunk_units(chunks: str, file_lines: str, reach: int = 0) -> str:
     """One unit per chunk and one per chunk line that may meet a rule, as a flat array."""
     whole = _unit(
         scope=literal(CHUNK_SCOPE), chunk_idx="i_unit_chunk", function_name="unit_chunk.function_name",
-        line="chunk_text", body="unit_chunk.lines",
+        line="chunk_text", body="unit_chunk.lines", file_body=file_lines if reach else "null",
     )
     looks = has_any("u.line", LOOKS_AHEAD)
     of_line = {
@@ -81,7 +82,7 @@ def chunk_units(chunks: str, file_lines: str, reach: int = 0) -> str:
         "has_null": "flags.has_null", "has_seed": "flags.has_seed",
     }
     if reach:
-        of_line["around"] = _around(file_lines, "u.line_no", reach)
+        of_line["around"] = around(file_lines, "u.line_no", reach)
     flags = "named_struct('has_null', contains(upper(chunk_text), 'NULL'), 'has_seed', contains(chunk_text, 'srand('))"
     lines = let(
         flags, "flags", _marked("unit_chunk.lines", has_any("u.line", CHUNK_LINE_MARKS), _unit(**of_line))
@@ -108,10 +109,10 @@ def file_units(content: str, file_lines: str, chunk_count: str, with_lines: bool
         "first_thread": "thread.first",
     }
     if reach:
-        of_line["around"] = _around(file_lines, "u.line_no", reach)
+        of_line["around"] = around(file_lines, "u.line_no", reach)
     whole = _unit(
         scope=literal(FILE_SCOPE), pos=chunk_count, line=content, body=file_lines,
-        first_thread="thread.first", has_sync="thread.sync",
+        first_thread="thread.first", has_sync="thread.sync", file_body=file_lines if reach else "null",
     )
     units = f"array({whole})"
     if with_lines:
@@ -121,7 +122,9 @@ def file_units(content: str, file_lines: str, chunk_count: str, with_lines: bool
     return let(f"lower({content})", "low", let(threads, "thread", units))
 
 
-def scan_units(files: DataFrame, options: ScanOptions, cutter: Cutter = with_chunks) -> DataFrame:
+def scan_units(
+    files: DataFrame, options: ScanOptions, cutter: Cutter = with_chunks, count_chunks: bool = False
+) -> DataFrame:
     """files(file_id, content) to unit rows; a narrow plan that reads the text once.
 
     ``cutter`` adds the chunks; by default it segments C sources.
@@ -129,7 +132,7 @@ def scan_units(files: DataFrame, options: ScanOptions, cutter: Cutter = with_chu
     reach = options.max_context_lines
     with_lines = PATTERN_PACK in options.packs
     texts = files.select("file_id", "content")
-    if options.packs & {MODEL_PACK, HEURISTIC_PACK}:
+    if count_chunks or options.packs & {MODEL_PACK, HEURISTIC_PACK}:
         texts = cutter(texts, options)
         of_file = file_units("content", "unit_lines", "size(unit_chunks)", with_lines, reach)
         units = let(

@@ -17,9 +17,8 @@ SEVERITY_WEIGHTS = {"CRITICAL": 10, "HIGH": 7, "MEDIUM": 4, "LOW": 1}
 class ScanOptions:
     """What to scan for and how to report it.
 
-    ``max_chunk_size`` None keeps every chunk whole. ``max_file_chars`` None accepts every
-    file; a file over the limit is not scanned and gets the error verdict. Control blocks
-    (``if``, ``for``, ``while``, ``switch``) count as function chunks unless switched off.
+    ``max_chunk_size`` None keeps every chunk whole. Control blocks (``if``, ``for``, ``while``,
+    ``switch``) count as function chunks unless switched off.
     """
 
     max_chunk_size: int | None = 3000
@@ -30,7 +29,6 @@ class ScanOptions:
     max_context_lines: int = 0
     ignore_patterns: tuple[str, ...] = ()
     severity_weights: dict[str, int] = field(default_factory=lambda: dict(SEVERITY_WEIGHTS))
-    max_file_chars: int | None = None
 
     @classmethod
     def from_config(cls, config: dict) -> "ScanOptions":

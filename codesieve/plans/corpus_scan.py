@@ -1,77 +1,102 @@
 """The whole job: one pass over the corpus, then findings, statistics and reports.
 
-The pass over the text is narrow. What leaves it are findings and one small record per file;
-only these are shuffled, by (file_id, line, type) with partial aggregation and by file_id.
+The pass over the text is narrow. Raw findings and one small record per file are gathered by file
+once; filters, deduplication, statistics and the order of the report are work inside that row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.post import deduplicate, finish_findings, kept_findings
+from ..operators import model_text
+from ..operators.post import first_of_place, kept_findings, severity_rank, with_cwe, with_fixes
 from ..operators.report import nested_reports
 from ..operators.scan import FILE_RECORD, scan_records
 from ..operators.segment import with_chunks
-from ..operators.stats import file_statistics, with_verdict
+from ..operators.stats import listed_statistics, verdict
 from ..operators.units import Cutter
-from ..options import ScanOptions
-from ..session import ensure_checkpoint_dir
+from ..options import MODEL_PACK, ScanOptions
 
-COUNTED = ("file_id", "line", "severity", "type", "ordinal")
+PLACED = ("line", "type", "ordinal")
 
 
 @dataclass(frozen=True)
 class CorpusScan:
-    """Lazy results of a scan: flat findings, and one row per file with verdict and statistics."""
+    """Lazy results: one row per file, with its findings in report order in ``listed``.
 
-    findings: DataFrame
-    files: DataFrame
+    Findings, files and reports are projections of it. Whoever needs several of them writes
+    ``results`` once and passes the written table to ``CorpusScan``.
+    """
+
+    results: DataFrame
+
+    @property
+    def findings(self) -> DataFrame:
+        """Final findings, one row each."""
+        return self.results.select("file_id", F.explode("listed").alias("x")).select("file_id", "x.*").drop("rank")
+
+    @property
+    def files(self) -> DataFrame:
+        """Statistics and verdict of every file, those without findings too."""
+        return self.results.drop("listed")
 
     def reports(self, include_fixes: bool = False) -> DataFrame:
-        return nested_reports(self.files, self.findings, include_fixes)
+        return nested_reports(self.results, include_fixes)
 
 
-def _scannable(files: DataFrame, options: ScanOptions) -> DataFrame:
-    """Texts over the size limit, or missing, are emptied and marked as failed."""
+def _scannable(files: DataFrame) -> DataFrame:
+    """Missing texts are emptied and marked as failed."""
     failed = F.col("content").isNull()
-    if options.max_file_chars is not None:
-        failed = failed | (F.length("content") > options.max_file_chars)
     return files.select(
-        F.struct("file_id", "path", F.coalesce(failed, F.lit(True)).alias("failed")).alias("file_id"),
-        F.when(failed, "").otherwise(F.col("content")).alias("content"),
+        F.struct("file_id", "path", failed.alias("failed")).alias("file_id"), F.coalesce("content", F.lit("")).alias("content")
     )
 
 
+def _by_file(records: DataFrame, options: ScanOptions) -> DataFrame:
+    """Records with the key (file_id, path, failed) to one row per file with findings and statistics."""
+    is_file = F.col("rule_id").eqNullSafe(FILE_RECORD)
+    kept = with_fixes(with_cwe(kept_findings(records.where(~is_file), options)))
+    rest = [c for c in kept.columns if c not in ("file_id", *PLACED)]
+    entry = F.struct(*PLACED, *rest)
+    rows = kept.select("file_id", entry.alias("entry"), F.lit(None).cast("int").alias("chunks"), F.lit(0).alias("unanswered"))
+    unanswered = F.col("unanswered") if "unanswered" in records.columns else F.lit(0)
+    heads = records.where(is_file).select(
+        "file_id", F.lit(None).cast(rows.schema["entry"].dataType).alias("entry"), F.col("line").alias("chunks"),
+        unanswered.cast("int").alias("unanswered"),
+    )
+    files = rows.union(heads).groupBy("file_id").agg(
+        F.sort_array(F.collect_list("entry")).alias("entries"), F.max("chunks").alias("chunks"),
+        F.sum("unanswered").alias("failed_answers"),
+    )
+    shown = lambda x: F.struct(
+        x["line"].alias("line"), severity_rank(x["severity"]).alias("rank"), x["ordinal"].alias("ordinal"),
+        x["type"].alias("type"), *[x[c].alias(c) for c in rest],
+    )
+    listed = files.select(
+        "file_id.*", F.when(F.col("file_id.failed"), 0).otherwise(F.col("chunks")).cast("long").alias("chunks_analyzed"),
+        "failed_answers", F.sort_array(F.transform(first_of_place(F.col("entries")), shown)).alias("listed"),
+    )
+    counted = listed.withColumns(listed_statistics(F.col("listed"), options.severity_weights))
+    return counted.withColumn("verdict", verdict(F.col("failed")))
+
+
 def scan_corpus(
-    files: DataFrame, options: ScanOptions = ScanOptions(), work_table: str | None = None,
-    cutter: Cutter = with_chunks, keep: bool = True,
+    files: DataFrame, options: ScanOptions = ScanOptions(), cutter: Cutter = with_chunks,
+    predict: model_text.Predictor | None = None,
 ) -> CorpusScan:
-    """Scan files(file_id, path, content).
+    """Scan files(file_id, path, content); nothing runs until a result is used.
 
-    The records of the pass are kept, so that several outputs share it: in the parquet folder
-    ``work_table`` if given, else in a new folder below the session's shared checkpoint folder.
-    They survive the loss of executors, and outputs read only the columns they need.
-    ``keep=False`` leaves the plan lazy for a single output.
+    With ``predict``, the findings of pack M are what this model says about each chunk; chunks it
+    failed on are counted in ``failed_answers``.
     """
-    spark = files.sparkSession
-    records = scan_records(_scannable(files, options), options, cutter)
-    rest = [c for c in records.columns if c != "file_id"]
-    records = records.select("file_id.*", *rest)
-    if keep:
-        folder = work_table or f"{ensure_checkpoint_dir(spark)}/records-{uuid4().hex}"
-        records.write.mode("errorifexists").parquet(folder)
-        records = spark.read.schema(records.schema).parquet(folder)
-    is_file = F.col("rule_id") == FILE_RECORD
-    raw = records.where(~is_file).drop("path", "failed")
-    findings = finish_findings(raw, options)
-    # Statistics need few columns, so they deduplicate a narrow copy of the records.
-    counted = deduplicate(kept_findings(raw, options).select(*COUNTED))
-    listed = records.where(is_file).select(
-        "file_id", "path", "failed",
-        F.when(F.col("failed"), 0).otherwise(F.col("line")).cast("long").alias("chunks_analyzed"),
-    )
-    return CorpusScan(findings, with_verdict(listed, file_statistics(counted, options), F.col("failed")))
+    texts = _scannable(files)
+    if predict is None:
+        return CorpusScan(_by_file(scan_records(texts, options, cutter), options))
+    own = ScanOptions(**{**options.__dict__, "packs": options.packs - {MODEL_PACK}})
+    # Chunks are counted with the model's pack on, as its findings are by chunk.
+    records = scan_records(texts, own, cutter, count_chunks=True).withColumn("unanswered", F.lit(0))
+    said = model_text.model_records(texts, options, cutter, predict)
+    return CorpusScan(_by_file(records.unionByName(said, allowMissingColumns=True), options))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
 
 def build_session(app_name: str = "codesieve", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution on; ``conf`` keys use ``__`` for dots."""
@@ -22,14 +18,3 @@ def build_session(app_name: str = "codesieve", master: str | None = None, **conf
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; set a temporary one only for local masters."""
-    shared = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="codesieve-checkpoint-")
-    spark.sparkContext.setCheckpointDir(shared)
-    return shared

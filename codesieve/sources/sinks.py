@@ -10,14 +10,9 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.mode("errorifexists").parquet(path)
 
 
-def write_json_reports(nested: DataFrame, path: str) -> None:
-    """Nested reports as JSON lines, one document per file."""
-    nested.write.mode("errorifexists").json(path)
+def write_reports(reports: DataFrame, path: str) -> None:
+    """JSON or plain-text documents of reports(file_id, report) as text, one after the other.
 
-
-def write_text_reports(reports: DataFrame, path: str) -> None:
-    """Text of reports(file_id, part, report), file by file and part by part.
-
-    The sort is by range, so the parts of one large file may lie in several output files.
+    A file's report is one row, so it is never torn apart; files are in no order.
     """
-    reports.orderBy("file_id", "part").select("report").write.mode("errorifexists").text(path)
+    reports.select("report").write.mode("errorifexists").text(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Extensions of C and C++ sources, any case.
 SOURCE_EXTENSIONS = ("c", "cpp", "cc", "cxx", "h", "hpp")
-FULL_SPLIT = 128 * 1024 * 1024
 REPLACEMENT = "�"
 
 
@@ -24,13 +25,17 @@ def clean_text(raw: Column) -> Column:
 def read_source_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Source files below ``path``; other files are filtered out by their extension.
 
-    Spark makes no split for a file without bytes, so empty files give no row. For repeated
-    scans of many small files write the result to parquet once and use ``text_corpus`` on it.
+    Spark makes no split for a file without bytes, so empty files come from its list of files. For
+    repeated scans of many small files write the result to parquet once and use ``text_corpus`` on it.
     """
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     )
-    return raw.where(is_source_path(F.col("path"))).select(
+    listed = spark.createDataFrame([(unquote(name),) for name in raw.inputFiles()], "path string")
+    plain = F.regexp_replace("path", "^(\\w+):/*", "$1:/")
+    empty = listed.select(plain.alias("path")).join(raw.select(plain.alias("path")), "path", "left_anti")
+    files = raw.select("path", "content").union(empty.select("path", F.lit(b"").alias("content")))
+    return files.where(is_source_path(F.col("path"))).select(
         F.col("path").alias("file_id"), "path", clean_text(F.col("content")).alias("content")
     )
 
@@ -45,18 +50,14 @@ def text_corpus(table: DataFrame, id_column: str, text_column: str, path: Column
     )
 
 
-def spread_small(texts: DataFrame) -> DataFrame:
-    """Small corpora spread evenly over the cores, as scanning costs far more than reading.
+def spread(texts: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Texts dealt by ``file_id`` over a fixed number of tasks, by default the shuffle partitions.
 
-    A small table often sits in a single row group, hence in a single task. A corpus large
-    enough to give every core a full split is left as it is, so its text is never shuffled.
+    For corpora in few files or row groups: scanning costs far more than moving the text once. A
+    corpus in many files needs no spreading.
     """
-    spark = texts.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * FULL_SPLIT:
-        return texts
-    return texts.repartition(cores * 2, "file_id")
+    number = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(number, "file_id")
 
 
 def source_rows(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import literal
-from codesieve.sources.tables import spread_small, text_corpus
+from codesieve.sources.tables import spread, text_corpus
 
 LINES_PER_FILE = 40
 
@@ -34,6 +34,7 @@ CODE_TEMPLATES = [
     'secret = "a rather long secret text that is cut at fifty letters {v}";',
     "token = 'tk';", "/* note */", "", "fd = socket(1, 2, 0);",
     "bind(fd, p, 4);", "telnet_open(h);", "volatile  sig_atomic_t z;", "  return;",
+    "free({v});", "free({v});", "free( {v} );",
 ]
 # Templates kept in some files only (file_id % modulus = residue), as they flip file-wide flags.
 RARE_TEMPLATES = {27: (3, 0), 28: (3, 1), 29: (2, 0), 34: (2, 0), 42: (4, 0)}
@@ -93,7 +94,7 @@ def skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _joined(lines: DataFrame) -> DataFrame:
     """Files of 40 lines each; event ids are unique and dense, so no file is larger."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return spread_small(lines).groupBy("file_id").agg(ordered.alias("x")).select(
+    return lines.groupBy("file_id").agg(ordered.alias("x")).select(
         "file_id",
         F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".c")).alias("path"),
         F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("content"),
@@ -133,7 +134,24 @@ def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files(file_id, path, content)."""
-    return spread_small(text_corpus(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return spread(text_corpus(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and an entry without text for every benchmark item (id -1 - item_id)."""
+    absent = table(spark, sf_dir, "benchmark").select(
+        (-1 - F.col("item_id")).alias("file_id"), F.lit("absent").alias("path"), F.lit(None).cast("string").alias("content")
+    )
+    return documents(spark, sf_dir).union(absent)
+
+
+def source_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, raw): documents with line ends by id, an invalid byte in some, no bytes in others."""
+    ends = F.when(F.col("doc_id") % 3 == 0, "\r\n").when(F.col("doc_id") % 3 == 1, "\r").otherwise("\n")
+    text = F.replace(F.col("text"), F.lit("\n"), ends).cast("binary")
+    broken = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(b"\xff"), text, F.lit(b"\xc3"))).otherwise(text)
+    raw = F.when(F.col("doc_id") % 11 == 0, F.lit(b"")).otherwise(broken)
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), raw.alias("raw")))
 
 
 def keyed_documents(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
@@ -141,7 +159,7 @@ def keyed_documents(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     keyed = table(spark, sf_dir, "documents").select(
         F.struct("doc_id", *keys).alias("file_id"), F.col("text").alias("content")
     )
-    return spread_small(keyed)
+    return spread(keyed)
 
 
 def _sql_list(values: list[str]) -> str:

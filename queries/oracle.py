@@ -441,9 +441,28 @@ SELECT n.file_id, CAST(n.chunk_idx AS INTEGER) AS chunk_idx, n.true_line AS line
 FROM hits h JOIN numbered n ON h.file_id = n.file_id * 100 + n.chunk_idx AND h.line = n.pos"""
 
 
+def model_scan_sql() -> str:
+    """The scan with one finding per chunk with ``gets`` in place of pack M; chunks with ``popen`` fail."""
+    return f"""{scan_cte([*H_SQL.values()], """
+  UNION ALL
+  SELECT file_id, CAST(start_line + 1 AS INTEGER), 'HIGH', 'Unsafe Input', 'gets in chunk', CAST(NULL AS VARCHAR), 'llm',
+         CAST(NULL AS VARCHAR), 0, CAST(chunk_idx AS INTEGER), function_name, 0, 0, 0, 0, ''
+  FROM chunks WHERE contains(content, 'gets(') AND NOT contains(content, 'popen(')""")},
+failed AS (SELECT file_id, count_if(contains(content, 'popen(')) AS failed_answers FROM chunks GROUP BY file_id),
+worst AS (SELECT file_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 3 WHEN bool_or(severity = 'HIGH') THEN 2 ELSE 1 END AS verdict
+          FROM ordered WHERE nth = 1 GROUP BY file_id)
+SELECT {RESULT}, {CWE} AS cwe, CAST(failed_answers AS BIGINT) AS failed_answers, verdict
+FROM ordered JOIN failed USING (file_id) JOIN worst USING (file_id) WHERE nth = 1"""
+
+
 def scan_sql() -> str:
     """Everything on the code corpus: packs M and H by chunk, X by file, then post-processing."""
-    by_chunk = "\n UNION ALL ".join([*M_SQL.values(), *H_SQL.values()])
+    return f"""{scan_cte([*M_SQL.values(), *H_SQL.values()])}
+SELECT {RESULT}, chunk_idx, function_name, {CWE} AS cwe, {FIX} AS suggested_fix FROM ordered WHERE nth = 1"""
+
+
+def scan_cte(chunk_rules: list[str], further: str = "") -> str:
+    by_chunk = "\n UNION ALL ".join(chunk_rules)
     by_file = "\n UNION ALL ".join(sql for parts in X_SQL.values() for sql in parts)
     return f"""{CHUNKS},
 {NUMBERED},
@@ -455,11 +474,39 @@ hits AS (
   FROM chunk_hits h JOIN numbered n ON h.file_id = n.file_id * 100 + n.chunk_idx AND h.line = n.pos
   UNION ALL
   SELECT file_id, line, severity, type, description, context, source, rule_id,
-         o1, NULL, NULL, o2, o3, o4, o5, o6 FROM file_hits),
+         o1, NULL, NULL, o2, o3, o4, o5, o6 FROM file_hits{further}),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY file_id, line, type
-    ORDER BY o1, coalesce(chunk_idx, 0), o2, o3, o4, o5, o6) AS nth FROM hits)
-SELECT {RESULT}, chunk_idx, function_name, {CWE} AS cwe, {FIX} AS suggested_fix FROM ordered WHERE nth = 1"""
+    ORDER BY o1, coalesce(chunk_idx, 0), o2, o3, o4, o5, o6) AS nth FROM hits)"""
+
+
+def scan_documents_sql() -> str:
+    """All packs over the documents, which have no braces: each is one global chunk, cut by size."""
+    by_chunk = "\n UNION ALL ".join([*M_SQL.values(), *H_SQL.values()])
+    by_file = "\n UNION ALL ".join(sql for parts in X_SQL.values() for sql in parts)
+    return f"""WITH RECURSIVE {DOC_LINES},
+shown AS (SELECT file_id, line_no, line, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS r,
+                 length(line) + 1 AS w, sum(length(line) + 1) OVER (PARTITION BY file_id) AS total
+          FROM dl WHERE trim(line, {WS}) <> ''),
+walk AS (
+  SELECT file_id, r, line_no, line, w AS used, 0 AS piece, total FROM shown WHERE r = 1
+  UNION ALL
+  SELECT s.file_id, s.r, s.line_no, s.line,
+         CASE WHEN p.total - 1 > 3000 AND p.used + s.w > 3000 THEN s.w ELSE p.used + s.w END,
+         p.piece + CASE WHEN p.total - 1 > 3000 AND p.used + s.w > 3000 THEN 1 ELSE 0 END, p.total
+  FROM walk p JOIN shown s ON s.file_id = p.file_id AND s.r = p.r + 1),
+numbered AS (
+  SELECT file_id, piece, line_no AS true_line, line, row_number() OVER (PARTITION BY file_id, piece ORDER BY r) AS pos FROM walk),
+chunk_hits AS (WITH cl AS (SELECT file_id * 1000 + piece AS file_id, pos AS line_no, line FROM numbered), {AREA_SQL} {by_chunk}),
+file_hits AS (WITH cl AS (SELECT file_id, line_no, line FROM dl) {by_file}),
+hits AS (
+  SELECT n.file_id, n.true_line AS line, severity, type, rule_id, o1, n.piece AS chunk_idx, o2, o3, o4, o5, o6
+  FROM chunk_hits h JOIN numbered n ON h.file_id = n.file_id * 1000 + n.piece AND h.line = n.pos
+  UNION ALL SELECT file_id, line, severity, type, rule_id, o1, 0, o2, o3, o4, o5, o6 FROM file_hits),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id, line, type ORDER BY o1, chunk_idx, o2, o3, o4, o5, o6) AS nth FROM hits)
+SELECT d.source AS origin, rule_id, severity, count(*) AS n
+FROM ordered o JOIN documents d ON d.doc_id = o.file_id WHERE nth = 1 GROUP BY ALL"""
 
 
 def text_report_sql() -> str:
@@ -503,8 +550,7 @@ kept AS (SELECT * FROM hits WHERE line > 0 AND NOT (contains(coalesce(context, '
 near AS (
   SELECT a.file_id, a.line_no, string_agg(b.line, '|' ORDER BY b.line_no) AS context_lines
   FROM cl a JOIN cl b ON a.file_id = b.file_id AND b.line_no BETWEEN a.line_no - 1 AND a.line_no + 1 GROUP BY ALL)
-SELECT k.file_id, k.line, CASE WHEN source = 'heuristic' AND rule_id IN {tuple(f"H{n}" for n in [12, 13, *range(14, 31)])} OR rule_id = 'X11'
-       THEN NULL ELSE context_lines END AS context_lines, count(*) AS total_vulnerabilities,
+SELECT k.file_id, k.line, context_lines, count(*) AS total_vulnerabilities,
        CAST(sum(CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 20 WHEN 'MEDIUM' THEN 4 ELSE 1 END) AS BIGINT) AS risk_score
 FROM kept k JOIN near n ON n.file_id = k.file_id AND n.line_no = k.line GROUP BY ALL"""
 
@@ -586,8 +632,10 @@ def oracle_sql() -> dict[str, str]:
         "x01_crypto": rules("X1", "X2", "X3", "X4"),
         "x02_secrets_documents": f"{SECRET_DOCS} SELECT {RESULT} FROM dx",
         "x04_page_protocols": " UNION ALL ".join(
-            f"""SELECT page_id AS file_id, 1 AS line, 'Insecure Protocol' AS type, trim(url, {WS}) AS context
-            FROM pages WHERE contains(lower(url), '{mark}')""" for mark in ("http://", "ftp://", "telnet")
+            f"""SELECT file_id, line, 'Insecure Protocol' AS type, trim(content, {WS}) AS context FROM (
+              SELECT file_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line, unnest(parts) AS content
+              FROM (SELECT page_id AS file_id, string_split(url || {NL} || html, {NL}) AS parts FROM pages))
+            WHERE contains(lower(content), '{mark}')""" for mark in ("http://", "ftp://", "telnet")
         ),
         "x05_input": rules("X5"),
         "x06_sqli": rules("X6"),
@@ -627,9 +675,10 @@ def oracle_sql() -> dict[str, str]:
         "risk_score": f"{FINAL} SELECT file_id, count(*) AS total_vulnerabilities, {RISK} AS risk_score FROM final GROUP BY file_id",
         "gate_verdict": f"""{SECRET_DOCS}, u AS (SELECT DISTINCT file_id, line, type FROM ds),
             n AS (SELECT file_id, count(*) AS n FROM u GROUP BY file_id)
-            SELECT doc_id AS file_id, CASE WHEN length(text) > 50000 THEN 0 ELSE coalesce(n.n, 0) END AS total_vulnerabilities,
-              CASE WHEN length(text) > 50000 THEN 4 WHEN n.n > 0 THEN 2 ELSE 0 END AS verdict
-            FROM documents LEFT JOIN n ON n.file_id = doc_id""",
+            SELECT doc_id AS file_id, coalesce(n.n, 0) AS total_vulnerabilities,
+              CASE WHEN n.n > 0 THEN 2 ELSE 0 END AS verdict
+            FROM documents LEFT JOIN n ON n.file_id = doc_id
+            UNION ALL SELECT -1 - item_id, 0, 4 FROM benchmark""",
         "code_verdict": f"""{FINAL} SELECT file_id, CAST(1 AS BIGINT) AS chunks_analyzed,
             count(*) AS total_vulnerabilities, {RISK} AS risk_score,
             CASE WHEN bool_or(severity = 'CRITICAL') THEN 3 WHEN bool_or(severity = 'HIGH') THEN 2 ELSE 1 END AS verdict
@@ -640,7 +689,12 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT u.severity, d.source, d.lang FROM u JOIN documents d ON d.doc_id = u.file_id)
             SELECT source, lang, CAST(grouping(source, lang) AS INTEGER) AS level, {COUNTS}, {RISK} AS risk_score
             FROM k GROUP BY ROLLUP (source, lang) HAVING count(*) > 0""",
+        "source_text": f"""SELECT doc_id AS file_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest
+            FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE
+              regexp_replace(replace(text, chr(65533), ''), '\\r\\n?', {NL}, 'g') END AS t FROM documents)""",
         "scan_code": scan_sql(),
+        "scan_with_model": model_scan_sql(),
+        "scan_documents": scan_documents_sql(),
         "secret_risk_by_source": f"""{SECRET_DOCS}, u AS (SELECT DISTINCT file_id, line FROM ds WHERE rule_id = 'H27')
             SELECT d.source AS origin, count(*) AS high_count, CAST(7 * count(*) AS BIGINT) AS risk_score
             FROM u JOIN documents d ON d.doc_id = u.file_id GROUP BY d.source""",

@@ -14,7 +14,7 @@ from codesieve.operators.scan import line_findings, raw_findings
 from codesieve.operators.segment import with_whole_text
 from codesieve.options import ScanOptions
 from codesieve.plans.corpus_scan import scan_corpus
-from codesieve.sources.tables import source_rows, text_corpus, to_lines
+from codesieve.sources.tables import clean_text, source_rows, text_corpus, to_lines
 
 from . import corpora
 
@@ -106,7 +106,7 @@ def json_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
-    return report.text_reports(_line_reports(spark, sf), True, False, _fixed_time()).drop("part")
+    return report.text_reports(_line_reports(spark, sf), True, False, _fixed_time())
 
 
 def scan_options(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,10 +191,12 @@ def annotate_default(spark: SparkSession, sf: str) -> DataFrame:
 def annotate_hook(spark: SparkSession, sf: str) -> DataFrame:
     """The annotation hook with a small stand-in predictor over all prompts of the code corpus."""
 
+    nothing = MT.NOTHING_FOUND + "."
+
     def predict(prompts: pd.Series) -> pd.Series:
         code = prompts.str.extract(r"```c\n([\s\S]*?)\n```", expand=False)
         found = code.str.contains("gets(", regex=False)
-        return found.map({True: "Line 1: [HIGH] Unsafe Input - gets in chunk", False: MT.NOTHING_FOUND + "."})
+        return found.map({True: "Line 1: [HIGH] Unsafe Input - gets in chunk", False: nothing})
 
     answers = MT.annotate(MT.with_prompt(code_chunks(spark, sf)), predict)
     return MT.parse_model_text(answers).select("file_id", "chunk_idx", *BASIC[1:])
@@ -288,14 +290,13 @@ def risk_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdict of every document from its secrets; a document over 50,000 characters fails."""
-    options = ScanOptions(max_chunk_size=None, packs=frozenset({"H"}), max_file_chars=50_000)
-    documents = corpora.documents(spark, sf)
-    failed = F.length("content") > options.max_file_chars
+    """Verdict of every listed document from its secrets; a listed one without text fails."""
+    options = ScanOptions(max_chunk_size=None, packs=frozenset({"H"}))
+    documents = corpora.listed_documents(spark, sf)
     secrets = {f"H{n}" for n in range(24, 29)}
-    found = raw_findings(documents.where(~failed), options, secrets, with_whole_text)
+    found = raw_findings(documents.where("content IS NOT NULL"), options, secrets, with_whole_text)
     statistics = stats.file_statistics(post.finish_findings(found, options), options)
-    listed = documents.select("file_id", failed.alias("failed"))
+    listed = documents.select("file_id", F.col("content").isNull().alias("failed"))
     return stats.with_verdict(listed, statistics, F.col("failed")).select(
         "file_id", "total_vulnerabilities", "verdict"
     )
@@ -332,13 +333,36 @@ def secret_risk_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_protocols(spark: SparkSession, sf: str) -> DataFrame:
-    """Insecure protocols in the page addresses."""
-    lines = corpora.table(spark, sf, "pages").select(
-        F.col("page_id").alias("file_id"), F.lit(1).alias("line_no"), F.col("url").alias("line")
-    )
+    """Insecure protocols in the addresses of pages (line 1) and in their html (from line 2 on)."""
+    page = F.concat_ws("\n", "url", "html").alias("content")
+    lines = to_lines(corpora.table(spark, sf, "pages").select(F.col("page_id").alias("file_id"), page))
     return line_findings(lines, {"X4"}).select("file_id", "line", "type", "context")
 
 
+def source_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as bytes with other line ends, invalid bytes and empty files, cleaned to text."""
+    files = corpora.source_bytes(spark, sf).select("file_id", clean_text(F.col("raw")).alias("content"))
+    return files.select("file_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+def scan_with_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole scan with a stand-in model in place of pack M; it fails on chunks with ``popen``."""
+
+    nothing = MT.NOTHING_FOUND + "."
+
+    def predict(prompts: pd.Series) -> pd.Series:
+        code = prompts.str.extract(r"```c\n([\s\S]*?)\n```", expand=False)
+        if code.str.contains("popen(", regex=False).any():
+            raise ValueError("no answer")
+        found = code.str.contains("gets(", regex=False)
+        return found.map({True: "Line 1: [HIGH] Unsafe Input - gets in chunk", False: nothing})
+
+    results = scan_corpus(corpora.code_files(spark, sf), predict=predict).results
+    return results.select("file_id", "failed_answers", "verdict", F.explode("listed").alias("x")).select(
+        "file_id", "failed_answers", "verdict", *[f"x.{c}" for c in RESULT[1:]], "x.cwe"
+    )
+
+
 def scan_code(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: segmentation, all packs, and all post-processing over the code corpus."""
     return post.finish_findings(raw_findings(corpora.code_files(spark, sf))).select(
@@ -356,6 +380,7 @@ def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "source_text": source_text,
     "source_filter": source_filter,
     "line_split": line_split,
     "json_report": json_report,
@@ -429,5 +454,6 @@ QUERIES: dict[str, Query] = {
     "corpus_rollup": corpus_rollup,
     "secret_risk_by_source": secret_risk_by_source,
     "scan_code": scan_code,
+    "scan_with_model": scan_with_model,
     "scan_documents": scan_documents,
 }

@@ -8,7 +8,8 @@ from codesieve.operators.segment import chunk_files
 def parsed(spark, *texts, start=10):
     rows = [(n, start, t) for n, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "file_id int, start_line int, text string")
-    return [tuple(r)[2:] for r in MT.parse_model_text(frame).orderBy("file_id", "seq").collect()]
+    found = MT.parse_model_text(frame).orderBy("file_id", "seq")
+    return [tuple(r) for r in found.select("line", "severity", "type", "description", "source").collect()]
 
 
 def test_main_format(spark):

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from codesieve.operators import post, report, stats
+from codesieve.operators.model_text import parse_model_text
 from codesieve.operators.scan import raw_findings
 from codesieve.options import ScanOptions
 from codesieve.plans.corpus_scan import scan_corpus
@@ -14,10 +15,10 @@ CLEAN = "int x;\n"
 LOW = "int t = a + b;\n"
 
 
-def test_scan_of_a_corpus(files, spark, fresh_dir):
-    scan = scan_corpus(files(BAD, CLEAN, LOW, None), work_table=f"{fresh_dir}/records")
+def test_scan_of_a_corpus(files):
+    scan = scan_corpus(files(BAD, CLEAN, LOW, None, ""))
     rows = {r.file_id: r for r in scan.files.collect()}
-    assert [rows[n].verdict for n in range(4)] == [3, 0, 1, 4]
+    assert [rows[n].verdict for n in range(5)] == [3, 0, 1, 4, 0]
     assert rows[1].total_vulnerabilities == 0 and rows[1].vulnerability_types == {}
     assert rows[0].chunks_analyzed == 1
     for row in rows.values():
@@ -27,10 +28,48 @@ def test_scan_of_a_corpus(files, spark, fresh_dir):
     assert keys.where("count > 1").count() == 0
 
 
-def test_size_limit_gives_the_error_verdict(files, fresh_dir):
-    options = ScanOptions(max_file_chars=30)
-    scan = scan_corpus(files(BAD, CLEAN), options, f"{fresh_dir}/records")
-    assert {r.file_id: r.verdict for r in scan.files.collect()} == {0: 4, 1: 0}
+def test_long_files_are_scanned_whole(files):
+    scan = scan_corpus(files("int pad;\n" * 20_000 + BAD)).files.first()
+    assert (scan.verdict, scan.critical_count) == (3, 1)
+
+
+def test_row_statistics_equal_the_grouped_ones(files):
+    scan = scan_corpus(files(BAD, CLEAN, LOW, BAD * 3))
+    grouped = {r.file_id: r for r in stats.file_statistics(scan.findings).collect()}
+    for row in scan.files.collect():
+        if row.file_id in grouped:
+            assert all(row[c] == grouped[row.file_id][c] for c in grouped[row.file_id].asDict())
+
+
+def test_one_shuffle_of_findings_and_none_of_text(files):
+    for frame in (scan_corpus(files(BAD)).findings, scan_corpus(files(BAD)).files):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan and "content" not in plan.split("Exchange")[0]
+
+
+def test_model_findings_take_the_place_of_pack_m(files):
+    def predict(prompts):
+        if prompts.str.contains("popen").any():
+            raise ValueError
+        return prompts.map(lambda p: "Line 1: [LOW] Memory Leak - says a model" if "gets" in p else "")
+
+    scan = scan_corpus(files(BAD, "void g() {\n  popen(a, b);\n}\n", CLEAN), predict=predict)
+    rows = {r.file_id: r for r in scan.files.collect()}
+    assert [rows[n].failed_answers for n in range(3)] == [0, 1, 0]
+    found = scan.findings.where("file_id = 0").collect()
+    assert not any((r.rule_id or "").startswith("M") for r in found)
+    said = [r for r in found if r.source == "llm"]
+    assert [(r.line, r.severity, r.type, r.cwe) for r in said] == [(2, "LOW", "Memory Leak", "CWE-401")]
+    assert rows[0].low_count == 1
+
+
+def test_parsed_findings_go_through_post_processing(spark):
+    said = spark.createDataFrame([(1, 1, "Line 2: [HIGH] Buffer Overflow - gets() of x")], "file_id int, start_line int, text string")
+    row = post.finish_findings(parse_model_text(said)).first()
+    assert (row.line, row.cwe, row.confidence) == (3, "CWE-120", 1.0)
+    strict = ScanOptions(confidence_threshold=0.7)
+    doubtful = parse_model_text(said).withColumn("confidence", F.lit(0.5))
+    assert post.finish_findings(doubtful, strict).count() == 0
 
 
 def test_first_finding_wins(files):
@@ -66,8 +105,8 @@ def test_options_filter_findings(files):
     assert post.apply_options(raw_findings(files(text)), ScanOptions(confidence_threshold=1.5)).count() == 0
 
 
-def test_json_report(files, fresh_dir):
-    reports = scan_corpus(files(BAD, CLEAN), work_table=f"{fresh_dir}/records").reports(True)
+def test_json_report(files):
+    reports = scan_corpus(files(BAD, CLEAN)).reports(True)
     rows = {r.file_id: json.loads(r.report) for r in report.json_reports(reports).collect()}
     assert rows[0]["metadata"]["filename"] == "src/0.c"
     assert rows[0]["statistics"]["critical_count"] == 1
@@ -77,8 +116,8 @@ def test_json_report(files, fresh_dir):
     assert rows[1]["vulnerabilities"] == []
 
 
-def test_text_report(files, fresh_dir):
-    reports = scan_corpus(files(BAD, CLEAN), work_table=f"{fresh_dir}/records").reports(True)
+def test_text_report(files):
+    reports = scan_corpus(files(BAD, CLEAN)).reports(True)
     plain = {r.file_id: r.report for r in report.text_reports(reports, True).collect()}
     assert "Line 2: [CRITICAL] Buffer Overflow - gets() function is unsafe and deprecated\n  CWE: CWE-120\n  Fix: " in plain[0]
     assert "No vulnerabilities detected.\n\n" + "-" * 70 in plain[1]
@@ -86,16 +125,21 @@ def test_text_report(files, fresh_dir):
     assert "\x1b[91m[CRITICAL]\x1b[0m" in painted and "Fix:" not in painted
 
 
-def test_reports_of_long_files_come_in_parts(files, fresh_dir):
-    text = "\n".join(["gets(a);", "pad;", "pad;"] * 10)
-    scan = scan_corpus(files(text, CLEAN), work_table=f"{fresh_dir}/records")
-    nested = report.nested_reports(scan.files, scan.findings, lines_per_part=6)
-    assert nested.where("file_id = 0").count() == 5
-    stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    parts = report.text_reports(nested, generated_at=stamp).orderBy("file_id", "part").collect()
-    whole = report.text_reports(scan.reports(), generated_at=stamp).orderBy("file_id").collect()
-    for one in whole:
-        assert "\n".join(p.report for p in parts if p.file_id == one.file_id) == one.report
+def test_a_long_file_has_one_report(files):
+    text = "gets(a);\n" * 12_000
+    nested = scan_corpus(files(text, CLEAN)).reports()
+    assert nested.count() == 2
+    assert nested.where("file_id = 0").select(F.size("vulnerabilities")).first()[0] >= 12_000
+
+
+def test_context_lines_of_chunk_and_file_rules(files):
+    text = "int a;\np = malloc(4);\nq = rand();\npthread_create(&t, 0, f, 0);\nint z;"
+    options = ScanOptions(max_context_lines=1)
+    found = {r.rule_id: r.context_lines for r in raw_findings(files(text), options).collect()}
+    assert found["H12"] == ["int a;", "p = malloc(4);", "q = rand();"]
+    assert found["H29"] == ["p = malloc(4);", "q = rand();", "pthread_create(&t, 0, f, 0);"]
+    assert found["X11"] == ["q = rand();", "pthread_create(&t, 0, f, 0);", "int z;"]
+    assert found["X9"] is None
 
 
 def test_most_common_type_ties_go_to_the_first_met(spark):

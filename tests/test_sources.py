@@ -17,10 +17,10 @@ def test_source_files_are_cleaned(spark, fresh_dir):
         with open(f"{fresh_dir}/in/{name}", "wb") as handle:
             handle.write(data)
     read = tables.read_source_files(spark, f"{fresh_dir}/in")
-    # Spark makes no split for a file without bytes, so such a file gives no row.
     found = {r.path.split("/in/")[1]: r.content for r in read.collect()}
     assert found == {
         "crlf.c": "a\nb\nc\n", "bad.h": "ok!\n", "UP.CPP": "x = rand();", "sub/deep.cc": "é = 1;\n",
+        "empty.hpp": "",
     }
     assert {r.rule_id for r in raw_findings(read).collect()} >= {"H29", "X1", "M12"}
 
@@ -34,23 +34,31 @@ def test_skipped_rows_are_counted(spark):
     assert tuple(tables.split_counts(frame).first()) == (2, 2)
 
 
-def test_only_small_corpora_are_spread(spark, files, fresh_dir, monkeypatch):
-    files("a", "b", "c").coalesce(1).write.parquet(f"{fresh_dir}/t")
-    table = spark.read.parquet(f"{fresh_dir}/t")
-    spread = tables.spread_small(table)
-    assert "hashpartitioning(file_id" in spread._jdf.queryExecution().executedPlan().toString()
-    assert sorted(r.content for r in spread.collect()) == ["a", "b", "c"]
-    monkeypatch.setattr(tables, "FULL_SPLIT", 1)
-    assert tables.spread_small(table) is table
+def test_spread_deals_by_file(files):
+    spread = tables.spread(files(*"abcdef").coalesce(1), 3)
+    assert spread.rdd.getNumPartitions() == 3
+    assert sorted(r.content for r in spread.collect()) == list("abcdef")
+
+
+def test_empty_files_are_rows(spark, fresh_dir):
+    for name, content in (("a b.c", b""), ("full.c", b"int x;"), ("no.txt", b"")):
+        with open(f"{fresh_dir}/{name}", "wb") as out:
+            out.write(content)
+    rows = {r.path.rsplit("/", 1)[1]: r.content for r in tables.read_source_files(spark, fresh_dir).collect()}
+    assert rows == {"a b.c": "", "full.c": "int x;"}
+    verdicts = scan_corpus(tables.read_source_files(spark, fresh_dir)).files.select("verdict").collect()
+    assert [r.verdict for r in verdicts] == [0, 0]
 
 
 def test_sinks(spark, files, fresh_dir):
-    scan = scan_corpus(files("gets(a);", "int x;"), work_table=f"{fresh_dir}/records")
+    scan = scan_corpus(files("gets(a);", "int x;"))
     nested = scan.reports()
     sinks.write_findings(scan.findings, f"{fresh_dir}/findings")
-    sinks.write_json_reports(nested, f"{fresh_dir}/json")
-    sinks.write_text_reports(report.text_reports(nested), f"{fresh_dir}/text")
+    sinks.write_reports(report.json_reports(nested), f"{fresh_dir}/json")
+    sinks.write_reports(report.text_reports(nested), f"{fresh_dir}/text")
     assert spark.read.parquet(f"{fresh_dir}/findings").count() == scan.findings.count()
-    lines = [r.value for r in spark.read.text(f"{fresh_dir}/json").collect()]
-    assert sorted(json.loads(x)["file_id"] for x in lines) == [0, 1]
+    documents = [r.value for r in spark.read.option("multiLine", True).text(f"{fresh_dir}/json", lineSep="\n}\n").collect()]
+    parsed = [json.loads(x + "\n}") for x in documents]
+    assert sorted(x["metadata"]["filename"] for x in parsed) == ["src/0.c", "src/1.c"]
+    assert all(set(x) == {"metadata", "statistics", "vulnerabilities"} for x in parsed)
     assert spark.read.text(f"{fresh_dir}/text").where("value like '# File:%'").count() == 2
