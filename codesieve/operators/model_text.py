@@ -230,7 +230,7 @@ def model_records(files: DataFrame, options: ScanOptions, cutter: Cutter, predic
     chunks = explode_chunks(cutter(files.select("file_id", "content"), options))
     answers = annotate(with_prompt(chunks), predict)
     kept = ["file_id", "chunk_idx", "function_name"]
-    nothing = "named_struct('line', cast(null as int), 'severity', '', 'type', '', 'description', '', 'source', '')"
+    nothing = "named_struct('line', chunk_idx, 'severity', '', 'type', 'unanswered', 'description', '', 'source', '')"
     said = answers.select(*kept, _hits().alias("hits"), F.col("text").isNull().alias("unanswered"))
     rows = said.select(
         *kept, F.col("unanswered").cast("int").alias("unanswered"),

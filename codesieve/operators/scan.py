@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import literal
+from ..functions.text import let, literal
 from ..options import ALL_PACKS, ScanOptions
 from . import heuristic_rules, model_rules, pattern_rules
-from .findings import NO_HITS, RuleText, compile_hits, compile_mask, concat_hits, describe_hits, hit
+from .findings import NO_HITS, RuleText, compile_tests, concat_hits, describe_hits, hit
 from .heuristic_rules import HEURISTIC_LINE_RULES
 from .model_rules import MODEL_LINE_RULES
 from .pattern_rules import PATTERN_LINE_RULES
@@ -30,11 +30,8 @@ def rule_list() -> list[RuleText]:
     ]
 
 
-def hit_sql(packs: frozenset[str], only: set[str] | None = None, file_records: bool = False) -> tuple[str, str]:
-    """SQL over a unit row, by its scope: the mask of its line tests, and the array of its hits.
-
-    Units of whole chunks and files have one test for all, which is always met.
-    """
+def hit_sql(packs: frozenset[str], only: set[str] | None = None, file_records: bool = False) -> str:
+    """SQL of the array of hits of a unit row, by its scope."""
     numbers = {rule.rule_id: n for n, rule in enumerate(rule_list())}
 
     def wanted(rule_id: str) -> bool:
@@ -50,19 +47,17 @@ def hit_sql(packs: frozenset[str], only: set[str] | None = None, file_records: b
     if file_records:
         file.append(f"array({hit(numbers[FILE_RECORD], 'pos', '0', 0)})")
 
-    masks, hits = {}, {}
-    for scope, line_tests, text in ((CHUNK_LINE_SCOPE, chunk_line, "line"), (FILE_LINE_SCOPE, file_line, "low")):
-        if line_tests:
-            masks[scope], hits[scope] = compile_mask(line_tests, text), compile_hits(line_tests, numbers)
-    for scope, parts in ((CHUNK_SCOPE, chunk), (FILE_SCOPE, file)):
-        if parts:
-            masks[scope], hits[scope] = "1L", concat_hits(parts)
-
-    def by_scope(cases: dict[str, str], default: str) -> str:
-        chosen = " ".join(f"when {literal(scope)} then {sql}" for scope, sql in cases.items())
-        return f"case scope {chosen} else {default} end" if cases else default
-
-    return by_scope(masks, "0L"), by_scope(hits, NO_HITS)
+    by_scope = {}
+    if chunk_line:
+        by_scope[CHUNK_LINE_SCOPE] = compile_tests(chunk_line, numbers, "line")
+    if file_line:
+        by_scope[FILE_LINE_SCOPE] = let("lower(line)", "low", compile_tests(file_line, numbers, "low"))
+    if chunk:
+        by_scope[CHUNK_SCOPE] = concat_hits(chunk)
+    if file:
+        by_scope[FILE_SCOPE] = concat_hits(file)
+    cases = " ".join(f"when {literal(scope)} then {sql}" for scope, sql in by_scope.items())
+    return f"case scope {cases} else {NO_HITS} end" if cases else NO_HITS
 
 
 def unit_findings(
@@ -71,14 +66,11 @@ def unit_findings(
 ) -> DataFrame:
     """All hits of the packs (or of the rules in ``only``) on unit rows, one row each.
 
-    Every test sets a bit of a plain column first, so tests are compiled code and units without
-    hits build nothing. ``reach`` is the number of context lines around a hit with a line.
+    ``reach`` is the number of context lines around a hit with a line.
     """
-    mask, found = hit_sql(packs, only, file_records)
-    low = F.expr(f"if(scope = {literal(FILE_LINE_SCOPE)}, lower(line), null)")
-    met = units.withColumn("low", low).withColumn("mask", F.expr(mask)).where("mask <> 0")
-    hits = met.select(
-        "file_id", "chunk_idx", "function_name", "around", "file_body", F.expr(f"explode({found})").alias("hit")
+    hits = units.select(
+        "file_id", "chunk_idx", "function_name", "around", "file_body",
+        F.expr(f"explode({hit_sql(packs, only, file_records)})").alias("hit"),
     )
     near = f"if(hit.line > 0, {around('file_body', 'hit.line', reach)}, null)" if reach else "null"
     placed = hits.withColumn("context_lines", F.expr(f"coalesce(around, {near})")).select(

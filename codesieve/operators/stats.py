@@ -44,29 +44,38 @@ def type_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def listed_statistics(listed: Column, weights: dict[str, int]) -> dict[str, Column]:
-    """The same statistics from an array of one file's findings in report order, inside the row."""
-    severity = lambda x: F.coalesce(x["severity"], F.lit("LOW"))
-    of = lambda test: F.size(F.filter(listed, test)).cast("long")
-    is_level = lambda name: lambda x: severity(x) == name
-    counts = {f"{name.lower()}_count": of(is_level(name)) for name in list(SEVERITY_WEIGHTS)[:3]}
-    counts["low_count"] = of(lambda x: ~severity(x).isin(*list(SEVERITY_WEIGHTS)[:3]))
-    types = F.transform(listed, lambda x: F.coalesce(x["type"], F.lit("Unknown")))
-    kinds = F.array_sort(F.array_distinct(types))
-    number = lambda kind: F.size(F.filter(types, lambda t: t == kind)).cast("long")
-    # The commonest type; of equally common ones the one met first.
-    place = F.transform(
-        kinds, lambda k: F.struct((-number(k)).alias("n"), F.array_position(types, k).alias("at"), k.alias("type"))
+def with_listed_statistics(files: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """The same statistics from ``listed``, a file's findings in report order, inside the row.
+
+    The steps are columns of their own, so none is evaluated once per element of another.
+    """
+    levels = F.transform("listed.severity", lambda s: F.coalesce(s, F.lit("LOW")))
+    types = F.transform("listed.type", lambda t: F.coalesce(t, F.lit("Unknown")))
+    ranked = F.array_sort(F.transform("__types", lambda t, at: F.struct(t.alias("type"), at.alias("at"))))
+    starts = F.filter(
+        F.transform("__ranked", lambda x, n: F.struct(x["type"].alias("type"), x["at"].alias("at"), n.alias("n"))),
+        lambda x, n: (n == 0) | (x["type"] != F.get("__ranked", n - 1)["type"]),
     )
-    risk = F.lit(0).cast("long")
-    for name, weight in weights.items():
-        risk = risk + counts.get(f"{name.lower()}_count", F.lit(0)) * F.lit(weight)
-    return {
-        "total_vulnerabilities": F.size(listed).cast("long"), **counts,
-        "vulnerability_types": F.map_from_entries(F.transform(kinds, lambda k: F.struct(k.alias("type"), number(k).alias("n")))),
-        "most_common_type": F.coalesce(F.array_min(place)["type"], F.lit("")),
-        "risk_score": risk.cast("long"),
-    }
+    number = lambda k: F.coalesce(F.get("__starts", k + 1)["n"], F.size("__ranked"))
+    kinds = F.transform(
+        "__starts",
+        lambda x, k: F.struct(x["type"].alias("type"), (number(k) - x["n"]).cast("long").alias("n"), x["at"].alias("at")),
+    )
+    steps = files.withColumns({"__levels": levels, "__types": types}).withColumn("__ranked", ranked)
+    steps = steps.withColumn("__starts", starts).withColumn("__kinds", kinds)
+    named = list(SEVERITY_WEIGHTS)[:3]
+    count = lambda name: F.size(F.filter("__levels", lambda s: s == name)).cast("long")
+    counted = steps.withColumns({"total_vulnerabilities": F.size("listed").cast("long"), **{f"{n.lower()}_count": count(n) for n in named}})
+    rest = F.col("total_vulnerabilities")
+    for name in named:
+        rest = rest - F.col(f"{name.lower()}_count")
+    # The commonest type; of equally common ones the one met first.
+    common = F.array_min(F.transform("__kinds", lambda k: F.struct((-k["n"]).alias("n"), k["at"].alias("at"), k["type"].alias("type"))))
+    done = counted.withColumns({
+        "low_count": rest, "most_common_type": F.coalesce(common["type"], F.lit("")),
+        "vulnerability_types": F.map_from_entries(F.transform("__kinds", lambda k: F.struct(k["type"].alias("type"), k["n"].alias("n")))),
+    })
+    return done.drop("__levels", "__types", "__ranked", "__starts", "__kinds").withColumn("risk_score", weighted_risk(weights))
 
 
 def verdict(failed: Column) -> Column:

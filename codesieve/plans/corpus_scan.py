@@ -1,7 +1,7 @@
 """The whole job: one pass over the corpus, then findings, statistics and reports.
 
-The pass over the text is narrow. Raw findings and one small record per file are gathered by file
-once; filters, deduplication, statistics and the order of the report are work inside that row.
+The pass over the text is narrow. Raw findings and one small record per file are dealt by file
+once; deduplication, gathering, statistics and the order of the report follow without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import model_text
-from ..operators.post import first_of_place, kept_findings, severity_rank, with_cwe, with_fixes
+from ..operators.post import deduplicate, kept_findings, severity_rank, with_cwe, with_fixes
 from ..operators.report import nested_reports
 from ..operators.scan import FILE_RECORD, scan_records
 from ..operators.segment import with_chunks
-from ..operators.stats import listed_statistics, verdict
+from ..operators.stats import verdict, with_listed_statistics
 from ..operators.units import Cutter
 from ..options import MODEL_PACK, ScanOptions
 
-PLACED = ("line", "type", "ordinal")
-
 
 @dataclass(frozen=True)
 class CorpusScan:
@@ -58,29 +56,24 @@ def _scannable(files: DataFrame) -> DataFrame:
 def _by_file(records: DataFrame, options: ScanOptions) -> DataFrame:
     """Records with the key (file_id, path, failed) to one row per file with findings and statistics."""
     is_file = F.col("rule_id").eqNullSafe(FILE_RECORD)
-    kept = with_fixes(with_cwe(kept_findings(records.where(~is_file), options)))
-    rest = [c for c in kept.columns if c not in ("file_id", *PLACED)]
-    entry = F.struct(*PLACED, *rest)
-    rows = kept.select("file_id", entry.alias("entry"), F.lit(None).cast("int").alias("chunks"), F.lit(0).alias("unanswered"))
-    unanswered = F.col("unanswered") if "unanswered" in records.columns else F.lit(0)
-    heads = records.where(is_file).select(
-        "file_id", F.lit(None).cast(rows.schema["entry"].dataType).alias("entry"), F.col("line").alias("chunks"),
-        unanswered.cast("int").alias("unanswered"),
-    )
-    files = rows.union(heads).groupBy("file_id").agg(
-        F.sort_array(F.collect_list("entry")).alias("entries"), F.max("chunks").alias("chunks"),
+    if "unanswered" not in records.columns:
+        records = records.withColumn("unanswered", F.lit(0))
+    # Records of files pass every filter and are alone at their place, so one branch carries all.
+    sure = F.when(is_file, float("inf")).otherwise(F.col("confidence"))
+    dealt = records.withColumn("confidence", sure).repartition("file_id")
+    kept = with_fixes(with_cwe(deduplicate(kept_findings(dealt, options))))
+    rest = [c for c in kept.columns if c not in ("file_id", "line", "ordinal", "unanswered")]
+    entry = F.struct("line", severity_rank(F.col("severity")).alias("rank"), "ordinal", *rest)
+    files = kept.groupBy("file_id").agg(
+        F.sort_array(F.collect_list(F.when(~is_file, entry))).alias("listed"),
+        F.max(F.when(is_file & (F.col("unanswered") == 0), F.col("line"))).alias("chunks"),
         F.sum("unanswered").alias("failed_answers"),
     )
-    shown = lambda x: F.struct(
-        x["line"].alias("line"), severity_rank(x["severity"]).alias("rank"), x["ordinal"].alias("ordinal"),
-        x["type"].alias("type"), *[x[c].alias(c) for c in rest],
-    )
     listed = files.select(
         "file_id.*", F.when(F.col("file_id.failed"), 0).otherwise(F.col("chunks")).cast("long").alias("chunks_analyzed"),
-        "failed_answers", F.sort_array(F.transform(first_of_place(F.col("entries")), shown)).alias("listed"),
+        "failed_answers", "listed",
     )
-    counted = listed.withColumns(listed_statistics(F.col("listed"), options.severity_weights))
-    return counted.withColumn("verdict", verdict(F.col("failed")))
+    return with_listed_statistics(listed, options.severity_weights).withColumn("verdict", verdict(F.col("failed")))
 
 
 def scan_corpus(
