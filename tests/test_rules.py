@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -165,3 +166,29 @@ def test_only_line_rules_run_on_lines(spark):
     assert sorted(r.rule_id for r in line_findings(lines, {"M1", "H1", "X3"}).collect()) == ["H1", "M1", "X3"]
     with pytest.raises(ValueError):
         line_findings(lines, {"M6"})
+
+
+def seconds(frame):
+    start = time.perf_counter()
+    frame.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "sql+" * 250_000 + "user", "/* open\n" * 50_000, "src/*\n" * 50_000, "x" * 1_000_000, "word " * 200_000,
+        "".join(f"v{n} = fopen(a, b);\n" for n in range(30_000)), "free(p);\n" * 30_000,
+        "".join(f"v{n} = malloc(n);\n" for n in range(30_000)),
+    ],
+    ids=["joined words", "open comments", "globs", "one word", "prose", "handles", "frees", "allocations"],
+)
+def test_long_texts_take_linear_time(files, text):
+    options = ScanOptions(max_chunk_size=None)
+    assert seconds(raw_findings(files(text), options)) < 60
+
+
+def test_joined_words_in_order_only(files):
+    lines = ["sql + user", "user + sql", "SQL x+y USER", "sql user +", "query+input", "+ sql user", "sql user + user", "executes + params"]
+    found = raw_findings(files("\n".join(lines)), ScanOptions(packs=frozenset("X")), {"X6"}).collect()
+    assert sorted(r.line for r in found) == [1, 3, 5, 7, 8]

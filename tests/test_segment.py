@@ -117,3 +117,11 @@ def test_lines_keep_their_numbers(files):
     assert [(r.pos, r.line_no) for r in lines.collect()] == [
         (1, 4), (2, 20), (3, 21), (4, 22), (5, 23), (6, 24), (7, 25),
     ]
+
+
+def test_headers_of_any_length_and_open_comments(spark, files):
+    words = " ".join(f"w{n}" for n in range(17))
+    long = f"int f({', '.join(f'int parameter{n}' for n in range(400))}) {{\n}}\n"
+    texts = [f"{words} g(int a) {{\n}}\n", long, "int a;\nint b;\nvoid h (x)\n{\n}\n", "/* { \nvoid lost() {\n}\n"]
+    found = {(r.file_id, r.function_name) for r in segment.function_headers(files(*texts)).collect()}
+    assert found == {(0, "g"), (1, "f"), (2, "h")}
