@@ -32,6 +32,8 @@ from .common import new_path, write_table
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+READ_BYTES = 16 << 20
 INDEX = (
     "page_id long, url string, record_type string, payload_digest string, file string, offset long, length long"
 )
@@ -185,9 +187,13 @@ def _facts(fields: dict[str, str], body: bytes) -> tuple:
 
 
 def read_archives(index: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
-    """The chosen index rows as records; ``payload_bytes`` is null for revisits."""
+    """The chosen index rows as records; ``payload_bytes`` is null for revisits.
+
+    The index is narrow, so tasks are dealt by the bytes it refers to: 16 MB of archive each.
+    """
     places = index.select("file", "offset", "length")
-    placed = places.repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    chosen = places.agg(F.sum("length")).first()[0] or 0
+    placed = places.repartitionByRange(1 + chosen // READ_BYTES, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_reader(folder, gap, most), READ)
 
 
