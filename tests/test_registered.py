@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLE = entry.oracle_sql()
 # The smallest tables have no secrets in their documents; the next larger ones do.
 RICH_DIR = os.environ.get("TEST_RICH_DIR", "/root/testdata/sf0.01")
-NEEDS_RICH = {"h24_secrets_documents", "x02_secrets_documents", "x11_no_sync", "corpus_rollup", "secret_risk_by_source"}
+NEEDS_RICH = {"h24_secrets_documents", "x02_secrets_documents", "x10_shared_state", "x11_no_sync", "corpus_rollup", "secret_risk_by_source"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
