@@ -4,17 +4,18 @@ Features are words and word beginnings of six bytes. From a bounded sample of la
 are selected whose document counts differ between toxic and clean rows beyond chance (likelihood
 ratio). Grades are 0 for clean rows and 1, 2, 3 for toxic rows by how many toxic words they hold; one
 weight vector and ordered thresholds give the chance of each grade or more, and their sum is the
-expected severity.
+expected severity. A row is called toxic from a chance of one half on, or from a lower one if that parts
+held-out labelled rows better (F1).
 
 Null and empty texts have no features and the base severity. Repeated rows score alike, rows without
 an id are scored but never trained on, extra columns are ignored. Without both labels in the sample
-all severities are 0. An empty table gives no rows.
+all severities are 0 and no row is toxic. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,12 @@ SLOTS = 1 << 16
 
 @dataclass(frozen=True)
 class Severity:
-    """Selected features in ascending order, their weights, and the thresholds in ascending order."""
+    """Selected features in ascending order, their weights, ascending thresholds, and the log-odds called toxic."""
 
     keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.0
 
     def at_least(self, total: np.ndarray) -> np.ndarray:
         """Chance of grade 1, 2, ... or more, for sums of weights."""
@@ -167,20 +169,49 @@ def fit_ordinal(
     return state[:size], state[size] + np.concatenate(([0.0], np.cumsum(gap)))
 
 
-def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, least: int = 4, ratio: float = 25.0, most_features: int = 2048) -> Severity | None:
-    """A model from at most ``most_labelled`` labelled rows, or None without both labels."""
-    sample = labelled_sample(labels, "toxic", most_labelled, held_out=0.0)
-    if len(np.unique(sample.labels)) < 2:
+def best_cut(total: np.ndarray, toxic: np.ndarray) -> float | None:
+    """The total that parts toxic from clean rows with the best F1, midway between two; None if none does."""
+    order = np.argsort(-total, kind="stable")
+    total, toxic = total[order], toxic[order]
+    apart = total[:-1] > total[1:]
+    if not apart.any() or not 0 < toxic.sum() < len(toxic):
         return None
-    rows = sampled_documents(docs, sample)
-    keys, speaks = _selected(rows, sample, least, ratio, most_features)
-    row, feature, count = _sample_features(rows, sample, keys)
+    f1 = 2 * np.cumsum(toxic) / (np.arange(1, len(toxic) + 1) + toxic.sum())
+    at = int(np.argmax(np.where(apart, f1[:-1], -1.0)))
+    return float(total[at] + total[at + 1]) / 2
+
+
+def _fitted(docs: DataFrame, sample: Sample, taught: np.ndarray, least: int, ratio: float, most: int) -> tuple[Severity, np.ndarray]:
+    """A model of the rows of the sample that are marked in ``taught``, and the log-odds of all its rows."""
+    lesson = Sample(sample.ids[taught], sample.labels[taught], sample.held_out[taught])
+    keys, speaks = _selected(sampled_documents(docs, lesson), lesson, least, ratio, most)
+    row, feature, count = _sample_features(sampled_documents(docs, sample), sample, keys)
     toxic_words = np.bincount(row, count * speaks[feature], len(sample.ids)) if len(row) else np.zeros(len(sample.ids))
     grade = np.zeros(len(sample.ids), np.int64)
     for value, since in GRADES:
         grade[(sample.labels == 1) & (toxic_words >= since)] = value
-    weights, thresholds = fit_ordinal(row, feature, np.log1p(count), grade, len(keys), len(GRADES) + 1)
-    return Severity(keys, weights, thresholds)
+    mine, place = taught[row], np.cumsum(taught) - 1
+    weights, thresholds = fit_ordinal(
+        place[row[mine]], feature[mine], np.log1p(count[mine]), grade[taught], len(keys), len(GRADES) + 1
+    )
+    total = np.bincount(row, weights[feature] * np.log1p(count), len(sample.ids))
+    return Severity(keys, weights, thresholds), total - thresholds[0]
+
+
+def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, least: int = 4, ratio: float = 25.0, most_features: int = 2048) -> Severity | None:
+    """A model from at most ``most_labelled`` labelled rows, or None without both labels.
+
+    The cut comes from a trial model that does not know the held-out rows; the model itself knows all.
+    """
+    sample = labelled_sample(labels, "toxic", most_labelled, held_out=0.2)
+    if len(np.unique(sample.labels)) < 2:
+        return None
+    held, cut = sample.held_out, None
+    if len(np.unique(sample.labels[~held])) == 2:
+        _, odds = _fitted(docs, sample, ~held, least, ratio, most_features)
+        cut = best_cut(odds[held], sample.labels[held])
+    model, _ = _fitted(docs, sample, np.ones(len(held), bool), least, ratio, most_features)
+    return replace(model, cut=min(0.0, cut or 0.0))
 
 
 def scored(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
@@ -191,17 +222,17 @@ def scored(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     def score(texts: pa.Array) -> pa.Array:
         total = np.zeros(len(texts))
         if model is None:
-            chances = np.zeros((len(texts), len(GRADES)))
+            chances, toxic = np.zeros((len(texts), len(GRADES))), np.zeros(len(texts), bool)
         else:
             lookup, at = _Lookup(model.keys), 0
             for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
                 text, place, n = lookup.counts(part.column(0))
                 total[at : at + len(part)] = np.bincount(text, model.weights[place] * np.log1p(n), len(part))
                 at += len(part)
-            chances = model.at_least(total)
+            chances, toxic = model.at_least(total), total - model.thresholds[0] >= model.cut
         each = np.concatenate((1 - chances[:, :1], chances[:, :-1] - chances[:, 1:], chances[:, -1:]), 1)
         return pa.StructArray.from_arrays(
-            [pa.array(chances.sum(1)), pa.array(chances[:, 0]), pa.array(each.argmax(1).astype(np.int32)), pa.array(chances[:, 0] >= 0.5)],
+            [pa.array(chances.sum(1)), pa.array(chances[:, 0]), pa.array(each.argmax(1).astype(np.int32)), pa.array(toxic)],
             names=["severity", "p_toxic", "grade", "toxic"],
         )
 

@@ -77,6 +77,18 @@ def test_platt_is_monotone_and_finite():
     assert Q.platt(np.array([1.0, 2]), np.array([1, 1]))[0] == 0
 
 
+def test_cut_has_the_best_f1():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        total, toxic = rng.integers(0, 12, 40) / 4, rng.integers(0, 2, 40)
+        f1 = lambda cut: 2 * (toxic[total >= cut]).sum() / ((total >= cut).sum() + toxic.sum())
+        assert f1(T.best_cut(total, toxic)) == max(f1(c) for c in np.arange(0.125, max(total), 0.25))
+    assert T.best_cut(np.array([0.0, 1.0, 3.0]), np.array([0, 0, 1])) == 2.0
+    assert T.best_cut(np.zeros(3), np.array([0, 1, 1])) is None
+    assert T.best_cut(np.arange(3.0), np.zeros(3, int)) is None
+    assert T.best_cut(np.zeros(0), np.zeros(0, int)) is None
+
+
 def test_toxic_documents_are_found(spark, corpus):
     texts, quality, toxic = corpus
     found = T.scored(documents(spark, texts), labels(spark, quality, toxic, range(300))).collect()
