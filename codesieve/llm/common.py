@@ -49,3 +49,17 @@ def with_row_key(docs: DataFrame) -> DataFrame:
         return docs.select("*", key.alias(ROW))
     except AnalysisException:
         return write_table(docs, "rows").select("*", key.alias(ROW))
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the facts of their key, which may be held by a large part of all rows.
+
+    ``facts`` is a written table with one row per key; its column ``n`` is the number of rows that have
+    the key. Keys with more than a thousandth of the sum of ``n`` are fewer than a thousand: their facts
+    are broadcast, and their rows stay where they are. Only rows of other keys are shuffled. ``rows`` is
+    read twice.
+    """
+    share = (facts.agg(F.sum("n")).first()[0] or 0) / 1000
+    heavy = F.broadcast(facts.where(F.col("n") > share).drop("n"))
+    rare = facts.where(F.col("n") <= share).drop("n")
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(rare, keys, how))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, with_row_key, write_table
+from .common import ROW, join_counted, with_row_key, write_table
 
 BLANKS = r"[\x20\x09-\x0D]+"
 PLACE = ("file", "index", "line")
@@ -40,8 +40,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranks(keys: DataFrame, *columns: str) -> DataFrame:
-    """Keys that occur twice or more, each with its rank; ranks follow the order of the keys."""
-    repeated = keys.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    """Keys that occur twice or more, how often, and the rank of each; ranks follow the order of the keys."""
+    repeated = keys.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
     return write_table(repeated.orderBy(*columns).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
@@ -51,7 +51,7 @@ def _doubled(level: DataFrame, block: int) -> DataFrame:
     pairs = level.withColumnRenamed("rank", "first").join(after, list(PLACE))
     pairs = write_table(pairs, "pairs")
     ranks = _ranks(pairs, "first", "second")
-    return write_table(pairs.join(ranks, ["first", "second"]).select("doc_id", *PLACE, "rank"), "suffixes")
+    return write_table(join_counted(pairs, ranks, ["first", "second"]).select("doc_id", *PLACE, "rank"), "suffixes")
 
 
 def _windows(level: DataFrame, min_words: int) -> DataFrame:
@@ -91,16 +91,17 @@ def _later_copies(windows: DataFrame, level: DataFrame, block: int) -> DataFrame
     )
     tails = level.select("file", "index", F.col("line").alias("tail_line"), F.col("rank").alias("tail"))
     both = head.withColumn("tail_line", F.col("line") + F.col("size") - block).join(tails, ["file", "index", "tail_line"])
-    both = both.select("doc_id", *PLACE, "size", "head", "tail", F.struct("doc_id", *PLACE).alias("at"))
-    first = both.groupBy("size", "head", "tail").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return both.join(first.drop("n"), ["size", "head", "tail"]).where("at <> first").select(*PLACE, "size")
+    both = write_table(both.select("doc_id", *PLACE, "size", "head", "tail"), "ends")
+    at, keys = F.struct("doc_id", *PLACE), ["size", "head", "tail"]
+    first = both.groupBy(*keys).agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return join_counted(both, write_table(first, "firsts"), keys).where(at != F.col("first")).select(*PLACE, "size")
 
 
 def repeated_runs(keyed: DataFrame, min_words: int = 25) -> DataFrame:
     """(file, index, start, end): the line runs to remove, disjoint, from rows with a row key."""
     lines = write_table(_lines(keyed), "lines")
     alphabet = _ranks(lines, "h1", "h2")
-    level = write_table(lines.join(alphabet, ["h1", "h2"]).select("doc_id", *PLACE, "words", "rank"), "suffixes")
+    level = write_table(join_counted(lines, alphabet, ["h1", "h2"]).select("doc_id", *PLACE, "words", "rank"), "suffixes")
     windows = write_table(_windows(level, min_words), "windows")
     longest = windows.agg(F.max("size")).first()[0] or 0
     level, block, found = level.drop("words"), 1, None

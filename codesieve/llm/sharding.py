@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, with_row_key, write_table
+from .common import ROW, join_counted, with_row_key, write_table
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def _nodes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -36,9 +36,9 @@ def _nodes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def _hub_links(nodes: DataFrame) -> DataFrame:
     """(node, hub): members of groups of equal texts with two rows at least."""
     keys = ["h1", "h2", "size"]
-    groups = nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
     hubs = write_table(groups.withColumn("hub", F.monotonically_increasing_id()), "hubs")
-    return nodes.select("node", *keys).join(hubs, keys).select("node", "hub")
+    return join_counted(nodes.select("node", *keys), hubs, keys).select("node", "hub")
 
 
 def _chance(*parts: Column | str) -> Column:
@@ -81,8 +81,9 @@ def propagated(links: DataFrame, sizes: list[int], rounds: int = 8) -> DataFrame
             break
         share = F.get(F.array(*[F.lit(min(1.0, room[s] / asked[s]) if s in asked else 0.0) for s in range(shards)]), F.col("to"))
         space = F.get(F.array(*[F.lit(x).cast("long") for x in room]), F.col("to"))
-        each = F.when(F.col("n") * 64 <= space, _chance("hub", "shard", F.lit(turn))).otherwise(_chance("node", F.lit(turn)))
-        moved = labels.join(moves, ["hub", "shard"], "left")
+        each = F.when(F.col("piece") * 64 <= space, _chance("hub", "shard", F.lit(turn))).otherwise(_chance("node", F.lit(turn)))
+        wishes = moves.select("hub", "shard", "to", F.col("n").alias("piece"), "n")
+        moved = join_counted(labels, wishes, ["hub", "shard"], "left")
         after = F.when(F.col("to").isNotNull() & (each < share), F.col("to")).otherwise(F.col("shard"))
         labels = write_table(moved.select("node", "hub", after.alias("shard")), "labels")
     return labels
@@ -115,9 +116,9 @@ def assigned(docs: DataFrame, shards: int = 8, rounds: int = 8, keep: tuple[str,
     labels = propagated(_hub_links(nodes), sizes, rounds)
 
     # Whole groups in order of their hash; large pieces are spread over buckets of their own.
-    pieces = labels.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / BUCKET_ROWS)
-    linked = labels.join(pieces, ["hub", "shard"]).select(
+    pieces = labels.groupBy("hub", "shard").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS))
+    parts = F.col("parts")
+    linked = join_counted(labels, write_table(pieces, "pieces"), ["hub", "shard"]).select(
         "node", "hub", "shard", _bucket(F.col("hub"), bits).alias("bucket"),
         F.when(parts > 1, 1 + F.pmod(F.xxhash64("node"), parts)).otherwise(0).cast("long").alias("part"),
     )

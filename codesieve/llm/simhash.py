@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, with_row_key, write_table
+from .common import ROW, join_counted, with_row_key, write_table
 from .components import components
 
 SEED = 42
@@ -251,12 +251,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fingerprint, component_id): the component's id is the smallest id that links reach."""
     prints = write_table(fingerprints(docs, id_column, text_column, shingle), "prints")
-    least = write_table(prints.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    least = write_table(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
     linked = components(near_links(least, budget))
     roots = linked.join(least, linked["node"] == least["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     placed = linked.join(roots, "root").select(F.col("node").alias("fp"), "component")
-    class_of = least.join(placed, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(class_of, "fp").select(
+    class_of = least.join(placed, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    return join_counted(prints, write_table(class_of, "classes"), ["fp"]).select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
