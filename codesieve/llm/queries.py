@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity, warc
+from . import (
+    chat_format, conversation_repair, decontamination, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash,
+    token_files, tokenizer_alignment, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +79,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def vocabulary(name: str) -> str:
+    """Place of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to token files and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ("source", "lang"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return conversation_repair.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, with corpus-wide counts."""
+    docs = table(spark, sf_dir, "documents")
+    return tokenizer_alignment.aligned(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -87,6 +113,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.DEDUPLICATED_SQL,
