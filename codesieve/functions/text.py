@@ -29,6 +29,13 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def bind(body: str, /, **values: str) -> str:
+    """``body`` with each name standing for its expression; later ones may use earlier ones."""
+    for name, value in reversed(values.items()):
+        body = let(value, name, body)
+    return body
+
+
 def strip(text: str) -> str:
     return f"btrim({text}, {literal(WHITESPACE)})"
 
@@ -78,13 +85,13 @@ def running_max(values: str) -> str:
     return _prefix_scan(values, "greatest({a}, {b})")
 
 
-def _cut(content: str, pattern: str) -> str:
+def _cut(content: str, regex: str) -> str:
     """Text between and in the matches, alternating: array<string> of gap, match, …, gap.
 
     One regex pass marks the matches, and a one-character split is cheap. A text that
     already has the mark is cut by two regex passes instead.
     """
-    regex, mark = literal(pattern), literal(MARK)
+    mark = literal(MARK)
     interleaved = let(
         f"split({content}, {regex}, -1)", "gaps",
         let(
@@ -97,9 +104,11 @@ def _cut(content: str, pattern: str) -> str:
     return f"if(contains({content}, {mark}), {interleaved}, {marked})"
 
 
-def match_spans(content: str, pattern: str) -> str:
+def match_spans(content: str, pattern: str, literal_pattern: bool = True) -> str:
     """All matches as array<struct<text, first, last>>, with 0-based line offsets.
 
+    The pattern is a text, or an SQL expression if ``literal_pattern`` is off.
+
     Spark has no match-offset function; running newline counts over the text between and
     in the matches give the lines.
     """
@@ -109,4 +118,5 @@ def match_spans(content: str, pattern: str) -> str:
         "named_struct('text', part, 'first', get(ends, i_part - 1), 'last', get(ends, i_part)), null)), "
         "span -> span is not null)"
     )
-    return let(_cut(content, pattern), "parts", let(ends, "ends", spans))
+    regex = literal(pattern) if literal_pattern else pattern
+    return let(_cut(content, regex), "parts", let(ends, "ends", spans))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
-from ..options import ScanOptions
-from .scan import FILE_RECORD
-from .segment import explode_chunks
-from .units import Cutter
+from .findings import FINDING_FIELDS
 
 
 def strip(text: Column) -> Column:
@@ -56,7 +54,9 @@ Analysis:"""
 
 # Sentinel text, line formats, severity words.
 NOTHING_FOUND = "No obvious vulnerabilities detected"
-MAIN_FORMAT = r"(?imd)Line\s+(\d+):\s*\[(\w+)\]\s*([^-]+?)\s*-\s*(.+)"
+# The type runs to the next dash. A line without one takes the rest of the text, so none is read twice; it
+# has no description and is left out afterwards.
+MAIN_FORMAT = r"(?imd)Line\s+(\d+):\s*\[(\w+)\]([^-]++)(?:-\s*(.+))?"
 SEVERITY_FORMAT = r"(?id)(\d+):\s*(\w+)\s*:\s*(.+)"
 PLAIN_FORMAT = r"(?id)Line\s+(\d+):\s*(.+)"
 SEVERITY_WORDS = {
@@ -88,46 +88,117 @@ OTHER_TYPE = "Security Issue"
 MODEL_SOURCE, FALLBACK_SOURCE = "llm", "llm_alt"
 
 Predictor = Callable[[pd.Series], pd.Series]
+Loader = Callable[[], Predictor]
+# Bytes of prompts a model is given at a time.
+BATCH_BYTES = 1 << 20
+_loaded: dict[str, Predictor] = {}
 
 
 def with_prompt(chunks: DataFrame, path: Column | None = None) -> DataFrame:
     """Adds the ``prompt`` for each chunk's ``content``."""
+    return chunks.withColumn("prompt", prompt_of(F.col("content"), path))
+
+
+def prompt_of(code: Column, path: Column | None = None) -> Column:
     named = F.lit("") if path is None else F.when(
         F.coalesce(path, F.lit("")) != "", F.concat(F.lit(" from file '"), path, F.lit("'"))
     ).otherwise("")
-    return chunks.withColumn(
-        "prompt",
-        F.concat(F.lit(PROMPT_OPENING), named, F.lit(PROMPT_MIDDLE), F.col("content"), F.lit(PROMPT_CLOSING)),
-    )
-
-
-def annotate(prompts: DataFrame, predict: Predictor) -> DataFrame:
-    """Text of a user-supplied model for each prompt, in Arrow batches.
-
-    ``predict`` maps a batch of prompts to texts. A batch that fails is retried row by row,
-    and a row that fails gives a null text: no findings, but told apart from an empty answer.
+    return F.concat(F.lit(PROMPT_OPENING), named, F.lit(PROMPT_MIDDLE), code, F.lit(PROMPT_CLOSING))
+
+
+def _model(key: str, predict: Predictor | None, load: Loader | None) -> Predictor:
+    """The predictor of this worker; a loader is called once per worker process."""
+    if load is None:
+        return predict
+    if key not in _loaded:
+        _loaded[key] = load()
+    return _loaded[key]
+
+
+def _answers_of(model: Predictor, prompts: list[str]) -> list[str | None]:
+    """Answers to all prompts; a batch that fails is split in halves, and a prompt that fails has none."""
+    if not prompts:
+        return []
+    try:
+        answers = list(model(pd.Series(prompts)))
+        if len(answers) != len(prompts):
+            raise ValueError("a model must give one answer per prompt")
+        return [a if isinstance(a, str) else None for a in answers]
+    except Exception:
+        if len(prompts) == 1:
+            return [None]
+        half = len(prompts) // 2
+        return _answers_of(model, prompts[:half]) + _answers_of(model, prompts[half:])
+
+
+def _answered(model: Predictor, prompts: list[str], batch_bytes: int) -> list[str | None]:
+    """Answers in batches of at most ``batch_bytes`` of prompts, one prompt at least."""
+    answers, batch, size = [], [], 0
+    for prompt in prompts:
+        bytes_of = len(prompt.encode())
+        if batch and size + bytes_of > batch_bytes:
+            answers += _answers_of(model, batch)
+            batch, size = [], 0
+        batch.append(prompt)
+        size += bytes_of
+    return answers + _answers_of(model, batch)
+
+
+def annotate(
+    prompts: DataFrame, predict: Predictor | None = None, load: Loader | None = None, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
+    """Text of a user-supplied model for each prompt.
+
+    ``predict`` maps a batch of prompts to texts; ``load`` makes such a function once in each worker. A
+    prompt on which the model fails has a null text: no findings, but told apart from an empty answer.
     """
     keep = [c for c in ("file_id", "chunk_idx", "function_name", "start_line") if c in prompts.columns]
     keys = prompts.select(*keep, "prompt")
-    schema = keys.drop("prompt").schema.add("text", "string")
-
-    def one(prompt: str) -> str | None:
-        try:
-            return predict(pd.Series([prompt])).iloc[0]
-        except Exception:
-            return None
+    schema, key = keys.drop("prompt").schema.add("text", "string"), uuid4().hex
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _model(key, predict, load)
         for frame in frames:
-            try:
-                texts = list(predict(frame["prompt"]))
-            except Exception:
-                texts = [one(p) for p in frame["prompt"]]
-            yield frame.drop(columns="prompt").assign(text=texts)
+            yield frame.drop(columns="prompt").assign(text=_answered(model, list(frame["prompt"]), batch_bytes))
 
     return keys.mapInPandas(batches, schema)
 
 
+def with_answers(
+    scanned: DataFrame, predict: Predictor | None = None, load: Loader | None = None, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
+    """Adds ``answers``, what the model says about each of ``chunks``: the prompts of a file stay in its row."""
+    key = uuid4().hex
+
+    def answer(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _model(key, predict, load)
+        for prompts in columns:
+            flat = _answered(model, [p for of_file in prompts for p in of_file], batch_bytes)
+            ends = prompts.map(len).cumsum()
+            yield pd.Series([flat[end - len(p) : end] for p, end in zip(prompts, ends)], dtype=object)
+
+    ask = F.pandas_udf(answer, "array<string>")
+    content = lambda c: F.array_join(c["lines"]["line"], "\n")
+    prompted = scanned.withColumn("prompts", F.transform("chunks", lambda c: prompt_of(content(c))))
+    said = prompted.withColumn("said", ask("prompts"))
+    about = F.transform("chunks", lambda c, n: F.struct(
+        n.alias("chunk_idx"), c["function_name"].alias("function_name"), F.array_min(c["lines"]["line_no"]).alias("start_line"),
+    ))
+    named = lambda a, t: F.struct(a["chunk_idx"], a["function_name"], a["start_line"], t.alias("text"))
+    return said.withColumn("answers", F.zip_with(about, "said", named)).drop("prompts", "said")
+
+
+def answered_findings() -> Column:
+    """Findings in all ``answers`` of a file, in the shape of the rules' findings."""
+
+    def of_answer(a: Column) -> Column:
+        return F.transform(F.coalesce(_hits(a["text"], a["start_line"]), F.array()), lambda m, n: F.struct(*[
+            c.alias(name) for name, c in _finding_columns(m, n, a["chunk_idx"], a["function_name"]).items()
+        ]))
+
+    return F.flatten(F.transform("answers", of_answer))
+
+
 def render_findings(findings: DataFrame) -> DataFrame:
     """Findings of pack M as the text a model would give for each chunk.
 
@@ -156,85 +227,69 @@ def type_of(description: Column) -> Column:
     return F.coalesce(*kinds, F.lit(OTHER_TYPE))
 
 
-def _matches(pattern: str, **groups: int) -> Column:
-    """All matches in ``text`` as array of structs with the named groups.
+def _matches(text: Column, pattern: str, **groups: int) -> Column:
+    """All matches in ``text`` that have a description, as array of structs with the named groups.
 
     The text is searched once; the groups come from the short matches.
     """
-    return F.transform(
-        F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(name) for name, g in groups.items()]),
     )
+    return F.filter(found, lambda m: m["description"] != "")
 
 
-def _hits() -> Column:
-    """Findings in ``text`` as an array of structs.
+def _hits(text: Column, start_line: Column) -> Column:
+    """Findings in ``text`` as an array of structs, null for texts without any.
 
     The main format counts; the two fallback formats are tried only if it does not occur.
     """
 
-    def number(m: Column) -> Column:
-        return m["line"].try_cast("int") + F.col("start_line")
-
     def record(m: Column, severity: Column, kind: Column, source: str) -> Column:
         return F.struct(
-            number(m).alias("line"), severity.alias("severity"), kind.alias("type"),
+            (m["line"].try_cast("int") + start_line).alias("line"), severity.alias("severity"), kind.alias("type"),
             strip(m["description"]).alias("description"), F.lit(source).alias("source"),
         )
 
     main = F.transform(
-        _matches(MAIN_FORMAT, line=1, severity=2, type=3, description=4),
+        _matches(text, MAIN_FORMAT, line=1, severity=2, type=3, description=4),
         lambda m: record(m, severity_of(m["severity"]), strip(m["type"]), MODEL_SOURCE),
     )
     rated = F.transform(
-        _matches(SEVERITY_FORMAT, line=1, severity=2, description=3),
+        _matches(text, SEVERITY_FORMAT, line=1, severity=2, description=3),
         lambda m: record(m, severity_of(m["severity"]), type_of(m["description"]), FALLBACK_SOURCE),
     )
     plain = F.transform(
-        _matches(PLAIN_FORMAT, line=1, description=2),
+        _matches(text, PLAIN_FORMAT, line=1, description=2),
         lambda m: record(m, F.lit(DEFAULT_SEVERITY), type_of(m["description"]), FALLBACK_SOURCE),
     )
-    said = (F.col("text") != "") & ~F.col("text").contains(NOTHING_FOUND)
-    return F.when(said, F.when(F.size(main) > 0, main).otherwise(F.concat(rated, plain)))
-
-
-def parse_model_text(responses: DataFrame) -> DataFrame:
-    """responses(file_id, start_line, text) to findings in the shape of all others.
-
-    They have no context and no rule; their place among others is that of the model's pack.
-    """
-    kept = [c for c in responses.columns if c not in ("text", "start_line")]
-    rows = responses.select(*kept, F.posexplode(_hits()).alias("seq", "m"))
-    return _as_findings(rows, kept)
-
-
-def _as_findings(rows: DataFrame, kept: list[str]) -> DataFrame:
-    chunk = "coalesce(cast(chunk_idx as int), 0)" if "chunk_idx" in kept else "0"
-    added = {
-        "chunk_idx": "cast(null as int)", "function_name": "cast(null as string)",
-        "context_lines": "cast(null as array<string>)",
-    }
-    return rows.selectExpr(
-        *kept, *[f"{sql} AS {name}" for name, sql in added.items() if name not in kept], "seq",
-        "m.line", "m.severity", "m.type", "m.description", "m.source",
-        "cast(null as string) AS context", "1.0D AS confidence", "cast(null as string) AS rule_id",
-        f"named_struct('stage', 0, 'chunk_idx', {chunk}, 'pack', 0, 'grp', 0, 'major', seq, 'minor', 0, 'tie', '') AS ordinal",
+    said = (text != "") & ~text.contains(NOTHING_FOUND)
+    # The steps are bound one after the other, so the main format is searched for once.
+    chosen = F.transform(F.array(main), lambda found: F.when(F.size(found) > 0, found).otherwise(F.concat(rated, plain)))
+    return F.when(said, F.get(chosen, F.lit(0)))
+
+
+def _finding_columns(m: Column, seq: Column, chunk_idx: Column, function_name: Column) -> dict[str, Column]:
+    """The fields of a finding; it has no context and no rule, and its place is that of the model's pack."""
+    none = lambda t: F.lit(None).cast(t)
+    ordinal = F.struct(
+        F.lit(0).alias("stage"), F.coalesce(chunk_idx.cast("int"), F.lit(0)).alias("chunk_idx"), F.lit(0).alias("pack"),
+        F.lit(0).alias("grp"), seq.cast("int").alias("major"), F.lit(0).alias("minor"), F.lit("").alias("tie"),
     )
+    own = {
+        "chunk_idx": chunk_idx.cast("int"), "function_name": function_name, "context_lines": none("array<string>"),
+        "context": none("string"), "confidence": F.lit(1.0), "rule_id": none("string"), "ordinal": ordinal,
+    }
+    return {name: own[name] if name in own else m[name] for name in FINDING_FIELDS}
 
 
-def model_records(files: DataFrame, options: ScanOptions, cutter: Cutter, predict: Predictor) -> DataFrame:
-    """What the model says about each chunk of files(file_id, content), as records of a scan.
-
-    A chunk it failed on gives a file record with ``unanswered`` 1. The model sees each chunk once.
-    """
-    chunks = explode_chunks(cutter(files.select("file_id", "content"), options))
-    answers = annotate(with_prompt(chunks), predict)
-    kept = ["file_id", "chunk_idx", "function_name"]
-    nothing = "named_struct('line', chunk_idx, 'severity', '', 'type', 'unanswered', 'description', '', 'source', '')"
-    said = answers.select(*kept, _hits().alias("hits"), F.col("text").isNull().alias("unanswered"))
-    rows = said.select(
-        *kept, F.col("unanswered").cast("int").alias("unanswered"),
-        F.posexplode(F.when(F.col("unanswered"), F.expr(f"array({nothing})")).otherwise(F.col("hits"))).alias("seq", "m"),
+def parse_model_text(responses: DataFrame) -> DataFrame:
+    """responses(file_id, start_line, text) to findings in the shape of all others."""
+    given = {"chunk_idx": "int", "function_name": "string"}
+    kept = [c for c in responses.columns if c not in ("text", "start_line", *given)]
+    rows = responses.select(
+        *kept, *[(F.col(c) if c in responses.columns else F.lit(None).cast(t)).alias(c) for c, t in given.items()],
+        F.posexplode(_hits(F.col("text"), F.col("start_line"))).alias("seq", "m"),
     )
-    found = _as_findings(rows, [*kept, "unanswered"]).drop("seq")
-    return found.withColumn("rule_id", F.when(F.col("unanswered") == 1, F.lit(FILE_RECORD)))
+    columns = _finding_columns(F.col("m"), F.col("seq"), F.col("chunk_idx"), F.col("function_name"))
+    return rows.select(*kept, "seq", *[c.alias(name) for name, c in columns.items()])

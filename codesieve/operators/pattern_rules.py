@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.text import has_any, let, literal, strip
-from .findings import FILE_STAGE, NO_HITS, LineTest, RuleText, hit
+from collections.abc import Callable
+
+from ..functions.text import bind, has_any, let, literal, strip
+from .findings import FILE_STAGE, NO_HITS, LineTest, RuleText, concat_hits, hit
 
 SOURCE, PACK = "pattern", 2
 (
@@ -21,25 +23,23 @@ CRYPTO_PATTERNS = {
 INPUT_PATTERNS = {
     "X5": (
         "Missing Input Validation", "MEDIUM",
-        (r"scanf\s*\([^,]*,\s*[^)]+\)", r"atoi\s*\(", r"strtol\s*\("),
+        ("scanf", r"atoi\s*\(", r"strtol\s*\("),
     ),
     # First word, a plus, and last word, in this order on the line.
     "X6": ("SQL Injection Risk", "HIGH", (("sql", "user"), ("query", "input"), ("execute", "param"))),
-    "X7": (
-        "Path Traversal", "MEDIUM",
-        (r"fopen\s*\([^,)]*\.\.[^)]*\)", r"open\s*\([^,)]*\.\.[^)]*\)", r"access\s*\([^,)]*\.\.[^)]*\)"),
-    ),
+    # Calls with two dots in their first argument.
+    "X7": ("Path Traversal", "MEDIUM", ("fopen", "open", "access")),
 }
 # A line must have one of these for X7.
 FILE_OPERATIONS = ("fopen", "open", "access", "stat", "chdir")
 # Open and close patterns, type and text of the balance rules X8 and X9.
 BALANCES = {
     "X8": (
-        r"(\w+)\s*=\s*fopen\s*\(", r"fclose\s*\(\s*(\w+)",
+        r"(?<!\w)(\w++)\s*+=\s*+fopen\s*+\(", r"fclose\s*\(\s*(\w+)",
         "Resource Leak", 'File handle "{}" may not be properly closed',
     ),
     "X9": (
-        r"(\w+)\s*=\s*(?:malloc|calloc|realloc)\s*\(", r"free\s*\(\s*(\w+)",
+        r"(?<!\w)(\w++)\s*+=\s*+(?:malloc|calloc|realloc)\s*+\(", r"free\s*\(\s*(\w+)",
         "Memory Leak", 'Allocated memory "{}" may not be freed',
     ),
 }
@@ -96,8 +96,34 @@ def _joined_words(first: str, last: str) -> str:
     return f"contains(low, '{first}') and contains({rest}, '{last}') and contains({inside}, '+')"
 
 
+def _second_argument(name: str) -> str:
+    """Whether ``low`` has the name, a bracket, the next comma, and then a closed, not empty rest.
+
+    Cut at commas, a part that ends in an open call is followed by one that does not start with a closing
+    bracket, and some later part has one.
+    """
+    last = "array_size(parts) - array_size(split(substring_index(low, ')', -1), ',', -1))"
+    opened = f"parts[i] rlike {literal(name + r'\s*+\(')} and not startswith(parts[i + 1], ')')"
+    some = f"exists(sequence(0, last - 1), i -> {opened})"
+    found = bind(f"last > 0 and {some}", parts="split(low, ',', -1)", last=last)
+    return f"contains(low, '{name}') and contains(low, ',') and contains(low, ')') and {found}"
+
+
+def _dotted_argument(name: str) -> str:
+    """Whether ``low`` has the name, a bracket, and two dots before the next comma or closing bracket.
+
+    A closing bracket must follow, so the line is cut at its last one, and then at commas and brackets; in a
+    part, only what is before its last two dots can open such a call.
+    """
+    closed = "left(low, length(low) - length(substring_index(low, ')', -1)))"
+    before = "left(part, length(part) - length(substring_index(part, '..', -1)) - 2)"
+    opened = f"{before} rlike {literal(name + r'\s*+\(')}"
+    parts = f"exists(split({closed}, '[,)]', -1), part -> contains(part, '..') and {opened})"
+    return f"contains(low, '{name}') and contains(low, ')') and {parts}"
+
+
 def pattern_tests() -> list[LineTest]:
-    """Tests on a file-line unit; ``low`` is its lower-case line, which must have a rule's stem."""
+    """Tests on a file's line; ``low`` is the line in lower case, which must have a rule's stem."""
     context = strip("line")
     tests: list[LineTest] = []
 
@@ -112,12 +138,13 @@ def pattern_tests() -> list[LineTest]:
     for rule_id, (_, _, patterns) in INPUT_PATTERNS.items():
         for pattern in patterns:
             if rule_id == "X6":
-                add(rule_id, minor, _joined_words(*pattern))
-                minor += 1
-                continue
-            test = f"line rlike {literal('(?id)' + pattern)}"
-            if rule_id == "X7":
-                test += f" and {has_any('line', FILE_OPERATIONS)}"
+                test = _joined_words(*pattern)
+            elif rule_id == "X7":
+                test = f"{has_any('line', FILE_OPERATIONS)} and {_dotted_argument(pattern)}"
+            elif pattern == "scanf":
+                test = _second_argument(pattern)
+            else:
+                test = f"line rlike {literal('(?id)' + pattern)}"
             add(rule_id, minor, test)
             minor += 1
     add("X10", 0, f"line_no >= first_thread and line rlike {literal('(?i)' + SHARED_STATE)}")
@@ -126,37 +153,40 @@ def pattern_tests() -> list[LineTest]:
     return tests
 
 
-def balance_hits(rule_id: str, numbers: dict[str, int]) -> str:
-    """One hit at line 0 per name whose last opening lies after its last closing.
+def balance_hits(rule_ids: list[str], numbers: dict[str, int]) -> str:
+    """One hit at line 0 per name whose last opening lies after its last closing, for each of the rules.
 
     The first match of a line counts, and an opening comes before a closing of the same line.
     """
-    opening, closing, _, _ = BALANCES[rule_id]
-    open_stem, close_stem = BALANCE_STEMS[rule_id]
 
     def events(pattern: str, stem: str, kind: int) -> str:
         found = (
-            f"transform(filter(body, x -> contains(x.line, '{stem}')), x -> named_struct("
-            f"'var', regexp_extract(x.line, {literal(pattern)}, 1), 'line_no', x.line_no, 'kind', {kind}))"
+            f"transform(filter(body, x -> contains(x.line, {stem})), x -> named_struct("
+            f"'var', regexp_extract(x.line, {pattern}, 1), 'line_no', x.line_no, 'kind', {kind}))"
         )
         return f"filter({found}, x -> x.var <> '')"
 
     # Sorted by name and line, the last event of each name tells whether it stays open.
-    both = f"array_sort(concat({events(opening, open_stem, 0)}, {events(closing, close_stem, 1)}))"
+    both = f"sort_array(concat({events('pair.opening', 'pair.open_stem', 0)}, {events('pair.closing', 'pair.close_stem', 1)}))"
     left_open = (
         "filter(events, (event, i_event) -> event.kind = 0 "
         "and coalesce(get(events, i_event + 1).var <> event.var, true))"
     )
-    report = hit(numbers[rule_id], "0", "0", 0, "event.var")
-    found = let(both, "events", f"transform({left_open}, event -> {report})")
-    return f"if(contains(line, '{open_stem}'), {found}, {NO_HITS})"
-
-
-def pattern_file_hits(numbers: dict[str, int]) -> dict[str, str]:
-    """SQL of the hits of each whole-file rule on a file unit."""
-    no_sync = hit(numbers["X11"], "first_thread", "0", 0)
-    return {
-        "X8": balance_hits("X8", numbers),
-        "X9": balance_hits("X9", numbers),
-        "X11": f"if(first_thread is not null and not has_sync, array({no_sync}), {NO_HITS})",
-    }
+    found = let(both, "events", f"transform({left_open}, event -> {hit('pair.rule', '0', '0', 0, 'event.var')})")
+    rows = ", ".join(
+        f"named_struct('rule', {numbers[i]}, 'opening', {literal(BALANCES[i][0])}, 'closing', {literal(BALANCES[i][1])}, "
+        f"'open_stem', {literal(BALANCE_STEMS[i][0])}, 'close_stem', {literal(BALANCE_STEMS[i][1])})"
+        for i in rule_ids
+    )
+    return f"flatten(transform(filter(array({rows}), pair -> contains(line, pair.open_stem)), pair -> {found}))"
+
+
+def pattern_file_hits(numbers: dict[str, int], wanted: Callable[[str], bool]) -> str | None:
+    """SQL of the hits of the wanted whole-file rules on a file, None if there are none."""
+    parts = []
+    if balances := [i for i in BALANCES if wanted(i)]:
+        parts.append(balance_hits(balances, numbers))
+    if wanted("X11"):
+        no_sync = hit(numbers["X11"], "first_thread", "0", 0)
+        parts.append(f"if(first_thread is not null and not has_sync, array({no_sync}), {NO_HITS})")
+    return concat_hits(parts) if parts else None

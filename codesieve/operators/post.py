@@ -1,12 +1,15 @@
-"""Findings after the rules: filter, enrich, deduplicate, order, suggest fixes."""
+"""Findings after the rules: filter, enrich, deduplicate, order, suggest fixes.
 
-from __future__ import annotations
+Each step is SQL text over the fields of a finding: plain columns where findings are rows, fields of ``x``
+where they are still the array in their file's row.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind, has_any, literal
 from ..options import SEVERITY_WEIGHTS, ScanOptions
 
 # Contexts in which a low integer overflow is no finding.
@@ -42,13 +45,14 @@ GENERAL_FIX = "Review code for security best practices"
 FILE_SOURCE = "pattern"
 
 
-def has_any(text: Column, parts) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+def first_match(text: str, values: dict[str, str]) -> str:
+    """Value of the first key that is a substring of ``text``, else null."""
+    return "case " + " ".join(f"when contains({text}, {literal(k)}) then {literal(v)}" for k, v in values.items()) + " end"
 
 
-def first_match(text: Column, values: dict[str, str]) -> Column:
-    """Value of the first key that is a substring of ``text``, else null."""
-    return F.coalesce(*[F.when(text.contains(key), value) for key, value in values.items()])
+def rank_of(severity: str) -> str:
+    whens = " ".join(f"when {literal(name)} then {rank}" for rank, name in enumerate(SEVERITY_WEIGHTS))
+    return f"case {severity} {whens} else {len(SEVERITY_WEIGHTS)} end"
 
 
 def severity_rank(severity: Column) -> Column:
@@ -56,42 +60,57 @@ def severity_rank(severity: Column) -> Column:
     return F.coalesce(*[F.when(severity == name, rank) for name, rank in ranks.items()], F.lit(len(ranks)))
 
 
-def is_false_positive(description: Column, severity: Column, context: Column) -> Column:
+def is_false_positive(x: str = "") -> str:
     """Low integer overflows in safe contexts, and null pointers without a context."""
-    text = F.lower(F.coalesce(description, F.lit("")))
-    place = F.lower(F.coalesce(context, F.lit("")))
-    safe_overflow = text.contains("integer overflow") & (severity == "LOW") & has_any(place, SAFE_CONTEXTS)
-    bare_null = text.contains("null pointer") & (place == "")
-    return F.coalesce(safe_overflow, F.lit(False)) | bare_null
+    text, place = f"lower(coalesce({x}description, ''))", f"lower(coalesce({x}context, ''))"
+    safe_overflow = f"contains({text}, 'integer overflow') and {x}severity = 'LOW' and {has_any(place, SAFE_CONTEXTS)}"
+    return f"(coalesce({safe_overflow}, false) or (contains({text}, 'null pointer') and {place} = ''))"
+
+
+def is_kept(x: str = "") -> str:
+    """The filter applies to chunk findings only; file patterns are kept as they are."""
+    return f"({x}source = '{FILE_SOURCE}' or not {is_false_positive(x)})"
+
+
+def is_wanted(options: ScanOptions, x: str = "") -> str:
+    """Confidence threshold and ignored patterns."""
+    wanted = ["true"]
+    if options.confidence_threshold > 0:
+        wanted.append(f"coalesce({x}confidence, 1.0D) >= {options.confidence_threshold}D")
+    if options.ignore_patterns:
+        place = f"concat_ws('\\n', {x}context, {x}function_name)"
+        wanted.append(f"not {has_any(place, options.ignore_patterns)}")
+    return " and ".join(wanted)
+
+
+def cwe_of(x: str = "") -> str:
+    """CWE number by type, for chunk findings only."""
+    return f"if({x}source <> '{FILE_SOURCE}', {first_match(f'lower({x}type)', CWE_NUMBERS)}, null)"
+
+
+def fix_of(x: str = "") -> str:
+    kind = f"lower({x}type)"
+    buffer_fix = f"coalesce({first_match(f'lower({x}description)', BUFFER_FIXES)}, {literal(BUFFER_FALLBACK)})"
+    other = f"coalesce({first_match(kind, FIXES)}, {literal(GENERAL_FIX)})"
+    return f"if(contains({kind}, 'buffer overflow'), {buffer_fix}, {other})"
 
 
 def drop_false_positives(findings: DataFrame) -> DataFrame:
-    """Applies to chunk findings only; file patterns are kept as they are."""
-    wrong = is_false_positive(F.col("description"), F.col("severity"), F.col("context"))
-    return findings.where((F.col("source") == FILE_SOURCE) | ~wrong)
+    return findings.where(is_kept())
 
 
 def with_cwe(findings: DataFrame) -> DataFrame:
-    """CWE number by type, for chunk findings only."""
-    number = first_match(F.lower("type"), CWE_NUMBERS)
-    return findings.withColumn("cwe", F.when(F.col("source") != FILE_SOURCE, number))
+    return findings.withColumn("cwe", F.expr(cwe_of()))
 
 
 def with_fixes(findings: DataFrame) -> DataFrame:
-    kind, text = F.lower("type"), F.lower("description")
-    buffer_fix = F.when(
-        kind.contains("buffer overflow"),
-        F.coalesce(first_match(text, BUFFER_FIXES), F.lit(BUFFER_FALLBACK)),
-    )
-    return findings.withColumn(
-        "suggested_fix", F.coalesce(buffer_fix, first_match(kind, FIXES), F.lit(GENERAL_FIX))
-    )
+    return findings.withColumn("suggested_fix", F.expr(fix_of()))
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:
-    """The first finding in emission order per file, line and type.
+    """The first finding in emission order per file, line and type, for findings that are rows.
 
-    One sort; before a shuffle each task passes on one row per file, line and type only.
+    Findings still in their file's row need no shuffle: see ``listed``.
     """
     place = Window.partitionBy("file_id", "line", "type").orderBy("ordinal")
     return findings.withColumn("__nth", F.row_number().over(place)).where("__nth = 1").drop("__nth")
@@ -104,22 +123,29 @@ def ranked(findings: DataFrame) -> DataFrame:
 
 def apply_options(findings: DataFrame, options: ScanOptions) -> DataFrame:
     """Confidence threshold, ignored patterns and the context switch."""
-    kept = findings
-    if options.confidence_threshold > 0:
-        kept = kept.where(F.coalesce("confidence", F.lit(1.0)) >= options.confidence_threshold)
-    if options.ignore_patterns:
-        place = F.concat_ws("\n", "context", "function_name")
-        kept = kept.where(~has_any(place, options.ignore_patterns))
-    if not options.include_context:
-        kept = kept.withColumn("context", F.lit(None).cast("string"))
-    return kept
-
-
-def kept_findings(raw: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Raw findings without false positives and as the options ask; row by row."""
-    return apply_options(drop_false_positives(raw), options)
+    kept = findings.where(is_wanted(options))
+    return kept if options.include_context else kept.withColumn("context", F.lit(None).cast("string"))
 
 
 def finish_findings(raw: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Raw findings to the final list: filtered, deduplicated, enriched, with fixes."""
-    return with_fixes(with_cwe(deduplicate(kept_findings(raw, options))))
+    return with_fixes(with_cwe(deduplicate(apply_options(drop_false_positives(raw), options))))
+
+
+def listed(found: str, options: ScanOptions = ScanOptions()) -> str:
+    """SQL of a file's final findings in report order, from the array of its raw findings.
+
+    Filter, deduplication by one sort, enrichment and order all stay inside the row.
+    """
+    kept = f"filter({found}, x -> {is_kept('x.')} and {is_wanted(options, 'x.')})"
+    placed = f"sort_array(transform({kept}, x -> named_struct('line', x.line, 'type', x.type, 'ordinal', x.ordinal, 'x', x)))"
+    before = "get(placed, i_place - 1)"
+    firsts = f"filter(placed, (place, i_place) -> i_place = 0 or not (place.line <=> {before}.line and place.type <=> {before}.type))"
+    shown = ("chunk_idx", "function_name", "context_lines", "severity", "type", "description", "confidence", "source", "rule_id")
+    final = (
+        f"named_struct('line', x.line, 'rank', {rank_of('x.severity')}, 'ordinal', x.ordinal, "
+        + ", ".join(f"'{c}', x.{c}" for c in shown)
+        + f", 'context', {'x.context' if options.include_context else 'cast(null as string)'}, "
+        f"'cwe', {cwe_of('x.')}, 'suggested_fix', {fix_of('x.')})"
+    )
+    return bind(f"sort_array(transform({firsts}.x, x -> {final}))", placed=placed)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind, literal
 from ..options import SEVERITY_WEIGHTS, ScanOptions
 from .post import severity_rank
 
 # Exit verdicts.
 CLEAN, OTHER, HIGH, CRITICAL, FAILED = 0, 1, 2, 3, 4
+COUNTS = ("total_vulnerabilities", "critical_count", "high_count", "medium_count", "low_count")
 
 
 def _counts() -> list[Column]:
@@ -47,35 +49,30 @@ def type_counts(findings: DataFrame) -> DataFrame:
 def with_listed_statistics(files: DataFrame, weights: dict[str, int]) -> DataFrame:
     """The same statistics from ``listed``, a file's findings in report order, inside the row.
 
-    The steps are columns of their own, so none is evaluated once per element of another.
+    Types are sorted with their places, so equal ones are neighbours; the commonest type is, of equally
+    common ones, the one met first.
     """
-    levels = F.transform("listed.severity", lambda s: F.coalesce(s, F.lit("LOW")))
-    types = F.transform("listed.type", lambda t: F.coalesce(t, F.lit("Unknown")))
-    ranked = F.array_sort(F.transform("__types", lambda t, at: F.struct(t.alias("type"), at.alias("at"))))
-    starts = F.filter(
-        F.transform("__ranked", lambda x, n: F.struct(x["type"].alias("type"), x["at"].alias("at"), n.alias("n"))),
-        lambda x, n: (n == 0) | (x["type"] != F.get("__ranked", n - 1)["type"]),
+    levels = "transform(listed.severity, s -> coalesce(s, 'LOW'))"
+    types = "sort_array(transform(listed.type, (t, at) -> named_struct('type', coalesce(t, 'Unknown'), 'at', at)))"
+    starts = (
+        "filter(transform(types, (t, n) -> if(n = 0 or t.type <> get(types, n - 1).type, "
+        "named_struct('type', t.type, 'at', t.at, 'n', n), null)), t -> t is not null)"
     )
-    number = lambda k: F.coalesce(F.get("__starts", k + 1)["n"], F.size("__ranked"))
-    kinds = F.transform(
-        "__starts",
-        lambda x, k: F.struct(x["type"].alias("type"), (number(k) - x["n"]).cast("long").alias("n"), x["at"].alias("at")),
+    kinds = (
+        "transform(starts, (t, k) -> named_struct('type', t.type, 'at', t.at, "
+        "'n', cast(coalesce(get(starts, k + 1).n, size(types)) - t.n as bigint)))"
     )
-    steps = files.withColumns({"__levels": levels, "__types": types}).withColumn("__ranked", ranked)
-    steps = steps.withColumn("__starts", starts).withColumn("__kinds", kinds)
+    number = lambda name: f"cast(size(filter(levels, s -> s = '{name}')) as bigint)"
     named = list(SEVERITY_WEIGHTS)[:3]
-    count = lambda name: F.size(F.filter("__levels", lambda s: s == name)).cast("long")
-    counted = steps.withColumns({"total_vulnerabilities": F.size("listed").cast("long"), **{f"{n.lower()}_count": count(n) for n in named}})
-    rest = F.col("total_vulnerabilities")
-    for name in named:
-        rest = rest - F.col(f"{name.lower()}_count")
-    # The commonest type; of equally common ones the one met first.
-    common = F.array_min(F.transform("__kinds", lambda k: F.struct((-k["n"]).alias("n"), k["at"].alias("at"), k["type"].alias("type"))))
-    done = counted.withColumns({
-        "low_count": rest, "most_common_type": F.coalesce(common["type"], F.lit("")),
-        "vulnerability_types": F.map_from_entries(F.transform("__kinds", lambda k: F.struct(k["type"].alias("type"), k["n"].alias("n")))),
-    })
-    return done.drop("__levels", "__types", "__ranked", "__starts", "__kinds").withColumn("risk_score", weighted_risk(weights))
+    facts = (
+        "named_struct('total_vulnerabilities', cast(size(listed) as bigint), "
+        + ", ".join(f"'{name.lower()}_count', {number(name)}" for name in named)
+        + f", 'low_count', cast(size(filter(levels, s -> s not in ({', '.join(map(literal, named))}))) as bigint), "
+        "'most_common_type', coalesce(array_min(transform(kinds, k -> named_struct('n', -k.n, 'at', k.at, 'type', k.type))).type, ''), "
+        "'vulnerability_types', map_from_entries(transform(kinds, k -> named_struct('type', k.type, 'n', k.n))))"
+    )
+    stated = files.withColumn("__facts", F.expr(bind(facts, levels=levels, types=types, starts=starts, kinds=kinds)))
+    return stated.select(*files.columns, "__facts.*").withColumn("risk_score", weighted_risk(weights))
 
 
 def verdict(failed: Column) -> Column:

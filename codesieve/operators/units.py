@@ -1,8 +1,8 @@
-"""Unit rows: the one shape all rules are evaluated on.
+"""Where rules are evaluated: on chunks, their lines, the file and its lines, all inside the file's row.
 
-A file is exploded once into units of four scopes. Look-ahead lines and chunk or file flags
-are attached while the text is still in one row, so context rules need no window, no join
-and no second pass over the corpus.
+A text is split once; look-ahead lines and chunk or file flags are bound by name next to the line a rule
+looks at, so context rules need no window, no join and no row of their own. The result of a file is one
+array of hits; only real hits ever become rows, and only the lines around real hits are copied.
 """
 
 from __future__ import annotations
@@ -10,16 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.text import has_any, let, literal, newline_count, split_lines
-from ..options import HEURISTIC_PACK, MODEL_PACK, PATTERN_PACK, ScanOptions
-from .segment import CHUNK_LINES, with_chunks
+from ..functions.text import bind, has_any, let, literal, newline_count
+from ..options import ScanOptions
+from .findings import NO_HITS
+from .segment import CHUNK_LINES
 
 Cutter = Callable[[DataFrame, ScanOptions], DataFrame]
 
-CHUNK_SCOPE, CHUNK_LINE_SCOPE, FILE_SCOPE, FILE_LINE_SCOPE = "chunk", "chunk_line", "file", "file_line"
-
 # How far the look-ahead rules read, and the lines which start one.
 LOOK_AHEAD = 20
 LOOKS_AHEAD = ("alloc(", "free(", "open(")
@@ -28,67 +26,49 @@ LOOKS_AHEAD = ("alloc(", "free(", "open(")
 THREAD_MARKS = ("pthread_create", "std::thread", "createthread")
 SYNC_MARKS = ("mutex", "lock", "semaphore", "critical_section", "atomic")
 
-# A line without any of these can meet no rule of its scope, so it needs no unit.
+# A line without any of these can meet no rule of its scope.
 CHUNK_LINE_MARKS = ("(", "*", "+", "<<", "->", "[")
 FILE_LINE_MARKS = ("(", "=", "+", "://")
 FILE_LINE_WORDS = ("telnet", "static", "global", "volatile")
 
-UNIT_FIELDS = {
-    "scope": "string",
-    "chunk_idx": "int",
-    "function_name": "string",
-    "pos": "int",
-    "line_no": "int",
-    "line": "string",
-    "ahead": CHUNK_LINES,
-    "before": "string",
-    "has_null": "boolean",
-    "has_seed": "boolean",
-    "first_thread": "int",
-    "has_sync": "boolean",
-    "body": CHUNK_LINES,
-    "around": "array<string>",
-    "file_body": CHUNK_LINES,
-}
-
-
-def _unit(**given: str) -> str:
-    """Unit struct with null for every field not given."""
-    fields = [f"'{name}', cast({given.get(name, 'null')} as {kind})" for name, kind in UNIT_FIELDS.items()]
-    return f"named_struct({', '.join(fields)})"
+NO_CHUNK = {"chunk_no": "cast(null as int)", "chunk_name": "cast(null as string)"}
 
 
 def around(file_lines: str, line_no: str, reach: int) -> str:
+    """The lines at most ``reach`` away from a line."""
     first = f"greatest({line_no} - {reach}, 1)"
     return f"slice({file_lines}, {first}, {line_no} + {reach + 1} - {first}).line"
 
 
-def _marked(lines: str, condition: str, unit: str) -> str:
-    return f"filter(transform({lines}, (u, i_u) -> if({condition}, {unit}, null)), u -> u is not null)"
-
-
-def chunk_units(chunks: str, file_lines: str, reach: int = 0) -> str:
-    """One unit per chunk and one per chunk line that may meet a rule, as a flat array."""
-    whole = _unit(
-        scope=literal(CHUNK_SCOPE), chunk_idx="i_unit_chunk", function_name="unit_chunk.function_name",
-        line="chunk_text", body="unit_chunk.lines", file_body=file_lines if reach else "null",
-    )
-    looks = has_any("u.line", LOOKS_AHEAD)
-    of_line = {
-        "scope": literal(CHUNK_LINE_SCOPE), "chunk_idx": "i_unit_chunk",
-        "function_name": "unit_chunk.function_name", "pos": "i_u + 1", "line_no": "u.line_no", "line": "u.line",
-        "ahead": f"if({looks}, slice(unit_chunk.lines, i_u + 2, {LOOK_AHEAD}), null)",
-        "before": f"if({looks}, get(unit_chunk.lines, i_u - 1).line, null)",
-        "has_null": "flags.has_null", "has_seed": "flags.has_seed",
-    }
-    if reach:
-        of_line["around"] = around(file_lines, "u.line_no", reach)
-    flags = "named_struct('has_null', contains(upper(chunk_text), 'NULL'), 'has_seed', contains(chunk_text, 'srand('))"
-    lines = let(
-        flags, "flags", _marked("unit_chunk.lines", has_any("u.line", CHUNK_LINE_MARKS), _unit(**of_line))
-    )
-    units = let("array_join(unit_chunk.lines.line, '\\n')", "chunk_text", f"concat(array({whole}), {lines})")
-    return f"flatten(transform({chunks}, (unit_chunk, i_unit_chunk) -> {units}))"
+def _of_lines(lines: str, condition: str, hits: str) -> str:
+    """Hits of all lines that may meet a rule; ``u`` is the line, ``i_u`` its place."""
+    found = f"filter(transform({lines}, (u, i_u) -> if({condition}, {hits}, null)), x -> x is not null)"
+    return f"flatten({found})"
+
+
+def chunk_hits(chunks: str, of_chunk: str | None, of_line: str | None) -> str:
+    """Hits on every chunk of ``chunks`` and on its lines.
+
+    ``of_chunk`` is over ``line`` (the chunk's text) and ``body`` (its lines), ``of_line`` over ``line``,
+    ``line_no``, ``pos``, ``ahead``, ``before``, ``has_null`` and ``has_seed``.
+    """
+    parts = []
+    if of_chunk:
+        parts.append(bind(of_chunk, line="chunk_text", body="unit_chunk.lines"))
+    if of_line:
+        looks = has_any("line", LOOKS_AHEAD)
+        hits = bind(
+            of_line, line="u.line", line_no="u.line_no", pos="i_u + 1",
+            ahead=f"if({looks}, slice(unit_chunk.lines, i_u + 2, {LOOK_AHEAD}), cast(null as {CHUNK_LINES}))",
+            before=f"if({looks}, get(unit_chunk.lines, i_u - 1).line, null)",
+        )
+        lines = _of_lines("unit_chunk.lines", has_any("u.line", CHUNK_LINE_MARKS), hits)
+        parts.append(bind(lines, has_null="contains(upper(chunk_text), 'NULL')", has_seed="contains(chunk_text, 'srand(')"))
+    if not parts:
+        return NO_HITS
+    both = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    named = bind(both, chunk_name="unit_chunk.function_name", chunk_text="array_join(unit_chunk.lines.line, '\\n')")
+    return f"flatten(transform({chunks}, (unit_chunk, chunk_no) -> {named}))"
 
 
 def first_thread_line(lowered: str) -> str:
@@ -102,54 +82,21 @@ def first_thread_line(lowered: str) -> str:
     return f"least({', '.join(at)})"
 
 
-def file_units(content: str, file_lines: str, chunk_count: str, with_lines: bool = True, reach: int = 0) -> str:
-    """One unit for the file (``pos`` is its chunk count) and one per file line, as a flat array."""
-    of_line = {
-        "scope": literal(FILE_LINE_SCOPE), "pos": "u.line_no", "line_no": "u.line_no", "line": "u.line",
-        "first_thread": "thread.first",
-    }
-    if reach:
-        of_line["around"] = around(file_lines, "u.line_no", reach)
-    whole = _unit(
-        scope=literal(FILE_SCOPE), pos=chunk_count, line=content, body=file_lines,
-        first_thread="thread.first", has_sync="thread.sync", file_body=file_lines if reach else "null",
-    )
-    units = f"array({whole})"
-    if with_lines:
-        condition = f"{has_any('u.line', FILE_LINE_MARKS)} or {has_any('lower(u.line)', FILE_LINE_WORDS)}"
-        units = f"concat({units}, {_marked(file_lines, condition, _unit(**of_line))})"
-    threads = f"named_struct('first', {first_thread_line('low')}, 'sync', {has_any('low', SYNC_MARKS)})"
-    return let(f"lower({content})", "low", let(threads, "thread", units))
-
+def file_hits(content: str, file_lines: str, of_file: str | None, of_line: str | None) -> str:
+    """Hits on the file and on its lines.
 
-def scan_units(
-    files: DataFrame, options: ScanOptions, cutter: Cutter = with_chunks, count_chunks: bool = False
-) -> DataFrame:
-    """files(file_id, content) to unit rows; a narrow plan that reads the text once.
-
-    ``cutter`` adds the chunks; by default it segments C sources.
+    ``of_file`` is over ``line`` (the text), ``body``, ``first_thread`` and ``has_sync``; ``of_line`` over
+    ``line``, ``low``, ``line_no``, ``pos`` and ``first_thread``.
     """
-    reach = options.max_context_lines
-    with_lines = PATTERN_PACK in options.packs
-    texts = files.select("file_id", "content")
-    if count_chunks or options.packs & {MODEL_PACK, HEURISTIC_PACK}:
-        texts = cutter(texts, options)
-        of_file = file_units("content", "unit_lines", "size(unit_chunks)", with_lines, reach)
-        units = let(
-            "chunks", "unit_chunks", f"concat({chunk_units('unit_chunks', 'unit_lines', reach)}, {of_file})"
-        )
-    else:
-        units = file_units("content", "unit_lines", "null", with_lines, reach)
-    rows = let(split_lines("content"), "unit_lines", units)
-    return texts.select("file_id", F.expr(f"explode({rows})").alias("u")).select("file_id", "u.*")
-
-
-def line_units(lines: DataFrame, scope: str) -> DataFrame:
-    """lines(file_id, line_no, line) as units, for rules that look at one line only.
-
-    Works on batch and streaming DataFrames; there is no chunk, so all lines are in chunk 0.
-    """
-    unit = _unit(
-        scope=literal(scope), chunk_idx="0", function_name="''", pos="line_no", line_no="line_no", line="line"
-    )
-    return lines.select("file_id", F.expr(unit).alias("u")).select("file_id", "u.*")
+    parts = []
+    if of_file:
+        parts.append(bind(of_file, line=content, body=file_lines))
+    if of_line:
+        condition = f"{has_any('u.line', FILE_LINE_MARKS)} or {has_any('lower(u.line)', FILE_LINE_WORDS)}"
+        hits = bind(of_line, line="u.line", low="lower(line)", line_no="u.line_no", pos="u.line_no")
+        parts.append(_of_lines(file_lines, condition, hits))
+    if not parts:
+        return NO_HITS
+    both = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    threads = {"lowered": f"lower({content})", "first_thread": first_thread_line("lowered"), "has_sync": has_any("lowered", SYNC_MARKS)}
+    return bind(both, **NO_CHUNK, **threads)

@@ -1,7 +1,6 @@
 """The whole job: one pass over the corpus, then findings, statistics and reports.
 
-The pass over the text is narrow. Raw findings and one small record per file are dealt by file
-once; deduplication, gathering, statistics and the order of the report follow without a shuffle.
+A file's findings never leave its row before they are final, so the job has no shuffle.
 """
 
 from __future__ import annotations
@@ -12,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import model_text
-from ..operators.post import deduplicate, kept_findings, severity_rank, with_cwe, with_fixes
+from ..operators.post import listed
 from ..operators.report import nested_reports
-from ..operators.scan import FILE_RECORD, scan_records
+from ..operators.scan import with_findings
 from ..operators.segment import with_chunks
 from ..operators.stats import verdict, with_listed_statistics
 from ..operators.units import Cutter
-from ..options import MODEL_PACK, ScanOptions
+from ..options import HEURISTIC_PACK, MODEL_PACK, ScanOptions
 
 
 @dataclass(frozen=True)
@@ -48,48 +47,36 @@ class CorpusScan:
 def _scannable(files: DataFrame) -> DataFrame:
     """Missing texts are emptied and marked as failed."""
     failed = F.col("content").isNull()
-    return files.select(
-        F.struct("file_id", "path", failed.alias("failed")).alias("file_id"), F.coalesce("content", F.lit("")).alias("content")
-    )
-
-
-def _by_file(records: DataFrame, options: ScanOptions) -> DataFrame:
-    """Records with the key (file_id, path, failed) to one row per file with findings and statistics."""
-    is_file = F.col("rule_id").eqNullSafe(FILE_RECORD)
-    if "unanswered" not in records.columns:
-        records = records.withColumn("unanswered", F.lit(0))
-    # Records of files pass every filter and are alone at their place, so one branch carries all.
-    sure = F.when(is_file, float("inf")).otherwise(F.col("confidence"))
-    dealt = records.withColumn("confidence", sure).repartition("file_id")
-    kept = with_fixes(with_cwe(deduplicate(kept_findings(dealt, options))))
-    rest = [c for c in kept.columns if c not in ("file_id", "line", "ordinal", "unanswered")]
-    entry = F.struct("line", severity_rank(F.col("severity")).alias("rank"), "ordinal", *rest)
-    files = kept.groupBy("file_id").agg(
-        F.sort_array(F.collect_list(F.when(~is_file, entry))).alias("listed"),
-        F.max(F.when(is_file & (F.col("unanswered") == 0), F.col("line"))).alias("chunks"),
-        F.sum("unanswered").alias("failed_answers"),
-    )
-    listed = files.select(
-        "file_id.*", F.when(F.col("file_id.failed"), 0).otherwise(F.col("chunks")).cast("long").alias("chunks_analyzed"),
-        "failed_answers", "listed",
-    )
-    return with_listed_statistics(listed, options.severity_weights).withColumn("verdict", verdict(F.col("failed")))
+    return files.select("file_id", "path", failed.alias("failed"), F.coalesce("content", F.lit("")).alias("content"))
 
 
 def scan_corpus(
     files: DataFrame, options: ScanOptions = ScanOptions(), cutter: Cutter = with_chunks,
-    predict: model_text.Predictor | None = None,
+    predict: model_text.Predictor | None = None, load: model_text.Loader | None = None, only: set[str] | None = None,
 ) -> CorpusScan:
     """Scan files(file_id, path, content); nothing runs until a result is used.
 
-    With ``predict``, the findings of pack M are what this model says about each chunk; chunks it
-    failed on are counted in ``failed_answers``.
+    With ``predict``, or ``load`` which makes one in each worker, the findings of pack M are what this model
+    says about each chunk; chunks it failed on are counted in ``failed_answers``. ``only`` takes some rules.
     """
-    texts = _scannable(files)
-    if predict is None:
-        return CorpusScan(_by_file(scan_records(texts, options, cutter), options))
-    own = ScanOptions(**{**options.__dict__, "packs": options.packs - {MODEL_PACK}})
-    # Chunks are counted with the model's pack on, as its findings are by chunk.
-    records = scan_records(texts, own, cutter, count_chunks=True).withColumn("unanswered", F.lit(0))
-    said = model_text.model_records(texts, options, cutter, predict)
-    return CorpusScan(_by_file(records.unionByName(said, allowMissingColumns=True), options))
+    modelled = predict is not None or load is not None
+    packs = options.packs - {MODEL_PACK} if modelled else options.packs
+    # Chunks are counted where any pack looks at them.
+    cut = bool(options.packs & {MODEL_PACK, HEURISTIC_PACK})
+    scanned = with_findings(_scannable(files), options, only, cutter, packs, cut)
+    if modelled:
+        answered = model_text.with_answers(scanned, predict, load)
+        found, unanswered = model_text.answered_findings(), F.size(F.filter("answers", lambda a: a["text"].isNull()))
+        scanned = answered.withColumns({"found": F.concat(found, "found"), "failed_answers": unanswered.cast("long")}).drop("answers")
+    else:
+        scanned = scanned.withColumn("failed_answers", F.lit(0).cast("long"))
+    chunks = F.size("chunks") if cut else F.lit(None)
+    # What is not deterministic is evaluated once: a filter on a result must not repeat the scan below it.
+    once = F.when(F.spark_partition_id() >= 0, F.col("found"))
+    counted = scanned.select(
+        "file_id", "path", "failed", F.when(F.col("failed"), 0).otherwise(chunks).cast("long").alias("chunks_analyzed"),
+        "failed_answers", once.alias("found"),
+    )
+    final = counted.select(*counted.columns[:-1], F.expr(listed("found", options)).alias("listed"))
+    results = with_listed_statistics(final, options.severity_weights)
+    return CorpusScan(results.withColumn("verdict", verdict(F.col("failed"))))

@@ -157,7 +157,7 @@ def source_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_documents(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """Like ``documents``, with further columns kept in the key."""
     keyed = table(spark, sf_dir, "documents").select(
-        F.struct("doc_id", *keys).alias("file_id"), F.col("text").alias("content")
+        F.struct("doc_id", *keys).alias("file_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")
     )
     return spread(keyed)
 

@@ -7,12 +7,7 @@ they were written from.
 
 from __future__ import annotations
 
-from codesieve.operators import heuristic_rules as H
-from codesieve.operators import model_text as MT
-from codesieve.operators import post
-from codesieve.operators import report as R
-from codesieve.operators.model_rules import MODEL_RULES
-
+from . import expected as E
 from .corpora import CODE_FILES_SQL, CODE_LINES_SQL, CONTEXTS, MODEL_LINES_SQL, NESTED_SKELETON, SKELETON
 
 NL = "chr(10)"
@@ -52,7 +47,7 @@ STRIPPED = f"trim(line, {WS})"
 
 
 def model_hit(rule: str, body: str, line: str = "line_no", description: str | None = None) -> str:
-    severity, kind, words = MODEL_RULES[rule]
+    severity, kind, words = E.MODEL_RULES[rule]
     minor = str(int(rule[1:]))
     return hit(
         rule, 0, 0, "line_no", minor, severity, kind, description or text(words), NONE, "llm", body, line
@@ -115,7 +110,7 @@ M_SQL = {
 
 def _heuristic() -> dict[str, str]:
     out = {}
-    for n, (name, (severity, kind, reason)) in enumerate(H.DANGEROUS_CALLS.items(), 1):
+    for n, (name, (severity, kind, reason)) in enumerate(E.DANGEROUS_CALLS.items(), 1):
         out[f"H{n}"] = hit(
             f"H{n}", 1, 0, "line_no", str(n), severity, kind,
             text(f"Use of dangerous function {name}(): {reason}"), STRIPPED, "heuristic",
@@ -124,8 +119,8 @@ def _heuristic() -> dict[str, str]:
     out["H9"] = hit(
         "H9", 1, 0, "line_no", "9", "HIGH", "Format String Vulnerability",
         "fn || '() with potentially user-controlled format string'", STRIPPED, "heuristic",
-        f"(SELECT *, regexp_extract(line, {text(H.FORMAT_CALL)}, 1) AS fn, "
-        f"regexp_extract(line, {text(H.FORMAT_CALL)}, 2) AS arg FROM cl) "
+        f"(SELECT *, regexp_extract(line, {text(E.FORMAT_CALL)}, 1) AS fn, "
+        f"regexp_extract(line, {text(E.FORMAT_CALL)}, 2) AS arg FROM cl) "
         f"WHERE fn <> '' AND NOT {has('arg', 'stderr', 'stdout')}",
     )
     forms = " OR ".join(
@@ -156,15 +151,15 @@ def _heuristic() -> dict[str, str]:
         f"(SELECT *, row_number() OVER (PARTITION BY file_id, var ORDER BY line_no) AS nth FROM {frees} "
         "WHERE var <> '') WHERE nth > 1",
     )
-    for n, name in enumerate(H.CHECKED_CALLS):
+    for n, name in enumerate(E.CHECKED_CALLS):
         out[f"H{n + 14}"] = hit(
             f"H{n + 14}", 1, 3, str(n), "line_no", "MEDIUM", "Missing Error Check",
             text(f"Return value of {name}() not checked"), NONE, "heuristic",
-            f"ca WHERE {matches('line', rf'{name}\s*\([^)]*\)')} AND NOT {has('area', *H.RESULT_CHECKS)}",
+            f"ca WHERE {matches('line', rf'{name}\s*\([^)]*\)')} AND NOT {has('area', *E.RESULT_CHECKS)}",
         )
-    for n, (word, kind) in enumerate(H.SECRET_WORDS.items()):
+    for n, (word, kind) in enumerate(E.SECRET_WORDS.items()):
         out[f"H{n + 24}"] = secret(n, word, kind, "cl")
-    for n, name in enumerate(H.WEAK_GENERATORS):
+    for n, name in enumerate(E.WEAK_GENERATORS):
         out[f"H{n + 29}"] = hit(
             f"H{n + 29}", 1, 5, str(n), "0", "MEDIUM", "Weak Random Number Generator",
             text(f"Use of weak random function {name}() for security-sensitive operations"), NONE, "heuristic",
@@ -299,11 +294,11 @@ def case_of(text_column: str, values: dict[str, str], otherwise: str = "NULL") -
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-CWE = f"CASE WHEN source <> 'pattern' THEN {case_of('lower(type)', post.CWE_NUMBERS)} END"
+CWE = f"CASE WHEN source <> 'pattern' THEN {case_of('lower(type)', E.CWE_NUMBERS)} END"
 FIX = (
     f"CASE WHEN contains(lower(type), 'buffer overflow') THEN "
-    f"{case_of('lower(description)', post.BUFFER_FIXES, text(post.BUFFER_FALLBACK))} "
-    f"ELSE {case_of('lower(type)', post.FIXES, text(post.GENERAL_FIX))} END"
+    f"{case_of('lower(description)', E.BUFFER_FIXES, text(E.BUFFER_FALLBACK))} "
+    f"ELSE {case_of('lower(type)', E.FIXES, text(E.GENERAL_FIX))} END"
 )
 RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END"
 ORDER = "o1, o2, o3, o4, o5, o6"
@@ -337,7 +332,7 @@ DOC_LINES = f"""dl AS (
 def document_secrets() -> str:
     """Matches counted in the whole text; the line is found from the text before each match."""
     parts = []
-    for n, (word, kind) in enumerate(H.SECRET_WORDS.items()):
+    for n, (word, kind) in enumerate(E.SECRET_WORDS.items()):
         pattern = rf"""(?i){word}\s*=\s*["'][^"']+["']"""
         parts.append(f"""SELECT file_id, CAST(line_no AS INTEGER) AS line, 'HIGH' AS severity, {text(kind)} AS type,
   {text(f"{kind} detected in source code")} AS description,
@@ -364,16 +359,16 @@ def document_x2() -> str:
 
 
 def severity_case(column: str) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MT.SEVERITY_WORDS.items())
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.SEVERITY_WORDS.items())
     return f"CASE lower({column}) {whens} ELSE 'MEDIUM' END"
 
 
 def type_case(column: str) -> str:
     whens = " ".join(
         "WHEN " + " OR ".join(matches(f"lower({column})", p) for p in patterns) + f" THEN {text(kind)}"
-        for kind, patterns in MT.TYPE_PATTERNS.items()
+        for kind, patterns in E.TYPE_PATTERNS.items()
     )
-    return f"CASE {whens} ELSE '{MT.OTHER_TYPE}' END"
+    return f"CASE {whens} ELSE '{E.OTHER_TYPE}' END"
 
 
 NOTE = "note: "
@@ -516,18 +511,18 @@ def text_report_sql() -> str:
         "|| CASE WHEN cwe IS NOT NULL THEN '  CWE: ' || cwe || chr(10) ELSE '' END "
         "|| '  Fix: ' || suggested_fix || chr(10)"
     )
-    head = f"{R.WIDE_RULE}\n{R.TITLE}\n# File: "
+    head = f"{E.WIDE_RULE}\n{E.TITLE}\n# File: "
     return f"""{FINAL},
 {COMMON},
 {PLACES},
 listed AS (SELECT file_id, string_agg({block}, chr(10) ORDER BY place) AS blocks, {COUNTS}, {RISK} AS risk
            FROM placed GROUP BY file_id)
-SELECT file_id, {text(head)} || 'f' || file_id || '.c' || {text(chr(10) + "# Chunks Analyzed: 1" + chr(10) + R.WIDE_RULE + chr(10) + chr(10) + "## Summary" + chr(10) + R.NARROW_RULE + chr(10) + "Total Vulnerabilities: ")}
+SELECT file_id, {text(head)} || 'f' || file_id || '.c' || {text(chr(10) + "# Chunks Analyzed: 1" + chr(10) + E.WIDE_RULE + chr(10) + chr(10) + "## Summary" + chr(10) + E.NARROW_RULE + chr(10) + "Total Vulnerabilities: ")}
   || total_vulnerabilities || {text(chr(10) + "Critical: ")} || critical_count || {text(chr(10) + "High:     ")} || high_count
   || {text(chr(10) + "Medium:   ")} || medium_count || {text(chr(10) + "Low:      ")} || low_count
   || {text(chr(10) + "Risk Score: ")} || risk || {text(chr(10) + "Most Common Type: ")} || most_common_type
-  || {text(chr(10) + chr(10) + "## Vulnerabilities Found" + chr(10) + R.NARROW_RULE + chr(10))} || blocks
-  || {text(chr(10) + R.FOOTER_RULE + chr(10) + "Report generated at: 2024-01-01T00:00:00.000000")} AS report
+  || {text(chr(10) + chr(10) + "## Vulnerabilities Found" + chr(10) + E.NARROW_RULE + chr(10))} || blocks
+  || {text(chr(10) + E.FOOTER_RULE + chr(10) + "Report generated at: 2024-01-01T00:00:00.000000")} AS report
 FROM listed JOIN common USING (file_id)"""
 
 
@@ -557,8 +552,8 @@ FROM kept k JOIN near n ON n.file_id = k.file_id AND n.line_no = k.line GROUP BY
 LINE_PATHS = """'f' || file_id || '.' || (['c', 'CPP', 'cc', 'Cxx', 'h', 'hpp', 'txt', 'c.bak'])[file_id % 8 + 1]"""
 CONTEXT_LIST = "[" + ", ".join(text(c) for c in CONTEXTS) + "]"
 PROMPT = (
-    f"{text(MT.PROMPT_OPENING)} || {text(chr(32) + 'from file ' + chr(39))} || doc_id || {text(chr(39))} || {text(MT.PROMPT_MIDDLE)} || text || "
-    f"{text(MT.PROMPT_CLOSING)}"
+    f"{text(E.PROMPT_OPENING)} || {text(chr(32) + 'from file ' + chr(39))} || doc_id || {text(chr(39))} || {text(E.PROMPT_MIDDLE)} || text || "
+    f"{text(E.PROMPT_CLOSING)}"
 )
 SECRET_DOCS = f"""WITH {DOC_LINES},
 ds AS ({document_secrets()}),

@@ -13,7 +13,7 @@ from codesieve.operators import post, report, segment, stats
 from codesieve.operators.scan import line_findings, raw_findings
 from codesieve.operators.segment import with_whole_text
 from codesieve.options import ScanOptions
-from codesieve.plans.corpus_scan import scan_corpus
+from codesieve.plans.corpus_scan import CorpusScan, scan_corpus
 from codesieve.sources.tables import clean_text, source_rows, text_corpus, to_lines
 
 from . import corpora
@@ -56,8 +56,9 @@ def line_raw(spark: SparkSession, sf: str) -> DataFrame:
     return raw_findings(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text)
 
 
-def line_final(spark: SparkSession, sf: str) -> DataFrame:
-    return post.finish_findings(line_raw(spark, sf), WHOLE)
+def line_scan(spark: SparkSession, sf: str) -> CorpusScan:
+    """The whole scan of the line corpus, one row per file."""
+    return scan_corpus(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text)
 
 
 def numbered_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,9 +79,7 @@ def line_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _line_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_corpus(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text).reports(
-        include_fixes=True
-    )
+    return line_scan(spark, sf).reports(include_fixes=True)
 
 
 def _fixed_time():
@@ -247,19 +246,18 @@ def cwe_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
-    return post.deduplicate(line_raw(spark, sf)).select(*RESULT)
+    return line_scan(spark, sf).findings.select(*RESULT)
 
 
 def ranked_findings(spark: SparkSession, sf: str) -> DataFrame:
     """The final list in report order."""
-    final = line_final(spark, sf)
-    return post.ranked(final).select(
+    return post.ranked(line_scan(spark, sf).findings).select(
         *RESULT, "cwe", post.severity_rank(F.col("severity")).alias("severity_rank")
     )
 
 
 def fix_suggest(spark: SparkSession, sf: str) -> DataFrame:
-    return line_final(spark, sf).select("file_id", "line", "type", "description", "suggested_fix")
+    return line_scan(spark, sf).findings.select("file_id", "line", "type", "description", "suggested_fix")
 
 
 def context_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,23 +268,25 @@ def context_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _line_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the files that have findings."""
+    return line_scan(spark, sf).files.where("total_vulnerabilities > 0")
+
+
 def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.severity_counts(line_final(spark, sf))
+    return _line_statistics(spark, sf).select("file_id", *stats.COUNTS)
 
 
 def type_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    per_file = stats.file_statistics(line_final(spark, sf), WHOLE)
-    return per_file.select("file_id", F.explode("vulnerability_types").alias("type", "n"))
+    return _line_statistics(spark, sf).select("file_id", F.explode("vulnerability_types").alias("type", "n"))
 
 
 def most_common_type(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.file_statistics(line_final(spark, sf), WHOLE).select("file_id", "most_common_type")
+    return _line_statistics(spark, sf).select("file_id", "most_common_type")
 
 
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.file_statistics(line_final(spark, sf), WHOLE).select(
-        "file_id", "total_vulnerabilities", "risk_score"
-    )
+    return _line_statistics(spark, sf).select("file_id", "total_vulnerabilities", "risk_score")
 
 
 def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,18 +294,13 @@ def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
     options = ScanOptions(max_chunk_size=None, packs=frozenset({"H"}))
     documents = corpora.listed_documents(spark, sf)
     secrets = {f"H{n}" for n in range(24, 29)}
-    found = raw_findings(documents.where("content IS NOT NULL"), options, secrets, with_whole_text)
-    statistics = stats.file_statistics(post.finish_findings(found, options), options)
-    listed = documents.select("file_id", F.col("content").isNull().alias("failed"))
-    return stats.with_verdict(listed, statistics, F.col("failed")).select(
-        "file_id", "total_vulnerabilities", "verdict"
-    )
+    scan = scan_corpus(documents, options, with_whole_text, only=secrets)
+    return scan.files.select("file_id", "total_vulnerabilities", "verdict")
 
 
 def code_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict of every file of the line corpus, from one pass over the text."""
-    scan = scan_corpus(corpora.line_files(spark, sf), WHOLE, cutter=with_whole_text)
-    return scan.files.select("file_id", "chunks_analyzed", "total_vulnerabilities", "risk_score", "verdict")
+    return line_scan(spark, sf).files.select("file_id", "chunks_analyzed", "total_vulnerabilities", "risk_score", "verdict")
 
 
 def chunk_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +312,7 @@ def corpus_rollup(spark: SparkSession, sf: str) -> DataFrame:
     options = ScanOptions(max_chunk_size=None, packs=frozenset({"H", "X"}))
     keyed = corpora.keyed_documents(spark, sf, "source", "lang")
     rules = {*(f"H{n}" for n in range(24, 29)), "X2"}
-    final = post.deduplicate(raw_findings(keyed, options, rules, with_whole_text))
+    final = scan_corpus(keyed, options, with_whole_text, only=rules).findings
     return stats.corpus_rollup(
         final.select("severity", "file_id.source", "file_id.lang"), "source", "lang", options=options
     )
@@ -327,7 +322,7 @@ def secret_risk_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Token assignments in the documents, weighed and summed by source."""
     options = ScanOptions(max_chunk_size=None, packs=frozenset({"H"}))
     keyed = corpora.keyed_documents(spark, sf, "source")
-    found = post.deduplicate(raw_findings(keyed, options, {"H27"}, with_whole_text))
+    found = scan_corpus(keyed, options, with_whole_text, only={"H27"}).findings
     counts = stats.severity_counts(found.select("severity", F.col("file_id.source").alias("origin")), "origin")
     return counts.select("origin", "high_count", stats.weighted_risk(options.severity_weights).alias("risk_score"))
 
@@ -365,7 +360,7 @@ def scan_with_model(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_code(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: segmentation, all packs, and all post-processing over the code corpus."""
-    return post.finish_findings(raw_findings(corpora.code_files(spark, sf))).select(
+    return scan_corpus(corpora.code_files(spark, sf)).findings.select(
         *RESULT, "chunk_idx", "function_name", "cwe", "suggested_fix"
     )
 
@@ -373,7 +368,7 @@ def scan_code(spark: SparkSession, sf: str) -> DataFrame:
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All packs over the documents as if they were sources, summed by source."""
     keyed = corpora.keyed_documents(spark, sf, "source")
-    final = post.deduplicate(post.drop_false_positives(raw_findings(keyed)))
+    final = scan_corpus(keyed).findings
     return final.groupBy(F.col("file_id.source").alias("origin"), "rule_id", "severity").agg(
         F.count("*").alias("n")
     )
