@@ -23,10 +23,11 @@ def literal(text: str | None) -> str:
 def let(value: str, name: str, body: str) -> str:
     """Evaluate the expression ``value`` once and use it as ``name`` in ``body``.
 
-    A plain projection would not do: the optimizer may inline it into a lambda,
-    where it would be evaluated once per array element.
+    It is the start of a fold over nothing, and ``body`` its last step. A plain projection would not do: the
+    optimizer may inline it into a lambda, where it would be evaluated once per array element. Taking the
+    only element of a transformed array would work out the type of ``body`` for every value.
     """
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"aggregate({NO_INTS}, {value}, (same, none) -> same, {name} -> {body})"
 
 
 def bind(body: str, /, **values: str) -> str:

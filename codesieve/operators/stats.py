@@ -125,3 +125,45 @@ def corpus_rollup(findings: DataFrame, *levels: str, options: ScanOptions = Scan
     """Counts and risk for every prefix of ``levels`` and for the whole corpus."""
     rolled = findings.rollup(*levels).agg(F.grouping_id().cast("int").alias("level"), *_counts())
     return rolled.withColumn("risk_score", weighted_risk(options.severity_weights))
+
+
+def path_levels(path: Column) -> Column:
+    """A path's directories from the top, as array<struct<level, name>>, each with all above it."""
+    parts = F.split(F.regexp_replace(path, "/+", "/"), "/")
+    upto = F.sequence(F.lit(1), F.size(parts) - 1)
+    names = F.when(F.size(parts) > 1, F.transform(upto, lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    return F.transform(
+        F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda name: name != ""),
+        lambda name: F.struct(F.lit("directory").alias("level"), name.alias("name")),
+    )
+
+
+def column_levels(*columns: str) -> Column:
+    """Levels by columns of a file, and the whole corpus."""
+    named = [F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("name")) for c in columns]
+    return F.array(*named, F.struct(F.lit("corpus").alias("level"), F.lit("").alias("name")))
+
+
+def rolled_up(files: DataFrame, levels: Column, weights: dict[str, int] = SEVERITY_WEIGHTS) -> DataFrame:
+    """Statistics of scanned files merged by each level they are in: directories, source, language, corpus.
+
+    ``files`` has a row per file with its statistics, and ``levels`` is an array<struct<level, name>> of it.
+    Counts and histograms are added up by level and type, so a level of all files is summed in every task
+    first. Of equally common types the first by name is the commonest.
+    """
+    counts = [c for c in COUNTS if c != "total_vulnerabilities"]
+    none, types = F.lit(0).cast("long"), F.map_entries("vulnerability_types")
+    own = F.struct(F.lit(None).cast("string").alias("type"), none.alias("n"), F.lit(1).cast("long").alias("files"), *counts)
+    of_types = F.transform(types, lambda e: F.struct(
+        e["key"].alias("type"), e["value"].alias("n"), none.alias("files"), *[none.alias(c) for c in counts]
+    ))
+    entries = files.select(F.explode(levels).alias("at"), F.concat(F.array(own), of_types).alias("entries"))
+    rows = entries.select("at.level", "at.name", F.explode("entries").alias("e")).select("level", "name", "e.*")
+    by_type = rows.groupBy("level", "name", "type").agg(*[F.sum(c).alias(c) for c in ("n", "files", *counts)])
+    histogram = F.sort_array(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "n"))))
+    merged = by_type.groupBy("level", "name").agg(
+        *[F.sum(c).alias(c) for c in ("files", *counts)], F.map_from_entries(histogram).alias("vulnerability_types"),
+        F.coalesce(F.min_by("type", F.when(F.col("type").isNotNull(), F.struct((-F.col("n")).alias("n"), "type"))), F.lit("")).alias("most_common_type"),
+    )
+    total = sum((F.col(c) for c in counts), F.lit(0))
+    return merged.withColumn("total_vulnerabilities", total.cast("long")).withColumn("risk_score", weighted_risk(weights))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .listing import list_files, read_files
+
 # Extensions of C and C++ sources, any case.
 SOURCE_EXTENSIONS = ("c", "cpp", "cc", "cxx", "h", "hpp")
 REPLACEMENT = "�"
@@ -23,19 +23,12 @@ def clean_text(raw: Column) -> Column:
 
 
 def read_source_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Source files below ``path``; other files are filtered out by their extension.
+    """Source files below ``path``, empty ones too; other files are left out by their extension, unread.
 
-    Spark makes no split for a file without bytes, so empty files come from its list of files. For
-    repeated scans of many small files write the result to parquet once and use ``text_corpus`` on it.
+    For repeated scans of many small files write the result to parquet once and use ``text_corpus`` on it.
     """
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    )
-    listed = spark.createDataFrame([(unquote(name),) for name in raw.inputFiles()], "path string")
-    plain = F.regexp_replace("path", "^(\\w+):/*", "$1:/")
-    empty = listed.select(plain.alias("path")).join(raw.select(plain.alias("path")), "path", "left_anti")
-    files = raw.select("path", "content").union(empty.select("path", F.lit(b"").alias("content")))
-    return files.where(is_source_path(F.col("path"))).select(
+    listed = list_files(spark, path, recursive).where(is_source_path(F.col("path")))
+    return read_files(listed, path).select(
         F.col("path").alias("file_id"), "path", clean_text(F.col("content")).alias("content")
     )
 
@@ -50,14 +43,16 @@ def text_corpus(table: DataFrame, id_column: str, text_column: str, path: Column
     )
 
 
-def spread(texts: DataFrame, partitions: int | None = None) -> DataFrame:
+def spread(texts: DataFrame, partitions: int | None = None, always: bool = False) -> DataFrame:
     """Texts dealt by ``file_id`` over a fixed number of tasks, by default the shuffle partitions.
 
-    For corpora in few files or row groups: scanning costs far more than moving the text once. A
-    corpus in many files needs no spreading.
+    For corpora in few files or row groups: scanning costs far more than moving the text once. Where the
+    scan has as many splits as the cluster has cores, no text is moved, unless ``always`` is set.
     """
-    number = partitions or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(number, "file_id")
+    spark = texts.sparkSession
+    if not always and texts.rdd.getNumPartitions() >= (partitions or spark.sparkContext.defaultParallelism):
+        return texts
+    return texts.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
 
 def source_rows(files: DataFrame) -> DataFrame:

@@ -92,9 +92,12 @@ def skeleton_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _joined(lines: DataFrame) -> DataFrame:
-    """Files of 40 lines each; event ids are unique and dense, so no file is larger."""
+    """Files of 40 lines each; event ids are unique and dense, so no file is larger.
+
+    The files are dealt over a fixed number of tasks, as scanning a text costs far more than building it.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("file_id").agg(ordered.alias("x")).select(
+    return spread(lines, always=True).groupBy("file_id").agg(ordered.alias("x")).select(
         "file_id",
         F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".c")).alias("path"),
         F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("content"),

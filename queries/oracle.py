@@ -559,6 +559,25 @@ SECRET_DOCS = f"""WITH {DOC_LINES},
 ds AS ({document_secrets()}),
 dx AS ({document_x2()})"""
 
+DIRECTORY_ROLLUP = f"""{FINAL},
+fl AS (SELECT DISTINCT file_id FROM cl),
+lv AS (
+  SELECT file_id, 'directory' AS level, '/src' AS name FROM fl
+  UNION ALL SELECT file_id, 'directory', '/src/d' || (file_id % 5) FROM fl
+  UNION ALL SELECT file_id, 'directory', '/src/d' || (file_id % 5) || '/e' || (file_id % 3) FROM fl
+  UNION ALL SELECT file_id, 'ending', (['c', 'CPP', 'cc', 'Cxx', 'h', 'hpp', 'txt', 'bak'])[file_id % 8 + 1] FROM fl
+  UNION ALL SELECT file_id, 'corpus', '' FROM fl),
+ct AS (SELECT level, name, {COUNTS}, {RISK} AS risk_score FROM lv JOIN final USING (file_id) GROUP BY ALL),
+ty AS (SELECT level, name, type, count(*) AS n FROM lv JOIN final USING (file_id) GROUP BY ALL),
+hi AS (SELECT level, name, string_agg(type || ':' || n, ',' ORDER BY type) AS vulnerability_types,
+         arg_min(type, (-n, type)) AS most_common_type FROM ty GROUP BY ALL),
+nf AS (SELECT level, name, count(*) AS files FROM lv GROUP BY ALL)
+SELECT level, name, files, coalesce(total_vulnerabilities, 0) AS total_vulnerabilities, coalesce(critical_count, 0) AS critical_count,
+  coalesce(high_count, 0) AS high_count, coalesce(medium_count, 0) AS medium_count, coalesce(low_count, 0) AS low_count,
+  coalesce(risk_score, 0) AS risk_score, coalesce(vulnerability_types, '') AS vulnerability_types,
+  coalesce(most_common_type, '') AS most_common_type
+FROM nf LEFT JOIN ct USING (level, name) LEFT JOIN hi USING (level, name)"""
+
 
 def oracle_sql() -> dict[str, str]:
     heuristic_calls = [f"H{n}" for n in range(1, 9)]
@@ -687,6 +706,12 @@ def oracle_sql() -> dict[str, str]:
         "source_text": f"""SELECT doc_id AS file_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest
             FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE
               regexp_replace(replace(text, chr(65533), ''), '\\r\\n?', {NL}, 'g') END AS t FROM documents)""",
+        "source_files": f"""SELECT (doc_id % 7) || '/' || (doc_id % 3) || '/' || doc_id || '.' || (['c', 'H', 'cpp'])[doc_id % 4 + 1] AS name,
+              CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest
+            FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE
+              regexp_replace(replace(text, chr(65533), ''), '\\r\\n?', {NL}, 'g') END AS t FROM documents) WHERE doc_id % 4 < 3""",
+        "report_sink": text_report_sql(),
+        "directory_rollup": DIRECTORY_ROLLUP,
         "scan_code": scan_sql(),
         "scan_with_model": model_scan_sql(),
         "scan_documents": scan_documents_sql(),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,9 @@ from codesieve.operators.scan import line_findings, raw_findings
 from codesieve.operators.segment import with_whole_text
 from codesieve.options import ScanOptions
 from codesieve.plans.corpus_scan import CorpusScan, scan_corpus
-from codesieve.sources.tables import clean_text, source_rows, text_corpus, to_lines
+from codesieve.sources import sinks
+from codesieve.sources.listing import write_files
+from codesieve.sources.tables import clean_text, read_source_files, source_rows, text_corpus, to_lines
 
 from . import corpora
 
@@ -340,6 +344,44 @@ def source_text(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("file_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and tasks share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
+    return f"{shared}/{name}-{uuid4().hex}"
+
+
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files in nested folders, a few of them empty or no sources, then listed and read."""
+    folder = _shared_folder(spark, "sources")
+    endings = F.array(*[F.lit(e) for e in ("c", "H", "cpp", "txt")])
+    place = F.concat_ws("/", (F.col("file_id") % 7).cast("string"), (F.col("file_id") % 3).cast("string"), F.col("file_id").cast("string"))
+    name = F.concat(place, F.lit("."), F.get(endings, (F.col("file_id") % 4).cast("int")))
+    write_files(corpora.source_bytes(spark, sf).select(name.alias("name"), "raw"), folder)
+    read = read_source_files(spark, folder)
+    return read.select(
+        F.regexp_extract("path", "([0-9]+/[0-9]+/[^/]*)$", 1).alias("name"), F.length("content").alias("n_chars"), F.md5("content").alias("digest")
+    )
+
+
+def report_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Text reports of the line corpus, written with their keys and read back."""
+    folder = _shared_folder(spark, "reports")
+    sinks.write_reports(text_report(spark, sf), folder)
+    return sinks.read_reports(spark, folder).select(F.col("file_id").cast("long").alias("file_id"), "report")
+
+
+def directory_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the line corpus by directory, by the kind of file, and for the whole corpus."""
+    place = F.concat(F.lit("/src/d"), (F.col("file_id") % 5).cast("string"), F.lit("/e"), (F.col("file_id") % 3).cast("string"), F.lit("/"), "path")
+    nested = numbered_files(spark, sf).withColumn("path", place)
+    files = scan_corpus(nested, WHOLE, with_whole_text).files.withColumn("ending", F.substring_index("path", ".", -1))
+    levels = F.concat(stats.path_levels(F.col("path")), stats.column_levels("ending"))
+    histogram = F.array_join(F.transform(
+        F.array_sort(F.map_entries("vulnerability_types")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))
+    ), ",")
+    return stats.rolled_up(files, levels).withColumn("vulnerability_types", histogram)
+
+
 def scan_with_model(spark: SparkSession, sf: str) -> DataFrame:
     """The whole scan with a stand-in model in place of pack M; it fails on chunks with ``popen``."""
 
@@ -376,6 +418,9 @@ def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "source_text": source_text,
+    "source_files": source_files,
+    "report_sink": report_sink,
+    "directory_rollup": directory_rollup,
     "source_filter": source_filter,
     "line_split": line_split,
     "json_report": json_report,

@@ -168,3 +168,17 @@ def test_sample_risk_score(spark):
     found = spark.createDataFrame([("CRITICAL",), ("HIGH",), ("MEDIUM",)], "severity string")
     counts = stats.severity_counts(found.withColumn("file_id", F.lit(1)))
     assert counts.select(stats.weighted_risk(ScanOptions().severity_weights)).first()[0] == 21
+
+
+def test_levels_of_paths_and_merged_statistics(spark, files):
+    paths = spark.createDataFrame([("/a/b/c.c",), ("x.c",), ("d//e.c",), (None,)], "path string")
+    found = [[x.name for x in r[0]] for r in paths.select(stats.path_levels(F.col("path"))).collect()]
+    assert found == [["/a", "/a/b"], [], ["d"], []]
+    scanned = scan_corpus(files(BAD, CLEAN, LOW)).files
+    rolled = {(r.level, r.name): r for r in stats.rolled_up(scanned, F.concat(stats.path_levels(F.col("path")), stats.column_levels())).collect()}
+    assert set(rolled) == {("directory", "src"), ("corpus", "")}
+    for row in rolled.values():
+        assert row.files == 3 and row.total_vulnerabilities == sum(row.vulnerability_types.values())
+        assert row.total_vulnerabilities == scanned.agg(F.sum("total_vulnerabilities")).first()[0]
+        best = max(row.vulnerability_types.values())
+        assert row.most_common_type == min(t for t, n in row.vulnerability_types.items() if n == best)

@@ -4,7 +4,7 @@ import os
 from codesieve.operators import report
 from codesieve.operators.scan import raw_findings
 from codesieve.plans.corpus_scan import scan_corpus
-from codesieve.sources import sinks, tables
+from codesieve.sources import listing, sinks, tables
 
 
 def test_source_files_are_cleaned(spark, fresh_dir):
@@ -50,15 +50,36 @@ def test_empty_files_are_rows(spark, fresh_dir):
     assert [r.verdict for r in verdicts] == [0, 0]
 
 
+def test_folders_are_walked_by_tasks(spark, fresh_dir):
+    names = {f"a{n % 5}/b{n % 3}/c{n % 2}/f{n}.c" for n in range(60)} | {"top.c", "a0/mid.c", "a0/b0/skip.txt"}
+    for name in names:
+        os.makedirs(os.path.dirname(f"{fresh_dir}/{name}"), exist_ok=True)
+        with open(f"{fresh_dir}/{name}", "w") as out:
+            out.write(name)
+    for enough in (1, 4, 1000):
+        folders, root = listing._folders(fresh_dir, enough)
+        assert root == fresh_dir and len(set(folders)) == len(folders)
+        assert sum(deep for _, deep in folders) >= min(enough, 1) or enough == 1000
+    found = listing.list_files(spark, fresh_dir).collect()
+    assert sorted(r.path.removeprefix(f"{fresh_dir}/") for r in found) == sorted(names)
+    assert [r.path for r in listing.list_files(spark, f"file://{fresh_dir}", recursive=False).collect()] == [f"{fresh_dir}/top.c"]
+    read = {r.path.removeprefix(f"{fresh_dir}/"): r.content for r in tables.read_source_files(spark, fresh_dir).collect()}
+    assert read == {n: n for n in names if n.endswith(".c")}
+
+
+def test_an_empty_folder_has_no_files(spark, fresh_dir):
+    assert tables.read_source_files(spark, fresh_dir).count() == 0
+
+
 def test_sinks(spark, files, fresh_dir):
     scan = scan_corpus(files("gets(a);", "int x;"))
     nested = scan.reports()
     sinks.write_findings(scan.findings, f"{fresh_dir}/findings")
     sinks.write_reports(report.json_reports(nested), f"{fresh_dir}/json")
-    sinks.write_reports(report.text_reports(nested), f"{fresh_dir}/text")
+    sinks.write_reports(report.text_reports(nested), f"{fresh_dir}/text", buckets=2)
     assert spark.read.parquet(f"{fresh_dir}/findings").count() == scan.findings.count()
-    documents = [r.value for r in spark.read.option("multiLine", True).text(f"{fresh_dir}/json", lineSep="\n}\n").collect()]
-    parsed = [json.loads(x + "\n}") for x in documents]
-    assert sorted(x["metadata"]["filename"] for x in parsed) == ["src/0.c", "src/1.c"]
-    assert all(set(x) == {"metadata", "statistics", "vulnerabilities"} for x in parsed)
-    assert spark.read.text(f"{fresh_dir}/text").where("value like '# File:%'").count() == 2
+    parsed = {r.file_id: json.loads(r.report) for r in sinks.read_reports(spark, f"{fresh_dir}/json").collect()}
+    assert {k: x["metadata"]["filename"] for k, x in parsed.items()} == {"0": "src/0.c", "1": "src/1.c"}
+    assert all(set(x) == {"metadata", "statistics", "vulnerabilities"} for x in parsed.values())
+    assert "# File: src/1.c\n" in sinks.read_report(spark, f"{fresh_dir}/text", 1)
+    assert sinks.read_report(spark, f"{fresh_dir}/text", 7) is None
