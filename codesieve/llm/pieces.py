@@ -9,7 +9,11 @@ next to characters that might be white space outside ASCII are left inside a pie
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import sys
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from types import ModuleType
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +23,29 @@ BLANK = 32
 DOUBTFUL_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
+# Bytes of pieces encoded as one text.
+JOINED = 1 << 14
+# Pieces whose tokens a worker remembers; others are encoded again.
+KNOWN = 1 << 18
+Encode = Callable[[str], list[int]]
+Made = TypeVar("Made")
+
+
+def once_per_worker(key: str, make: Callable[[], Made]) -> Made:
+    """One value for all tasks of a worker process; functions of this package come anew with every task."""
+    held = sys.modules.setdefault("__codesieve_worker__", ModuleType("__codesieve_worker__")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 @dataclass(frozen=True)
 class Pieces:
     """``code`` of each piece in order, the number of pieces of each text, and the different pieces."""
 
     code: np.ndarray
     per_text: np.ndarray
-    different: list[bytes]
+    different: pa.LargeBinaryArray
 
     @property
     def text(self) -> np.ndarray:
@@ -33,7 +53,7 @@ class Pieces:
         return np.repeat(np.arange(len(self.per_text)), self.per_text)
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of large binary texts and the bounds of each in them."""
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -43,34 +63,43 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _plain(x: np.ndarray) -> np.ndarray:
+    """Characters of one byte that are no white space."""
+    return (x > BLANK) & (x < 127)
+
+
+def _ends_plain(last: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether a character that is no white space ends here: of one byte, or of two that begin with no doubtful one."""
+    return _plain(last) | ((last >= 128) & (second > DOUBTFUL_LEADS[0]) & (second < 0xE0))
+
+
+def _starts_plain(x: np.ndarray) -> np.ndarray:
+    return _plain(x) | ((x >= 0xC0) & ~np.isin(x, DOUBTFUL_LEADS))
+
+
 def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Places of single blanks at which a text may be cut."""
-    at = np.flatnonzero(data == BLANK)
-    inner = np.ones(len(data) + 1, bool)
-    inner[bounds[:-1]] = False
-    inner[bounds[1:] - 1] = False
-    at = at[inner[at]]
-    before, after, second = data[at - 1], data[at + 1], data[np.maximum(at - 2, 0)]
-    plain = lambda x: (x > BLANK) & (x < 127)
-    # A character of two bytes that is no white space, as it does not start with a doubtful byte.
-    two = (before >= 128) & (second > DOUBTFUL_LEADS[0]) & (second < 0xE0)
-    later = (after >= 0xC0) & ~np.isin(after, DOUBTFUL_LEADS)
-    return at[(plain(before) | two) & (plain(after) | later)]
+    inner = data == BLANK
+    inner[bounds[:-1][bounds[:-1] < len(data)]] = False
+    inner[bounds[1:][bounds[1:] > 0] - 1] = False
+    at = np.flatnonzero(inner)
+    return at[_ends_plain(data[at - 1], data[np.maximum(at - 2, 0)]) & _starts_plain(data[at + 1])]
 
 
 def cut(texts: pa.Array) -> Pieces:
     """Pieces of large binary texts without nulls; an empty text has none."""
-    data, bounds = _bytes(texts)
-    starts = np.union1d(bounds[:-1][np.diff(bounds) > 0], _cuts(data, bounds)).astype(np.int64)
+    data, bounds = bytes_of(texts)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[bounds] = True
+    begins[_cuts(data, bounds)] = True
+    starts = np.flatnonzero(begins[: len(data)])
     offsets = np.append(starts, len(data)).astype(np.int64)
-    if not len(starts):
-        return Pieces(np.zeros(0, np.int64), np.zeros(len(texts), np.int64), [])
     whole = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data))]
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
     )
     coded = whole.dictionary_encode()
     per_text = np.diff(np.searchsorted(starts, bounds))
-    return Pieces(coded.indices.to_numpy().astype(np.int64), per_text, coded.dictionary.to_pylist())
+    return Pieces(coded.indices.to_numpy(), per_text, coded.dictionary)
 
 
 def flat_take(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -91,7 +120,7 @@ def sums_of(numbers: np.ndarray, per_text: np.ndarray) -> np.ndarray:
 
 
 def byte_tokenizer(path: str, plain_specials: bool):
-    """A tokenizer of the tokenizers library; with ``plain_specials`` special tokens in texts are ordinary text."""
+    """A tokenizer of the tokenizers library; with ``plain_specials`` special tokens in texts are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -100,7 +129,98 @@ def byte_tokenizer(path: str, plain_specials: bool):
     return tokenizer
 
 
-def byte_tokens(tokenizer, pieces: list[bytes]) -> list[list[int]]:
-    """Token ids of each piece; bytes that are no UTF-8 become replacement characters."""
-    texts = [p.decode("utf-8", "replace") for p in pieces]
-    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def byte_encode(tokenizer) -> Encode:
+    return lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def token_sizes(tokenizer) -> np.ndarray:
+    """Bytes of each token of a byte-level vocabulary, whose letters stand for one byte each."""
+    special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+    sizes = {i: special.get(i, len(entry)) for entry, i in tokenizer.get_vocab().items()}
+    table = np.zeros(max(sizes) + 1, np.int64)
+    table[list(sizes)] = list(sizes.values())
+    return table
+
+
+def _one_by_one(encode: Encode, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of each piece); bytes that are no UTF-8 become replacement characters."""
+    ids = [encode(p.decode("utf-8", "replace")) for p in pieces.to_pylist()]
+    counts = np.array([len(x) for x in ids], np.int64)
+    return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts
+
+
+def _joined(encode: Encode, sizes: np.ndarray, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pieces that may follow each other in a text, many at a time.
+
+    The bytes of the tokens say which of them belong to which piece. Where they do not, a text's pieces are
+    encoded one by one.
+    """
+    data, bounds = bytes_of(pieces)
+    edges = np.unique(np.append(np.searchsorted(bounds, np.arange(0, len(data), JOINED)), len(bounds) - 1))
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        try:
+            ids = np.array(encode(data[bounds[lo] : bounds[hi]].tobytes().decode()), np.int32)
+        except UnicodeDecodeError:
+            ids = np.zeros(0, np.int32)
+        ends = np.concatenate(([0], np.cumsum(sizes[ids])))
+        own = bounds[lo : hi + 1] - bounds[lo]
+        at = np.minimum(np.searchsorted(ends, own), len(ends) - 1)
+        fits = np.array_equal(ends[at], own) and at[-1] == len(ids)
+        found.append((ids, np.diff(at)) if fits else _one_by_one(encode, pieces.slice(lo, hi - lo)))
+    ids, counts = (np.concatenate(x) for x in zip(*found))
+    return ids, counts
+
+
+def piece_tokens(encode: Encode, sizes: np.ndarray, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces, one after the other, and how many each has; ``sizes`` has the bytes of each id."""
+    data, bounds = bytes_of(pieces)
+    if not len(pieces):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    first, last = bounds[:-1], bounds[1:] - 1
+    near = lambda x: data[np.minimum(np.maximum(x, 0), len(data) - 1)]
+    regular = (last > first) & (near(first) == BLANK) & _starts_plain(near(first + 1)) & _ends_plain(near(last), near(last - 1))
+    ids, counts = (
+        np.concatenate(x) for x in zip(
+            _joined(encode, sizes, pieces.filter(pa.array(regular))), _one_by_one(encode, pieces.filter(pa.array(~regular)))
+        )
+    )
+    place = np.empty(len(pieces), np.int64)
+    place[regular], place[~regular] = np.arange(regular.sum()), regular.sum() + np.arange((~regular).sum())
+    return flat_take(ids, np.cumsum(counts), place), counts[place]
+
+
+@dataclass
+class Encoder:
+    """An encoding, the bytes of its ids, and the tokens of the first pieces it met, of a bounded number."""
+
+    encode: Encode
+    sizes: np.ndarray
+    place: dict[bytes, int] = field(default_factory=dict)
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def tokens(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pieces, one after the other, and how many each has."""
+        names = pieces.to_pylist()
+        at = np.fromiter((self.place.get(name, -1) for name in names), np.int64, len(names))
+        fresh = np.flatnonzero(at < 0)
+        ids, counts = piece_tokens(self.encode, self.sizes, pieces.take(pa.array(fresh)))
+        at[fresh] = len(self.ends) + np.arange(len(fresh))
+        flat, ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, len(self.ids) + np.cumsum(counts)))
+        kept = max(0, min(len(fresh), KNOWN - len(self.ends)))
+        if kept:
+            self.place.update((names[k], len(self.ends) + n) for n, k in enumerate(fresh[:kept].tolist()))
+            self.ends = ends[: len(self.ends) + kept].copy()
+            self.ids = flat[: self.ends[-1]].copy()
+        return flat_take(flat, ends, at), np.diff(ends, prepend=0)[at]
+
+
+def byte_encoder(path: str, plain_specials: bool) -> Encoder:
+    """The encoder of a byte-level vocabulary, kept by the worker."""
+
+    def make() -> Encoder:
+        tokenizer = byte_tokenizer(path, plain_specials)
+        return Encoder(byte_encode(tokenizer), token_sizes(tokenizer))
+
+    return once_per_worker(f"{path} {plain_specials}", make)

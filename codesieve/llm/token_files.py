@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import ROW, new_path, with_row_key
-from .pieces import byte_tokenizer, byte_tokens, cut, flat_take, sums_of
+from .pieces import byte_encoder, cut, flat_take, sums_of
 from .words import slices
 
 END_ID = 2
@@ -38,14 +38,12 @@ def _encoder(tokenizer_path: str, end_id: int, schema: pa.Schema):
     """Arrow batches of (doc_id, text, meta) in order to rows of a token file."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, at = byte_tokenizer(tokenizer_path, False), TaskContext.get().partitionId(), 0
+        encoder, part, at = byte_encoder(tokenizer_path, False), TaskContext.get().partitionId(), 0
         for batch in (piece for whole in batches for piece in slices(whole, 1)):
             pieces = cut(batch.column(1).cast(pa.large_binary()))
-            ids = byte_tokens(tokenizer, pieces.different)
-            sizes = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-            body = flat_take(flat, np.cumsum(sizes), pieces.code)
-            counts = sums_of(sizes[pieces.code], pieces.per_text)
+            flat, per_piece = encoder.tokens(pieces.different)
+            body = flat_take(flat, np.cumsum(per_piece), pieces.code)
+            counts = sums_of(per_piece[pieces.code], pieces.per_text)
             ended = np.insert(body, np.cumsum(counts), end_id).astype(np.int32)
             ends = np.cumsum(counts + 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ended))

@@ -23,8 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
 
@@ -39,13 +39,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import write_table
-from .pieces import Pieces, byte_tokenizer, byte_tokens, cut, flat_take, sums_of
+from .pieces import Encode, Encoder, Pieces, byte_encode, byte_tokenizer, bytes_of, cut, flat_take, once_per_worker, sums_of
 from .words import slices
 
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 RADICES = 128
 FAN_IN = 256
 SIDE = 32
+# Links up to which a group's pairs are listed before equal ones are added up.
+SMALL_GROUP = 64
 # How a piece vocabulary writes a blank, and a single byte.
 PIECE_BLANK = "▁"
 
@@ -68,60 +70,113 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(PIECE_BLANK, " ").encode()
 
 
-def groups_of(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Tokens of both sides between places where both end; the sizes of both sides have one sum."""
-    groups, left, right, i, j = [], [], [], 0, 0
-    at_a = at_b = 0
-    while i < len(a) or j < len(b):
-        if at_a <= at_b and i < len(a):
-            at_a += a_sizes[i]
-            left.append(a[i])
-            i += 1
-        else:
-            at_b += b_sizes[j]
-            right.append(b[j])
-            j += 1
-        if at_a == at_b:
-            groups.append((left, right))
-            left, right = [], []
-    return groups
-
-
-class Aligner:
-    """Both tokenizers, and the alignment of one piece: text of its groups, numbers, and linked pairs.
-
-    Special tokens in texts are plain text. Side B adds the blank that every piece starts with.
+@dataclass(frozen=True)
+class Side:
+    """One tokenizer, and the bytes of each id, one after the other."""
+
+    encoder: Encoder
+    data: np.ndarray
+
+    @classmethod
+    def of(cls, encode: Encode, tokens: list[bytes]) -> "Side":
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        return cls(Encoder(encode, sizes), np.frombuffer(b"".join(tokens), np.uint8))
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self.encoder.sizes
+
+    def tokens(self, pieces: pa.LargeBinaryArray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number per piece, pieces whose tokens give back their bytes)."""
+        ids, counts = self.encoder.tokens(pieces)
+        good = sums_of(self.sizes[ids], counts) == np.diff(bounds)
+        place = np.flatnonzero(good)
+        shown = flat_take(self.data, np.cumsum(self.sizes), flat_take(ids, np.cumsum(counts), place))
+        wrong = np.flatnonzero(shown != flat_take(data, bounds[1:], place))
+        good[place[np.searchsorted(np.cumsum(np.diff(bounds)[place]), wrong, "right")]] = False
+        return ids, counts, good
+
+
+def both_sides(a_path: str, b_path: str) -> tuple[Side, Side]:
+    """Side A by a byte-level vocabulary, side B by a piece vocabulary, which adds the blank a text starts with.
+
+    Special tokens in texts are plain text; as tokens they have no bytes.
     """
+    from sentencepiece import SentencePieceProcessor
+
+    a, b = byte_tokenizer(a_path, True), SentencePieceProcessor(model_file=b_path)
+    letters = byte_letters()
+    by_id = {i: letter_bytes(entry, letters) or b"" for entry, i in a.get_vocab().items()}
+    return (
+        Side.of(byte_encode(a), [by_id.get(i, b"") for i in range(max(by_id) + 1)]),
+        Side.of(lambda text: b.encode(text[1:]), [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]),
+    )
+
 
-    def __init__(self, a_path: str, b_path: str) -> None:
-        from sentencepiece import SentencePieceProcessor
-
-        self.a = byte_tokenizer(a_path, True)
-        self.b = SentencePieceProcessor(model_file=b_path)
-        letters = byte_letters()
-        by_id = {i: letter_bytes(entry, letters) for entry, i in self.a.get_vocab().items()}
-        self.a_bytes = [by_id.get(i) for i in range(max(by_id) + 1)]
-        self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-
-    def align(self, pieces: list[bytes]) -> list[tuple | None]:
-        """Per piece (groups as text, n_a, n_b, n_groups, n_links, pairs with numbers), None if bytes differ."""
-        texts = [p[1:].decode("utf-8", "replace") for p in pieces]
-        found: list[tuple | None] = []
-        for piece, a, b in zip(pieces, byte_tokens(self.a, pieces), self.b.encode(texts, num_threads=1), strict=True):
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if None in a_bytes or b"".join(a_bytes) != piece or b"".join(b_bytes) != piece:
-                found.append(None)
-                continue
-            groups = groups_of(a, b, list(map(len, a_bytes)), list(map(len, b_bytes)))
-            pairs: Counter[int] = Counter()
-            for left, right in groups:
-                rights = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, m in rights.items():
-                        pairs[x << SIDE | y] += n * m
-            shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            found.append((shown, len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), pairs))
-        return found
+@dataclass(frozen=True)
+class Alignment:
+    """Per piece: text of its groups, (n_a, n_b, n_groups, n_links), and its linked pairs with their links."""
+
+    good: np.ndarray
+    shown: pa.Array
+    numbers: np.ndarray
+    pair_ends: np.ndarray
+    pair_keys: np.ndarray
+    pair_links: np.ndarray
+
+
+def _linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
+    """(group, key, links) of the pairs in all groups; equal pairs of small groups may come more than once."""
+    per_a, per_b = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
+    start_a, start_b = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
+    small = per_a * per_b <= SMALL_GROUP
+    left = np.flatnonzero(small[of_a])
+    times = per_b[of_a[left]]
+    group = np.repeat(of_a[left], times)
+    right = start_b[group] + np.arange(len(group)) - np.repeat(np.cumsum(times) - times, times)
+    found = [(group, np.repeat(a[left], times).astype(np.int64) << SIDE | b[right], np.ones(len(group), np.int64))]
+    # In a large group equal tokens are counted first, so its pairs are different ones.
+    for g in np.flatnonzero(~small).tolist():
+        x, n = np.unique(a[start_a[g] : start_a[g] + per_a[g]], return_counts=True)
+        y, m = np.unique(b[start_b[g] : start_b[g] + per_b[g]], return_counts=True)
+        keys = (x.astype(np.int64)[:, None] << SIDE | y[None, :]).ravel()
+        found.append((np.full(len(keys), g), keys, (n[:, None] * m[None, :]).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def align(sides: tuple[Side, Side], pieces: pa.LargeBinaryArray) -> Alignment:
+    """All pieces at once: groups end at bytes where tokens of both sides end."""
+    data, bounds = bytes_of(pieces)
+    (a, n_a, good_a), (b, n_b, good_b) = (side.tokens(pieces, data, bounds) for side in sides)
+    good = good_a & good_b
+    kept = np.flatnonzero(good)
+    a, b = flat_take(a, np.cumsum(n_a), kept), flat_take(b, np.cumsum(n_b), kept)
+    n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+    a_ends, b_ends = np.cumsum(sides[0].sizes[a]), np.cumsum(sides[1].sizes[b])
+    ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    of_a, of_b = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+    of_piece = kept[np.searchsorted(np.cumsum(np.diff(bounds)[kept]), ends)]
+    per_a, per_b = np.bincount(of_a, minlength=len(ends)), np.bincount(of_b, minlength=len(ends))
+    n_groups = np.bincount(of_piece, minlength=len(pieces))
+    n_links = np.zeros(len(pieces), np.int64)
+    np.add.at(n_links, of_piece, per_a * per_b)
+
+    def joined(parts: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, parts), by)
+
+    texts = [joined(pa.array(ids).cast(pa.string()), sizes, ",") for ids, sizes in ((a, per_a), (b, per_b))]
+    shown = joined(pc.binary_join_element_wise(*texts, "|"), n_groups, ";")
+    group, keys, links = _linked(a, b, of_a, of_b, len(ends))
+    piece = of_piece[group]
+    order = np.lexsort((keys, piece))
+    piece, keys, links = piece[order], keys[order], links[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (piece[1:] != piece[:-1]) | (keys[1:] != keys[:-1])
+    starts = np.flatnonzero(first)
+    summed = np.add.reduceat(links, starts) if len(starts) else links
+    pair_ends = np.searchsorted(piece[starts], np.arange(len(pieces)), "right")
+    return Alignment(good, shown, np.stack([n_a, n_b, n_groups, n_links], 1), pair_ends, keys[starts], summed)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -140,25 +195,23 @@ def _radix(keys: np.ndarray) -> np.ndarray:
     return ((keys >> SIDE) * 0x9E3779B1 >> 7) % RADICES
 
 
-def _run_records(pieces: Pieces, aligned: list[tuple | None], good: np.ndarray) -> tuple[np.ndarray, ...]:
+def _run_records(pieces: Pieces, found: Alignment, good: np.ndarray) -> tuple[np.ndarray, ...]:
     """(pair keys by radix, documents of each, and records: document, place of the pair, links)."""
-    kept = good[pieces.text]
-    both = pieces.text[kept] * max(len(aligned), 1) + pieces.code[kept]
-    seen, times = np.unique(both, return_counts=True)
-    text, code = seen // max(len(aligned), 1), seen % max(len(aligned), 1)
-    pairs = [list(x[5].items()) if x else [] for x in aligned]
-    sizes = np.array([len(p) for p in pairs], np.int64)
-    flat = np.array([kn for p in pairs for kn in p], np.int64).reshape(-1, 2)
-    ends = np.cumsum(sizes)
-    keys, links = flat_take(flat[:, 0], ends, code), flat_take(flat[:, 1], ends, code) * np.repeat(times, sizes[code])
-    texts = np.repeat(text, sizes[code])
+    width = max(len(pieces.different), 1)
+    seen, times = np.unique(pieces.text * width + pieces.code, return_counts=True)
+    text, code = seen // width, seen % width
+    text, code, times = (x[good[text]] for x in (text, code, times))
+    per_piece = np.diff(found.pair_ends, prepend=0)[code]
+    keys = flat_take(found.pair_keys, found.pair_ends, code)
+    links = flat_take(found.pair_links, found.pair_ends, code) * np.repeat(times, per_piece)
     different, place = np.unique(keys, return_inverse=True)
     by_radix = np.lexsort((different, _radix(different)))
     rank = np.empty(len(by_radix), np.int64)
     rank[by_radix] = np.arange(len(by_radix))
     # One record per document and pair, in the order of the pairs.
-    record, at = np.unique(rank[place] * max(len(good), 1) + texts, return_inverse=True)
-    total = np.bincount(at, links, len(record)).astype(np.int64)
+    record, at = np.unique(rank[place] * max(len(good), 1) + np.repeat(text, per_piece), return_inverse=True)
+    total = np.zeros(len(record), np.int64)
+    np.add.at(total, at, links)
     documents, where = record % max(len(good), 1), record // max(len(good), 1)
     return different[by_radix], np.bincount(where, minlength=len(different)), documents, where, total
 
@@ -167,22 +220,21 @@ def _spiller(a_path: str, b_path: str, schema: pa.Schema):
     """Documents (doc_id, text) to runs: a row with documents and records, and a row per radix with counts."""
 
     def spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, run = Aligner(a_path, b_path), TaskContext.get().partitionId() << 24
+        sides = once_per_worker(f"{a_path} {b_path}", lambda: both_sides(a_path, b_path))
+        run = TaskContext.get().partitionId() << 24
         for batch in (piece for whole in batches for piece in slices(whole, 1, RUN_BYTES)):
             texts = batch.column(1).cast(pa.large_binary())
             lengths = pc.binary_length(texts).to_numpy()
             led = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), texts, pa.scalar(b"", pa.large_binary()))
             pieces = cut(led)
-            aligned = aligner.align(pieces.different)
-            fine = np.array([x is not None for x in aligned], bool)
-            good = (lengths > 0) & (sums_of((~fine[pieces.code]).astype(np.int64), pieces.per_text) == 0)
-            numbers = np.array([x[1:5] if x else (0, 0, 0, 0) for x in aligned], np.int64).reshape(-1, 4)
-            per_text = [np.where(good, sums_of(numbers[pieces.code, k], pieces.per_text), 0) for k in range(4)]
-            shown = pa.array([x[0] if x else "" for x in aligned], pa.string()).take(pa.array(pieces.code))
+            found = align(sides, pieces.different)
+            good = (lengths > 0) & (sums_of((~found.good[pieces.code]).astype(np.int64), pieces.per_text) == 0)
+            per_text = [np.where(good, sums_of(found.numbers[pieces.code, k], pieces.per_text), 0) for k in range(4)]
+            shown = found.shown.take(pa.array(pieces.code))
             bounds = pa.array(np.concatenate(([0], np.cumsum(pieces.per_text))), pa.int32())
             lines = pc.binary_join(pa.ListArray.from_arrays(bounds, shown), ";").to_pylist() if len(batch) else []
             sums = [hashlib.sha256(s.encode()).hexdigest() if g else "" for s, g in zip(lines, good.tolist())]
-            keys, holders, documents, where, links = _run_records(pieces, aligned, good)
+            keys, holders, documents, where, links = _run_records(pieces, found, good)
             docs = pa.StructArray.from_arrays(
                 [batch.column(0), *map(pa.array, per_text), pa.array(sums, pa.string())], fields=list(schema.field("docs").type.value_type)
             )

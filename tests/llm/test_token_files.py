@@ -16,6 +16,7 @@ from codesieve.llm.common import new_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = pieces.byte_tokenizer(PATH, False)
+ENCODER = pieces.Encoder(pieces.byte_encode(TOKENIZER), pieces.token_sizes(TOKENIZER))
 SCHEMA = "doc_id long, text string, ids string, part int, source string"
 HARD = [
     None, "", " ", "  a", "a ", "a  b", "é b c", "a  b", "a  b", "x▁ y", "don't stop 's", "tab\t x\n y ",
@@ -32,20 +33,36 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, "clash", 7, f"s{(i or 0) % 3}") for i, t in texts], SCHEMA)
 
 
-def by_pieces(tokenizer, texts):
+def by_pieces(texts):
     found = pieces.cut(pa.array([t.encode() for t in texts], pa.large_binary()))
-    ids = pieces.byte_tokens(tokenizer, found.different)
-    out, at = [], 0
-    for n in found.per_text.tolist():
-        out.append([i for c in found.code[at : at + n] for i in ids[c]])
-        at += n
-    return out
+    flat, counts = ENCODER.tokens(found.different)
+    body = pieces.flat_take(flat, np.cumsum(counts), found.code)
+    ends = np.cumsum(pieces.sums_of(counts[found.code], found.per_text)).tolist()
+    return [body[a:b].tolist() for a, b in zip([0, *ends], ends)]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab'.1 é ▁ 語\n\t<>|")), max_size=6))
 def test_pieces_encode_like_whole_texts(texts):
-    assert by_pieces(TOKENIZER, texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    assert by_pieces(texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_broken_bytes_and_failing_joins_are_encoded_one_by_one():
+    found = pieces.cut(pa.array([b"a b\xff c", b" x y"], pa.large_binary()))
+    whole = pieces._one_by_one(pieces.byte_encode(TOKENIZER), found.different)
+    for sizes in (pieces.token_sizes(TOKENIZER), np.full(60_000, 3)):
+        got = pieces.piece_tokens(pieces.byte_encode(TOKENIZER), sizes, found.different)
+        assert [x.tolist() for x in got] == [x.tolist() for x in whole]
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "KNOWN", 3)
+    encoder = pieces.Encoder(ENCODER.encode, ENCODER.sizes)
+    for text in (b"a b c d e", b"d e a x b", b"", b"c a"):
+        found = pieces.cut(pa.array([text], pa.large_binary()))
+        flat, counts = encoder.tokens(found.different)
+        assert pieces.flat_take(flat, np.cumsum(counts), found.code).tolist() == TOKENIZER.encode(text.decode()).ids
+        assert len(encoder.place) == len(encoder.ends) <= 3
 
 
 def test_round_trip_equals_whole_texts(spark, whole):

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -102,6 +103,8 @@ def test_repeated_rows_null_ids_long_text_and_empty_table(spark, sides):
     assert run(spark, []) == []
 
 
-def test_groups_end_where_both_end():
-    assert A.groups_of([1, 2, 3], [7, 8], [1, 2, 3], [3, 3]) == [([1, 2], [7]), ([3], [8])]
-    assert A.groups_of([1], [7, 8], [4], [1, 3]) == [([1], [7, 8])]
+def test_large_groups_count_equal_pairs():
+    a, b = np.array([1, 1, 2] * 40), np.array([7, 8] * 30)
+    group, keys, links = A._linked(a, b, np.zeros(120, np.int64), np.zeros(60, np.int64), 1)
+    found = {(int(k) >> A.SIDE, int(k) & (1 << A.SIDE) - 1): int(n) for k, n in zip(keys, links)}
+    assert found == {(1, 7): 80 * 30, (1, 8): 80 * 30, (2, 7): 40 * 30, (2, 8): 40 * 30} and not group.any()
