@@ -79,10 +79,9 @@ def with_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFram
         "source-rates",
     )
     joined = docs.join(table, docs["source"].eqNullSafe(table[SOURCE]), "left")
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.col("__draws") - 1),
-        lambda d: F.size(F.filter(DISTRIBUTION, lambda sums: sums <= _uniform(_name(), d, seed))),
-    )
+    # Each draw's number is an element of its own, so it is hashed once and not once per sum.
+    numbers = F.transform(F.sequence(F.lit(0), F.col("__draws") - 1), lambda d: _uniform(_name(), d, seed))
+    drawn = F.transform(numbers, lambda u: F.size(F.filter(DISTRIBUTION, lambda sums: sums <= u)))
     total = F.aggregate(drawn, F.lit(0), lambda n, x: n + x)
     return joined.withColumn(COPIES, F.coalesce(total, F.lit(0))).drop(SOURCE, "__draws", DISTRIBUTION)
 
