@@ -237,16 +237,23 @@ def grouped(links: DataFrame, hubs: DataFrame, sizes: list[int]) -> DataFrame:
     return write_table(labels.unionByName(split.select("node", "hub", "shard")), "labels")
 
 
+def _bucket_rows(nodes: DataFrame, total: int) -> int:
+    """Rows to number in one task: two buckets for each shuffle partition, and never more than BUCKET_ROWS."""
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(BUCKET_ROWS, total // (2 * tasks)))
+
+
 def assigned(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, size, text_crc32, shard and slot (gapless from 0 in each shard)."""
     nodes = _nodes(docs, keep)
     total = nodes.count()
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    bits = max(0, (total // BUCKET_ROWS).bit_length())
+    most = _bucket_rows(nodes, total)
+    bits = (total // most).bit_length()
     labels = grouped(*_hub_links(nodes), sizes)
 
     # Whole groups in order of their hash; large pieces are spread over buckets of their own.
-    pieces = labels.groupBy("hub", "shard").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS))
+    pieces = labels.groupBy("hub", "shard").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / most))
     parts = F.col("parts")
     linked = join_counted(labels, write_table(pieces, "pieces"), ["hub", "shard"]).select(
         "node", "hub", "shard", _bucket(F.col("hub"), bits).alias("bucket"),
