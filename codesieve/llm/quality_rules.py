@@ -120,6 +120,12 @@ def ledger(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measures.withColumn("fail_bits", bits)
 
 
+# The columns of a verdict, in order; further measurements follow.
+VERDICT_COLUMNS = (
+    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+)
+
+
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("long")) == 0
 
@@ -147,8 +153,13 @@ def ablations(entries: DataFrame, policies: tuple[Policy, ...], rules: tuple[Rul
 
 def judged(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """doc_id, measurements, fail_bits, and the verdicts of the base policy and of ``policy``."""
-    entries = ledger(measured(docs))
-    return entries.withColumns({"base_failed": ~passes(BASE), "kept": passes(BASE) & passes(policy)})
+    entries = ledger(measured(docs)).withColumns({"base_failed": ~passes(BASE), "kept": passes(BASE) & passes(policy)})
+    return entries.select(*VERDICT_COLUMNS, *[c for c in entries.columns if c not in VERDICT_COLUMNS])
+
+
+def ablated(docs: DataFrame, policies: tuple[Policy, ...] = (BASE, CURRENT)) -> DataFrame:
+    """The ablations of all policies, from one ledger of all documents."""
+    return ablations(ledger(measured(docs)), policies)
 
 
 JUDGED_SQL = r"""
@@ -186,3 +197,13 @@ WITH w AS (
 )
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
+ABLATED_SQL = f"""
+WITH j AS ({JUDGED_SQL}), r AS (
+  SELECT p.policy, p.mask, unnest(['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'shouting']) AS rule,
+         unnest([1, 2, 4, 8, 16, 32, 64]) AS bit
+  FROM (SELECT 'base' AS policy, 3 AS mask UNION ALL SELECT '2', 127) p
+)
+SELECT policy, rule, count(*) FILTER (fail_bits & mask & bit <> 0) AS failing,
+       count(*) FILTER (fail_bits & mask = bit) AS only_by_it, count(*) FILTER (fail_bits & mask = 0) AS kept
+FROM r, j WHERE mask & bit <> 0 GROUP BY policy, rule
+"""

@@ -55,6 +55,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each rule of both policies rejects, and rejects alone."""
+    return quality_rules.ablated(table(spark, sf_dir, "documents"))
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op11_token_files": op11_token_files,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
+    "quality_ablations": quality_ablations,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.DEDUPLICATED_SQL,
@@ -124,4 +130,5 @@ ORACLE: dict[str, str] = {
     "op8_chat_format": chat_format.DIGEST_SQL,
     "op9_mixing": mixing.MIXED_SQL,
     "op10_decontamination": decontamination.MATCHED_SQL,
+    "quality_ablations": quality_rules.ABLATED_SQL,
 }
