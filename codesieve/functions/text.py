@@ -106,18 +106,17 @@ def _cut(content: str, regex: str) -> str:
 
 
 def match_spans(content: str, pattern: str, literal_pattern: bool = True) -> str:
-    """All matches as array<struct<text, first, last>>, with 0-based line offsets.
+    """All matches as array<struct<text, first, last, after>>, with 0-based line offsets.
 
-    The pattern is a text, or an SQL expression if ``literal_pattern`` is off.
-
-    Spark has no match-offset function; running newline counts over the text between and
-    in the matches give the lines.
+    ``after`` is the text up to the next match. The pattern is a text, or an SQL expression if
+    ``literal_pattern`` is off. Spark has no match-offset function; running newline counts over the text
+    between and in the matches give the lines.
     """
     ends = running_sum(f"transform(parts, part -> {newline_count('part')})")
     spans = (
-        "filter(transform(parts, (part, i_part) -> if(i_part % 2 = 1, "
-        "named_struct('text', part, 'first', get(ends, i_part - 1), 'last', get(ends, i_part)), null)), "
+        "filter(transform(parts, (part, i_part) -> if(i_part % 2 = 1, named_struct('text', part, "
+        "'first', get(ends, i_part - 1), 'last', get(ends, i_part), 'after', get(parts, i_part + 1)), null)), "
         "span -> span is not null)"
     )
     regex = literal(pattern) if literal_pattern else pattern
-    return let(_cut(content, regex), "parts", let(ends, "ends", spans))
+    return bind(spans, parts=_cut(content, regex), ends=ends)

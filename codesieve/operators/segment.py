@@ -49,7 +49,7 @@ def _brace_tokens() -> str:
     return (
         f"if(contains(content, '{{'), filter({spans}, "
         """brace -> right(brace.text, 1) in ('{', '}') and substr(brace.text, 1, 1) not in ('"', "'", '/')), """
-        "cast(array() as array<struct<text:string,first:int,last:int>>))"
+        "cast(array() as array<struct<text:string,first:int,last:int,after:string>>))"
     )
 
 

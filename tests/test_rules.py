@@ -207,13 +207,13 @@ def test_context_lines_take_linear_time(files):
 def test_call_patterns_against_plain_ones(files, seed):
     """Linear forms of the patterns on calls find what the plain patterns find."""
     pick = random.Random(seed)
-    parts = ["printf(", "fprintf(", "stderr", "scanf(", "open(", "access (", "..", ",", ")", " ", '"', "x", "malloc(", "a = ", "free(", "calloc (", "n"]
+    parts = ["printf(", "fprintf(", "stderr", "scanf(", "open(", "access (", "..", ",", ")", " ", '"', "x", "malloc(", "a = ", "free(", "calloc (", "n", "b=", "rand(", "srandom ("]
     lines = ["".join(pick.choices(parts, k=pick.randint(1, 14))) for _ in range(600)]
     found = {}
     options = ScanOptions(max_chunk_size=None)
-    rows = raw_findings(files(*lines), options, {"H9", "X5", "X7", "H15", "H16", "X9"}, with_whole_text).collect()
+    rows = raw_findings(files(*lines), options, {"H9", "X5", "X7", "H12", "H13", "H15", "H16", "H29", "H30", "X9"}, with_whole_text).collect()
     for row in rows:
-        found.setdefault(row.file_id, []).append((row.rule_id, row.description if row.rule_id in ("H9", "X9") else ""))
+        found.setdefault(row.file_id, []).append((row.rule_id, row.description if row.rule_id in ("H9", "X9", "H12", "H13") else ""))
     for n, line in enumerate(lines):
         expected = []
         call = re.search(r"""(printf|fprintf|sprintf|snprintf)\s*\(\s*([^,")]+)\s*\)""", line)
@@ -221,12 +221,20 @@ def test_call_patterns_against_plain_ones(files, seed):
             expected.append(("H9", f"{call.group(1)}() with potentially user-controlled format string"))
         expected += [("X5", "")] * bool(re.search(r"scanf\s*\([^,]*,\s*[^)]+\)", line))
         expected += [("X7", "") for w in ("fopen", "open", "access") if re.search(w + r"\s*\([^,)]*\.\.[^)]*\)", line)]
+        for match in re.finditer(r"\b(malloc|calloc|realloc)\s*\([^)]+\)", line):
+            named = re.search(r"(\w+)\s*=\s*" + re.escape(match.group()), line)
+            if named and named.group(1) not in re.findall(r"\bfree\s*\(\s*(\w+)", " ".join(re.findall(r"\bfree\s*\([^)]+\)", line))):
+                expected.append(("H12", f"Allocated memory ({named.group(1)}) may not be freed"))
+        expected = sorted(set(e for e in expected if e[0] == "H12")) + [e for e in expected if e[0] != "H12"]
+        freed = [v for call in re.findall(r"\bfree\s*\([^)]+\)", line) for v in re.findall(r"free\s*\(\s*(\w+)", call)[:1]]
+        expected += [("H13", f"Variable {v} may be freed multiple times") for k, v in enumerate(freed) if v in freed[:k]]
+        expected += [(rule, "") for rule, name in (("H29", "rand"), ("H30", "random")) if re.search(rf"\b{name}\s*\(\s*\)", line)]
         for rule, name in (("H15", "malloc"), ("H16", "calloc")):
             expected += [(rule, "")] * len(re.findall(name + r"\s*\([^)]*\)", line))
         opened, freed = re.search(r"(\w+)\s*=\s*(?:malloc|calloc|realloc)\s*\(", line), re.search(r"free\s*\(\s*(\w+)", line)
         if opened and not (freed and freed.group(1) == opened.group(1)):
             expected.append(("X9", f'Allocated memory "{opened.group(1)}" may not be freed'))
-        assert sorted(found.get(n, [])) == sorted(expected), line
+        assert (line, sorted(found.get(n, []))) == (line, sorted(expected))
 
 
 def test_equal_calls_of_a_line_count_for_the_first_name(files):
