@@ -77,6 +77,15 @@ def _starts_plain(x: np.ndarray) -> np.ndarray:
     return _plain(x) | ((x >= 0xC0) & ~np.isin(x, DOUBTFUL_LEADS))
 
 
+def _mark_cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places of marks after letters: byte-level vocabularies end a word there. A bar may be inside a special token."""
+    letter, mark = np.zeros(256, bool), np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    mark[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "|"]] = True
+    at = np.flatnonzero(letter[data[:-1]] & mark[data[1:]]) + 1
+    return at[~begins[at]]
+
+
 def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Places of single blanks at which a text may be cut."""
     inner = data == BLANK
@@ -86,12 +95,17 @@ def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return at[_ends_plain(data[at - 1], data[np.maximum(at - 2, 0)]) & _starts_plain(data[at + 1])]
 
 
-def cut(texts: pa.Array) -> Pieces:
-    """Pieces of large binary texts without nulls; an empty text has none."""
+def cut(texts: pa.Array, at_marks: bool = False) -> Pieces:
+    """Pieces of large binary texts without nulls; an empty text has none.
+
+    ``at_marks`` cuts words and marks apart, too, which holds for byte-level vocabularies only.
+    """
     data, bounds = bytes_of(texts)
     begins = np.zeros(len(data) + 1, bool)
     begins[bounds] = True
     begins[_cuts(data, bounds)] = True
+    if at_marks and len(data):
+        begins[_mark_cuts(data, begins)] = True
     starts = np.flatnonzero(begins[: len(data)])
     offsets = np.append(starts, len(data)).astype(np.int64)
     whole = pa.LargeBinaryArray.from_buffers(

@@ -40,7 +40,7 @@ def _encoder(tokenizer_path: str, end_id: int, schema: pa.Schema):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = byte_encoder(tokenizer_path, False), TaskContext.get().partitionId(), 0
         for batch in (piece for whole in batches for piece in slices(whole, 1)):
-            pieces = cut(batch.column(1).cast(pa.large_binary()))
+            pieces = cut(batch.column(1).cast(pa.large_binary()), at_marks=True)
             flat, per_piece = encoder.tokens(pieces.different)
             body = flat_take(flat, np.cumsum(per_piece), pieces.code)
             counts = sums_of(per_piece[pieces.code], pieces.per_text)
