@@ -20,7 +20,7 @@ def test_match_spans_count_lines(spark, mark):
     text = f"a{mark}\nfree(x\n)\n\nfree(y) free(z)"
     frame = spark.createDataFrame([(text,)], "t string")
     spans = frame.select(F.expr(match_spans("t", r"free\([^)]+\)")).alias("s")).first().s
-    assert [tuple(s) for s in spans] == [("free(x\n)", 1, 2), ("free(y)", 4, 4), ("free(z)", 4, 4)]
+    assert [(s.text, s.first, s.last) for s in spans] == [("free(x\n)", 1, 2), ("free(y)", 4, 4), ("free(z)", 4, 4)]
 
 
 def test_no_match_gives_no_spans(spark):
