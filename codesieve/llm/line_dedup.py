@@ -1,9 +1,10 @@
-"""Removal of repeated line runs, found in a suffix array over line numbers.
+"""Removal of repeated line runs, found by prefix doubling of suffixes over line numbers.
 
 The alphabet is the distinct lines. A suffix is a place in a document; prefix doubling sorts all
 suffixes by their first 1, 2, 4, ... lines: the rank of 2k lines comes from the ranks of two
 neighbouring blocks of k lines. Suffixes whose prefix occurs once are settled and dropped. Suffixes of
-equal rank are an interval of the suffix array with a longest common prefix of that many lines.
+equal rank have that many first lines in common. The whole suffix array, with the common prefixes of neighbours, is
+not built.
 
 A repeated run counts if it has ``min_words`` words. Every such maximal run is the union of shortest
 windows of that many words, beginning or ending at its lines, and the prefix of any window is the

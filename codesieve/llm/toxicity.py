@@ -1,8 +1,9 @@
 """Toxicity as expected severity from a cumulative-link ordinal regression over sparse text features.
 
 Features are words and word beginnings of six bytes. From a bounded sample of labelled rows, features
-are selected whose document counts differ between toxic and clean rows beyond chance (likelihood
-ratio). Grades are 0 for clean rows and 1, 2, 3 for toxic rows by how many toxic words they hold; one
+are selected whose document counts differ between toxic and clean rows beyond chance: those in at least
+``least`` rows with a likelihood ratio of at least ``ratio``, of them the ``most_features`` strongest. With few
+labels, toxic words that are rarer than that are not seen. Grades are 0 for clean rows and 1, 2, 3 for toxic rows by how many toxic words they hold; one
 weight vector and ordered thresholds give the chance of each grade or more, and their sum is the
 expected severity. A row is called toxic from a chance of one half on, or from a lower one if that parts
 held-out labelled rows better (F1).
