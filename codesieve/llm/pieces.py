@@ -4,6 +4,7 @@ A piece starts at a single blank between two characters that are no white space.
 vocabularies starts a word there, and no entry of a piece vocabulary has a blank after another character, so
 no merge crosses such a place: the tokens of a text are the tokens of its pieces, one after the other. Blanks
 next to characters that might be white space outside ASCII are left inside a piece, which is always right.
+Byte-level vocabularies end words at single line ends and at marks after letters, too.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ from typing import TypeVar
 import numpy as np
 import pyarrow as pa
 
-BLANK = 32
+from .words import mixed
+
+BLANK, LINE_END = 32, 10
 # First bytes of characters beyond ASCII that may be white space or stand for a blank.
 DOUBTFUL_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
 # Bytes of pieces encoded as one text.
-JOINED = 1 << 14
+JOINED = 1 << 11
 # Pieces whose tokens a worker remembers; others are encoded again.
-KNOWN = 1 << 18
+KNOWN = 1 << 20
+# Bytes of a remembered piece's key: the piece, zeros, and its size in the last byte. Longer pieces are not remembered.
+KEY = 32
 Encode = Callable[[str], list[int]]
 Made = TypeVar("Made")
 
@@ -79,16 +84,17 @@ def _starts_plain(x: np.ndarray) -> np.ndarray:
 
 def _mark_cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Places of marks after letters: byte-level vocabularies end a word there. A bar may be inside a special token."""
-    letter, mark = np.zeros(256, bool), np.zeros(256, bool)
-    letter[[*range(65, 91), *range(97, 123)]] = True
-    mark[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "|"]] = True
-    at = np.flatnonzero(letter[data[:-1]] & mark[data[1:]]) + 1
+    kind = np.zeros(256, np.uint8)
+    kind[[*range(65, 91), *range(97, 123)]] = 1
+    kind[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "|"]] = 2
+    kinds = kind[data]
+    at = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
     return at[~begins[at]]
 
 
-def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Places of single blanks at which a text may be cut."""
-    inner = data == BLANK
+def _cuts(data: np.ndarray, bounds: np.ndarray, at_lines: bool) -> np.ndarray:
+    """Places of single blanks, with ``at_lines`` of single line ends too, at which a text may be cut."""
+    inner = (data == BLANK) | (data == LINE_END) if at_lines else data == BLANK
     inner[bounds[:-1][bounds[:-1] < len(data)]] = False
     inner[bounds[1:][bounds[1:] > 0] - 1] = False
     at = np.flatnonzero(inner)
@@ -98,12 +104,12 @@ def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def cut(texts: pa.Array, at_marks: bool = False) -> Pieces:
     """Pieces of large binary texts without nulls; an empty text has none.
 
-    ``at_marks`` cuts words and marks apart, too, which holds for byte-level vocabularies only.
+    ``at_marks`` cuts words and marks apart and cuts at line ends, too, which holds for byte-level vocabularies only.
     """
     data, bounds = bytes_of(texts)
     begins = np.zeros(len(data) + 1, bool)
     begins[bounds] = True
-    begins[_cuts(data, bounds)] = True
+    begins[_cuts(data, bounds, at_marks)] = True
     if at_marks and len(data):
         begins[_mark_cuts(data, begins)] = True
     starts = np.flatnonzero(begins[: len(data)])
@@ -118,12 +124,12 @@ def cut(texts: pa.Array, at_marks: bool = False) -> Pieces:
 
 def flat_take(values: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Runs of ``values`` (run i ends before ``ends[i]``) one after the other, in the given order of runs."""
-    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-    sizes = (ends - starts)[order]
-    if not len(order) or not sizes.sum():
+    if not len(order):
         return values[:0]
+    starts = np.where(order > 0, ends[order - 1], 0)
+    sizes = ends[order] - starts
     before = np.cumsum(sizes) - sizes
-    return values[np.repeat(starts[order] - before, sizes) + np.arange(sizes.sum())]
+    return values[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
 
 
 def sums_of(numbers: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -186,14 +192,20 @@ def _joined(encode: Encode, sizes: np.ndarray, pieces: pa.LargeBinaryArray) -> t
     return ids, counts
 
 
-def piece_tokens(encode: Encode, sizes: np.ndarray, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all pieces, one after the other, and how many each has; ``sizes`` has the bytes of each id."""
+def piece_tokens(
+    encode: Encode, sizes: np.ndarray, pieces: pa.LargeBinaryArray, at_lines: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces, one after the other, and how many each has; ``sizes`` has the bytes of each id.
+
+    ``at_lines`` says that the vocabulary ends words at single line ends.
+    """
     data, bounds = bytes_of(pieces)
     if not len(pieces):
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     first, last = bounds[:-1], bounds[1:] - 1
     near = lambda x: data[np.minimum(np.maximum(x, 0), len(data) - 1)]
-    regular = (last > first) & (near(first) == BLANK) & _starts_plain(near(first + 1)) & _ends_plain(near(last), near(last - 1))
+    led = (near(first) == BLANK) | at_lines & (near(first) == LINE_END)
+    regular = (last > first) & led & _starts_plain(near(first + 1)) & _ends_plain(near(last), near(last - 1))
     ids, counts = (
         np.concatenate(x) for x in zip(
             _joined(encode, sizes, pieces.filter(pa.array(regular))), _one_by_one(encode, pieces.filter(pa.array(~regular)))
@@ -204,30 +216,67 @@ def piece_tokens(encode: Encode, sizes: np.ndarray, pieces: pa.LargeBinaryArray)
     return flat_take(ids, np.cumsum(counts), place), counts[place]
 
 
+def _keys(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of each piece as a row of numbers, a hash of it, and whether the piece fits its key."""
+    data, bounds = bytes_of(pieces)
+    sizes = np.diff(bounds)
+    padded = np.concatenate((data, np.zeros(KEY, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, KEY)[bounds[:-1]]
+    rows[np.arange(KEY) >= sizes[:, None]] = 0
+    rows[:, -1] = np.minimum(sizes, KEY)
+    keys, hashes = rows.view(np.uint64), np.zeros(len(pieces), np.uint64)
+    for column in keys.T:
+        hashes = mixed(hashes ^ column)
+    return keys, hashes, sizes < KEY
+
+
 @dataclass
 class Encoder:
-    """An encoding, the bytes of its ids, and the tokens of the first pieces it met, of a bounded number."""
+    """An encoding, the bytes of its ids, and the tokens of the first pieces it met, of a bounded number.
+
+    ``keys`` and ``ends`` (of each piece's run in ``ids``) are in the order met; ``hashes`` are sorted, with the
+    ``place`` of each. A piece is known by its key, the hash only finds it.
+    """
 
     encode: Encode
     sizes: np.ndarray
-    place: dict[bytes, int] = field(default_factory=dict)
+    at_lines: bool = False
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros((0, KEY // 8), np.uint64))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     ends: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
+    def _known(self, keys: np.ndarray, hashes: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """Where each piece is remembered, or -1."""
+        if not len(self.place):
+            return np.full(len(keys), -1, np.int64)
+        order, found = np.argsort(hashes), np.empty(len(hashes), np.int64)
+        found[order] = np.searchsorted(self.hashes, hashes[order])
+        at = self.place[np.minimum(found, len(self.place) - 1)].astype(np.int64)
+        return np.where(fits & (self.keys[at] == keys).all(axis=1), at, -1)
+
+    def _remember(self, keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.place = np.insert(self.place, at, len(self.ends) + order)
+        self.keys = np.concatenate((self.keys, keys))
+        self.ends = np.concatenate((self.ends, len(self.ids) + np.cumsum(counts)))
+        self.ids = np.concatenate((self.ids, ids))
+
     def tokens(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces, one after the other, and how many each has."""
-        names = pieces.to_pylist()
-        at = np.fromiter((self.place.get(name, -1) for name in names), np.int64, len(names))
+        keys, hashes, fits = _keys(pieces)
+        at = self._known(keys, hashes, fits)
         fresh = np.flatnonzero(at < 0)
-        ids, counts = piece_tokens(self.encode, self.sizes, pieces.take(pa.array(fresh)))
+        ids, counts = piece_tokens(self.encode, self.sizes, pieces.take(pa.array(fresh)), self.at_lines)
         at[fresh] = len(self.ends) + np.arange(len(fresh))
         flat, ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, len(self.ids) + np.cumsum(counts)))
-        kept = max(0, min(len(fresh), KNOWN - len(self.ends)))
-        if kept:
-            self.place.update((names[k], len(self.ends) + n) for n, k in enumerate(fresh[:kept].tolist()))
-            self.ends = ends[: len(self.ends) + kept].copy()
-            self.ids = flat[: self.ends[-1]].copy()
-        return flat_take(flat, ends, at), np.diff(ends, prepend=0)[at]
+        kept = np.flatnonzero(fits[fresh])[: max(0, KNOWN - len(self.ends))]
+        if len(kept):
+            self._remember(keys[fresh[kept]], hashes[fresh[kept]], flat_take(ids, np.cumsum(counts), kept), counts[kept])
+        return flat_take(flat, ends, at), ends[at] - np.where(at > 0, ends[at - 1], 0)
 
 
 def byte_encoder(path: str, plain_specials: bool) -> Encoder:
@@ -235,6 +284,6 @@ def byte_encoder(path: str, plain_specials: bool) -> Encoder:
 
     def make() -> Encoder:
         tokenizer = byte_tokenizer(path, plain_specials)
-        return Encoder(byte_encode(tokenizer), token_sizes(tokenizer))
+        return Encoder(byte_encode(tokenizer), token_sizes(tokenizer), at_lines=True)
 
     return once_per_worker(f"{path} {plain_specials}", make)

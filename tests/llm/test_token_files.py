@@ -66,6 +66,28 @@ def test_remembered_pieces_are_bounded(monkeypatch):
         assert len(encoder.place) == len(encoder.ends) <= 3
 
 
+def test_line_starts_are_encoded_many_at_a_time():
+    calls = []
+    encoder = pieces.Encoder(lambda text: calls.append(text) or ENCODER.encode(text), ENCODER.sizes, at_lines=True)
+    text = "\n".join(f"Ab{chr(97 + n % 26)}{chr(97 + n // 26)}é." for n in range(600)) + " \n b\n\nc\r\nd\n e\u0085\nf"
+    for _ in range(2):
+        found = pieces.cut(pa.array([text.encode()], pa.large_binary()), at_marks=True)
+        flat, counts = encoder.tokens(found.different)
+        assert pieces.flat_take(flat, np.cumsum(counts), found.code).tolist() == TOKENIZER.encode(text).ids
+    assert len(calls) < 30
+
+
+@pytest.mark.parametrize("mixed", [pieces.mixed, np.zeros_like])
+def test_pieces_are_told_apart_by_all_their_bytes(monkeypatch, mixed):
+    monkeypatch.setattr(pieces, "mixed", mixed)
+    encoder = pieces.Encoder(ENCODER.encode, ENCODER.sizes)
+    texts = [b"a", b"a\0", b"a\0\0", b"", b"\0", *(b"x" * n for n in range(29, 36)), b"x" * 31 + b"y", b" " + b"x" * 31, b"x" * 31 + b"\0"]
+    for _ in range(3):
+        flat, counts = encoder.tokens(pa.array(texts, pa.large_binary()))
+        ends = np.cumsum(counts).tolist()
+        assert [flat[a:b].tolist() for a, b in zip([0, *ends], ends)] == [TOKENIZER.encode(t.decode()).ids for t in texts]
+
+
 def test_round_trip_equals_whole_texts(spark, whole):
     found = {r["doc_id"]: r for r in token_files.round_trip(docs(spark, list(enumerate(HARD))), PATH, ("source", "part")).collect()}
     start = 0
