@@ -28,8 +28,9 @@ DOUBTFUL_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 
 # Bytes of pieces encoded as one text.
 JOINED = 1 << 11
-# Pieces whose tokens a worker remembers; others are encoded again.
-KNOWN = 1 << 20
+# Pieces whose tokens a worker remembers; others are encoded again. More where it holds one encoder only.
+KNOWN = 1 << 18
+KNOWN_ALONE = 1 << 20
 # Bytes of a remembered piece's key: the piece, zeros, and its size in the last byte. Longer pieces are not remembered.
 KEY = 32
 Encode = Callable[[str], list[int]]
@@ -232,7 +233,7 @@ def _keys(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 @dataclass
 class Encoder:
-    """An encoding, the bytes of its ids, and the tokens of the first pieces it met, of a bounded number.
+    """An encoding, the bytes of its ids, and the tokens of the first pieces it met, ``known`` (else ``KNOWN``) at most.
 
     ``keys`` and ``ends`` (of each piece's run in ``ids``) are in the order met; ``hashes`` are sorted, with the
     ``place`` of each. A piece is known by its key, the hash only finds it.
@@ -241,6 +242,7 @@ class Encoder:
     encode: Encode
     sizes: np.ndarray
     at_lines: bool = False
+    known: int | None = None
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     keys: np.ndarray = field(default_factory=lambda: np.zeros((0, KEY // 8), np.uint64))
@@ -273,7 +275,8 @@ class Encoder:
         ids, counts = piece_tokens(self.encode, self.sizes, pieces.take(pa.array(fresh)), self.at_lines)
         at[fresh] = len(self.ends) + np.arange(len(fresh))
         flat, ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, len(self.ids) + np.cumsum(counts)))
-        kept = np.flatnonzero(fits[fresh])[: max(0, KNOWN - len(self.ends))]
+        most = KNOWN if self.known is None else self.known
+        kept = np.flatnonzero(fits[fresh])[: max(0, most - len(self.ends))]
         if len(kept):
             self._remember(keys[fresh[kept]], hashes[fresh[kept]], flat_take(ids, np.cumsum(counts), kept), counts[kept])
         return flat_take(flat, ends, at), ends[at] - np.where(at > 0, ends[at - 1], 0)
@@ -284,6 +287,6 @@ def byte_encoder(path: str, plain_specials: bool) -> Encoder:
 
     def make() -> Encoder:
         tokenizer = byte_tokenizer(path, plain_specials)
-        return Encoder(byte_encode(tokenizer), token_sizes(tokenizer), at_lines=True)
+        return Encoder(byte_encode(tokenizer), token_sizes(tokenizer), at_lines=True, known=KNOWN_ALONE)
 
     return once_per_worker(f"{path} {plain_specials}", make)
